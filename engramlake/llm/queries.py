@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import table
+from engramlake.llm.common import durable, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,3 +101,102 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engramlake.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@_query()
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import decontam
+
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(5) == 0, F.lit(True))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
+    )
+
+
+_URLS_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT page_id, host, path, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+      regexp_matches(host || path, '^(?s:[^/]*cheap-pills[^/]*/.*|[^/]*casino[^/]*/.*|[^/]*free-money[^/]*/.*|ads\.[^/]*/.*|[^/]*\.ads\.[^/]*/.*|tracker\.[^/]*/.*|[^/]*/wp-login[^/]*|[^/]*/cgi-bin/.*|.*/calendar/[^/]{4}/[^/]{2}/.*)$') AS junk
+      FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+       WHEN rule IS NOT NULL OR junk THEN 'block' ELSE 'allow' END AS verdict, junk FROM r
+"""
+
+
+@_query(_URLS_SQL)
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import urlfilter
+
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@_query()
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@_query()
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(f"{chat.END}{chat.START}assistant ok")
+    odd = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    return chat.digest(chat.format_turns(turns.unionByName(odd)))
+
+
+@_query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(4) == 2, F.lit(True))
+    out = langid.predict(docs, langid.learn(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
+@_query(_WARC_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import warc
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = durable(warc.read(spark, path, payloads=False).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "warc-records")
+    captures = warc.assemble(found).withColumnRenamed("capture_id", "page_id")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

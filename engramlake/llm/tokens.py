@@ -47,6 +47,8 @@ class Words:
     #: Byte offsets of each word in the flat lower-cased text.
     start: np.ndarray
     end: np.ndarray
+    #: One row for each prefix length asked for: hashes of the words' first bytes.
+    prefix: np.ndarray
 
     def lengths(self) -> np.ndarray:
         return np.diff(self.first)
@@ -78,7 +80,7 @@ def _cut(data: np.ndarray, lo: int, hi: int, end: int) -> int:
     return hi
 
 
-def _window(data: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window(data: np.ndarray, at: np.ndarray, lo: int, hi: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     part = data[lo:hi]
     word = _IS_WORD[part]
     dash = np.flatnonzero(part == 0xE2)
@@ -99,24 +101,41 @@ def _window(data: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndar
     end = ends[np.searchsorted(ends, start, side="right")]
     size = end - start
     if not len(start):
-        return np.zeros(0, np.uint64), start + lo, end + lo
+        return np.zeros(0, np.uint64), start + lo, end + lo, np.zeros((len(prefixes), 0), np.uint64)
     letters = part[word]
     first = np.cumsum(size) - size
     place = np.arange(len(letters)) - np.repeat(first, size)
     value = _BYTE[letters] * _PLACE[place & 255]
-    return mix(np.add.reduceat(value, first)), start + lo, end + lo
+    heads = np.zeros((len(prefixes), len(start)), np.uint64)
+    if prefixes:
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(value)])
+        for row, k in enumerate(prefixes):
+            heads[row] = mix(upto[first + np.minimum(size, k)] - upto[first] + np.uint64(k))
+    return mix(np.add.reduceat(value, first)), start + lo, end + lo, heads
 
 
-def words(texts: pa.Array) -> Words:
-    """The words of every text of a column."""
+def words(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
+    """The words of every text of a column, with hashes of their prefixes of the given lengths in bytes."""
     data, at = flat(texts)
     lo, end, parts = int(at[0]), int(at[-1]), []
     while lo < end:
         hi = _cut(data, lo, lo + WINDOW, end)
-        parts.append(_window(data, at, lo, hi))
+        parts.append(_window(data, at, lo, hi, prefixes))
         lo = hi
-    h, s, e = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts) if parts else ((),) * 3, ("u8", "i8", "i8")))
-    return Words(h, np.searchsorted(s, at, side="left"), s, e)
+    none = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((len(prefixes), 0), np.uint64))]
+    h, s, e, heads = (np.concatenate(x, axis=-1) for x in zip(*(parts or none)))
+    return Words(h, np.searchsorted(s, at, side="left"), s, e, heads)
+
+
+def gram_places(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words inside a text, and the index of the first word of each."""
+    k = max(0, len(hashes) - n + 1)
+    total = np.zeros(k, dtype=np.uint64)
+    for j in range(n):
+        total += hashes[j : j + k] * _GRAM[j]
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    whole = np.flatnonzero(owner[:k] == owner[n - 1 : n - 1 + k])
+    return mix(total[whole]), whole
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
