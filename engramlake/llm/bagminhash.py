@@ -36,7 +36,7 @@ def _dyadic(gram: np.ndarray, owner: np.ndarray, count: np.ndarray):
     level, low, rest = 0, 0, np.arange(len(gram))
     while len(rest):
         length = 1 if level < 2 else 1 << (level - 1)
-        keys.append(mix(gram[rest] + np.uint64(level + 1) * _STEP))
+        keys.append(mix(gram[rest] + np.array([level + 1], np.uint64) * _STEP))
         owners.append(owner[rest])
         lengths.append(np.full(len(rest), length, dtype=np.float64))
         reach.append(np.minimum(count[rest] - low, length).astype(np.float64))
