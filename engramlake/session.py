@@ -13,6 +13,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName("engramlake")
