@@ -27,7 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, ARCHIVE_BYTES = 100, 32 << 20
+from engramlake.llm.common import durable
+
+LEAST, ARCHIVE_BYTES = 100, 16 << 20
+#: Digests of repeated payloads up to which the table of them (32 bytes and an id each) is broadcast; beyond, it is a shuffled join.
+MOST_SHARED = 500_000
 END, BREAK = "\r\n\r\n", "\r\n"
 _PRIMARY = ("response", "revisit", "resource", "conversion")
 
@@ -83,9 +87,11 @@ def with_firsts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("capture_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256))
-    large = base.filter(F.octet_length("payload") >= LEAST).groupBy(F.col("digest").alias("of"))
+    large = base.filter(F.octet_length("payload") >= LEAST).groupBy(F.unhex("digest").alias("of"))
     shared = large.agg(F.min("capture_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = base.join(shared, F.col("digest") == F.col("of"), "left")
+    shared = durable(shared, "warc-shared")
+    shared = F.broadcast(shared) if shared.count() <= MOST_SHARED else shared
+    met = base.join(shared, F.unhex("digest") == F.col("of"), "left")
     first = F.when(~F.col("least").eqNullSafe(F.col("capture_id")), F.col("least"))
     return met.withColumn("first", first).drop("of", "least")
 
@@ -156,8 +162,8 @@ def _parse(payloads: bool):
 
         for batch in stream:
             for data in batch.column("content"):
-                raw = data.as_py()
-                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                raw = data.as_buffer()
+                raw = gzip.decompress(raw) if raw[:2].to_pybytes() == b"\x1f\x8b" else raw.to_pybytes()
                 rows, size = [], 0
                 for row in _rows(raw, payloads):
                     rows.append(row)
