@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROW
     known = labelled(docs, labels, train, rows)
     hold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0
     got = known.filter(~hold).mapInArrow(_count, "f long, toxic long, clean long")
-    got = got.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
+    got = got.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    got = got.filter("f < 0 or toxic > 0").toPandas()  # what no toxic document has weighs -FLOOR in any case
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     sizes, got = got[got.f < 0], got[got.f >= 0]
     toxic[got.f], clean[got.f] = got.toxic, got.clean
