@@ -15,7 +15,9 @@ classes are the connected components of that relation.
    members) is compared pair by pair, where the sizes allow a similarity of 0.8.
 4. A member between 0.6 and 0.8 from a hub may be near a text in the hub's ball without being near
    the hub: by the triangle inequality of the Jaccard distance only such members can. Those whose
-   class is not the hub's yet are compared with the ball members the inequality leaves.
+   class is not the hub's yet are compared with the ball members the inequality leaves. Here and
+   at the end of 3, a pair is compared in one of the buckets that it shares, and only if its
+   signatures agree in no fewer components than three standard errors below the threshold.
 5. Connected components of the links, by star steps; the class id is the least doc_id in it.
 
 Comparisons are exact: the texts of the pair's nodes are read again, and their shingle multisets
@@ -45,7 +47,10 @@ from engramlake.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 7, 3
 
-_FEATURES = "doc_id long, text_key long, h1 long, h2 long, n long, bands array<long>"
+#: Pairs whose signatures agree in fewer components than this many standard errors below the threshold are not compared.
+ERRORS = 3.0
+
+_FEATURES = "doc_id long, text_key long, h1 long, h2 long, n long, bands array<long>, marks array<long>"
 
 
 def _content(w: tk.Words) -> list[np.ndarray]:
@@ -68,14 +73,16 @@ def _features(bands: int, rows: int, shingle: int):
             h1, h2 = _content(w)
             gram, owner, count = bmh.multisets(*tk.grams(w.hash, w.first, shingle, short=True))
             n = np.bincount(owner, weights=count, minlength=batch.num_rows).astype(np.int64)
-            b = bmh.bands(bmh.signatures(gram, owner, count, batch.num_rows, bands * rows), rows)
+            sig = bmh.signatures(gram, owner, count, batch.num_rows, bands * rows)
+            b, marks = bmh.bands(sig, rows), bmh.marks(sig)
             key = batch.column("text_key").to_numpy(zero_copy_only=False)
             h1, h2 = np.where(n > 0, h1, key), np.where(n > 0, h2, 0)
             at = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(b[n > 0].ravel()))
+            packs = pa.ListArray.from_arrays(pa.array(at // bands * marks.shape[1]), pa.array(marks[n > 0].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), *map(pa.array, (h1, h2, n)), lists],
-                ["doc_id", "text_key", "h1", "h2", "n", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), *map(pa.array, (h1, h2, n)), lists, packs],
+                ["doc_id", "text_key", "h1", "h2", "n", "bands", "marks"],
             )
 
     return run
@@ -137,13 +144,39 @@ def _fits(a: str, b: str, threshold: float):
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
+def _agreeing(a: str, b: str):
+    """Components in which two signatures agree, from their packed marks: the bytes that are zero in the exclusive or."""
+
+    def differ(x, y):
+        d = x.bitwiseXOR(y)
+        for k in (4, 2, 1):  # bit 0 of each byte becomes the or of its bits
+            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(8) * F.size(a) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda t, x: t + x)
+
+
+def _likely(threshold: float, a: str = "a", b: str = "b"):
+    """The pair is not unlikely to be at the threshold, and is looked at in one of the buckets that its members share.
+
+    (Each bucket settles all pairs of its members, so one of them is enough.)
+    """
+    m = 8 * F.size(f"marks_{a}")
+    least = threshold * m - ERRORS * F.sqrt(threshold * (1 - threshold) * m)
+    here = F.col("band") == F.array_min(F.array_intersect(f"bands_{a}", f"bands_{b}"))
+    return (_agreeing(f"marks_{a}", f"marks_{b}") >= least) & here
+
+
+def _named(nodes: DataFrame, of: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(of), F.col("bands").alias(f"bands_{of}"), F.col("marks").alias(f"marks_{of}"))
+
+
 def links(nodes: DataFrame, sets_of, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """(a, b) of near nodes, such that components of the links are components of all near pairs."""
     each = nodes.select("node", "n", "copies", F.explode("bands").alias("band"))
     busy = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
     members = durable(each.join(busy, "band"), "nd-members")
     sets = durable(sets_of(members.select("node").distinct()), "nd-sets")
-    sizes = lambda of: members.select(F.col("node").alias(of), F.col("n").alias(f"n_{of}")).distinct()
     seen, left = [], members
     for k in range(rounds):
         met = durable(_with_hubs(left), f"nd-round{k}")
@@ -163,16 +196,17 @@ def links(nodes: DataFrame, sets_of, threshold: float = THRESHOLD, rounds: int =
         x, y = left.select("band", F.col("node").alias("a"), F.col("n").alias("na")), left.select(
             "band", F.col("node").alias("b"), F.col("n").alias("nb")
         )
-        rest = x.join(y, "band").filter((F.col("a") > F.col("b")) & _fits("na", "nb", threshold))
+        x, y = x.join(_named(nodes, "a"), "a"), y.join(_named(nodes, "b"), "b")
+        rest = x.join(y, "band").filter((F.col("a") > F.col("b")) & _fits("na", "nb", threshold) & _likely(threshold))
         more = durable(similarities(rest, sets).filter(F.col("sim") >= threshold).select("a", "b"), "nd-rest")
         found = found.unionByName(more)
     found = durable(found, "nd-links")
     root = components(found)
-    shell = _shell(seen, root, sizes, threshold)
+    shell = durable(_shell(seen, root, nodes, threshold), "nd-shell")
     return found.unionByName(similarities(shell, sets).filter(F.col("sim") >= threshold).select("a", "b"))
 
 
-def _shell(seen, root: DataFrame, sizes, threshold: float) -> DataFrame:
+def _shell(seen, root: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b): a is within two radii of a hub, b in the hub's ball, both in one bucket and not in one class."""
     reach = 2 * threshold - 1
     out = []
@@ -182,10 +216,12 @@ def _shell(seen, root: DataFrame, sizes, threshold: float) -> DataFrame:
         s = s.withColumn("root", F.coalesce("root", "node"))
         ball = s.filter(F.col("sim") >= threshold).select("band", "hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sim").alias("sb"), F.col("root").alias("rb"))
         edge = s.filter((F.col("sim") < threshold) & (F.col("sim") >= reach)).select("band", "hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sim").alias("sa"), F.col("root").alias("ra"))
+        edge, ball = edge.join(_named(nodes, "a"), "a"), ball.join(_named(nodes, "b"), "b")
         pair = edge.join(ball, ["band", "hub"]).filter(
             (F.col("ra") != F.col("rb"))
             & _fits("na", "nb", threshold)
             & (F.col("sb") - F.col("sa") <= 1 - threshold + 1e-9)
+            & _likely(threshold)
         )
         out.append(pair.select("a", "b"))
     return reduce(DataFrame.unionByName, out)
@@ -204,7 +240,8 @@ def classes(
     f = durable(features(docs, bands, rows, shingle), "nd-features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     nodes = f.groupBy("h1", "h2").agg(
-        first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("marks").alias("marks"),
     )
     nodes = durable(nodes.withColumn("node", F.xxhash64("h1", "h2")), "nd-nodes")
 
