@@ -12,7 +12,7 @@ page with boilerplate around its own text.
 How it runs: (host, line hash) pairs are counted with map-side partial sums, so a hot host or a
 line on a third of all pages costs one small row per task. What survives is one array of hashes
 per host, with at most (average lines per page) / ratio entries; it is joined to the pages by
-host, as a broadcast if Spark finds it small and else as a sort-merge join whose skewed host
+host, as a broadcast if it has at most `MOST_LINES` hashes and else as a sort-merge join whose skewed host
 adaptive execution splits. The lines of a page are never shuffled apart from their page.
 
 Defined results: a null text stays null and counts as a page without lines; an empty text stays
@@ -25,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import SPACES, fresh, let
+from engramlake.llm.common import SPACES, durable, fresh, let
 
 RATIO, MIN_PAGES, MAX_PAGE_SHARE = 0.02, 5, 0.5
+#: Boilerplate lines of all hosts up to which their hashes (8 bytes each) are broadcast; beyond, they are a shuffled join.
+MOST_LINES = 500_000
 
 
 def _lines(text: Column) -> Column:
@@ -90,9 +92,11 @@ def dedup_lines(
 ) -> DataFrame:
     """The pages with a struct column `report`: text, n_lines, n_dropped, dropped_chars."""
     at, of, lines = fresh(pages, "page_host", "boilerplate_host", "boilerplate_lines")
-    known = boilerplate(pages, host, F.col(text_col), ratio, min_pages).select(
+    known = durable(boilerplate(pages, host, F.col(text_col), ratio, min_pages), "host-lines").select(
         F.col("host").alias(of), F.col("lines").alias(lines)
     )
+    if (known.agg(F.sum(F.size(lines))).first()[0] or 0) <= MOST_LINES:
+        known = F.broadcast(known)
     joined = pages.withColumn(at, host).join(known, F.col(at).eqNullSafe(F.col(of)), "left")
     judged = joined.withColumn(report, _judge(F.col(text_col), F.col(lines), max_page_share))
     return judged.drop(at, of, lines)
