@@ -57,6 +57,7 @@ class Items:
 def _items(ids: list, texts: list) -> Items:
     w = tk.words(pa.array(texts, pa.string()))
     gram, at = tk.gram_places(w.hash, w.first, SEED_WORDS)
+    at = at.astype(np.int64)
     item = w.owner()[at]
     order = np.argsort(gram, kind="stable")
     unnamed = np.array([i is None for i in ids])
@@ -71,8 +72,9 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int) -> I
     blocks = -(-total // block_chars)
     for k in range(blocks):
         rows = base.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        if rows:
-            yield _items([r.i for r in rows], [r.t for r in rows])
+        items = _items([r.i for r in rows], [r.t for r in rows])
+        if len(items.seeds):
+            yield items
 
 
 def _grams(batch: pa.RecordBatch) -> tuple[tk.Words, np.ndarray, np.ndarray]:

@@ -55,6 +55,7 @@ def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x = np.append(np.insert(x, starts[:-1], 0), np.uint64(0))
     owner = np.append(np.insert(owner, starts[:-1], np.arange(len(at) - 1)), max(0, len(at) - 2))
     keep = x != 0
+    keep[0] = True
     keep[1:] |= x[:-1] != 0
     return x[keep], owner[keep].astype(np.uint64)
 
