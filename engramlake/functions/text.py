@@ -29,10 +29,13 @@ def trigrams(x: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams; 0 if neither text has any."""
-    x, y = trigrams(a), trigrams(b)
-    both = F.size(F.array_intersect(x, y))
-    whole = F.size(x) + F.size(y) - both
-    return F.when(whole > 0, both / whole).otherwise(F.lit(0.0))
+    pair = F.struct(trigrams(a).alias("x"), trigrams(b).alias("y"))
+    sizes = lambda p: F.struct(
+        F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("all")
+    )
+    share = lambda n: F.when(n["all"] > 0, n["both"] / (n["all"] - n["both"])).otherwise(F.lit(0.0))
+    # lambda variables keep each list of trigrams from being made more than once
+    return F.transform(F.transform(F.array(pair), sizes), share)[0]
 
 
 def contains_all(x: Column, terms: list[str]) -> Column:
