@@ -503,3 +503,124 @@ def eval_metrics(spark, d):
     x = V.table(spark, d, "labels").select((F.col("doc_id") % 10).alias("session"), F.col("doc_id").alias("item"), "quality", "toxic")
     golden = x.filter("quality = 1").select("session", "item", F.lit(1).alias("wanted"))
     return L.quality_metrics(golden, x.filter("toxic = 0").select("session", "item"))
+
+
+# rules and ledgers
+
+
+@_query(f"""WITH {_PAGES} SELECT slug, CASE WHEN regexp_matches(title, '^\\s*$') THEN 'skip' WHEN contains(lower(body), 'thing') OR contains(lower(body), 'deadline') THEN 'escalate'
+WHEN length(body) < 60 THEN 'skip' ELSE 'evaluate' END AS verdict FROM pages_v""")
+def noise_l1(spark, d):
+    from engramlake.operators import rules
+
+    return V.pages(spark, d).select("slug", rules.noise(F.col("title"), F.col("body"), ["thing", "deadline"]).alias("verdict"))
+
+
+_SCORE = r"""t AS (SELECT doc_id, 1.5 * len(regexp_extract_all(body, '[一-鿿㐀-䶿぀-ヿ가-힯]')) + 1.3 * len(regexp_extract_all(regexp_replace(body, '[一-鿿㐀-䶿぀-ヿ가-힯]', ' ', 'g'), '[^\s]+')) AS t,
+ list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM pages_v),
+s AS (SELECT doc_id, t::DOUBLE AS t, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w)::DOUBLE ELSE 0 END AS u FROM t),
+b AS (SELECT doc_id, CASE WHEN t < 50 THEN t / 50 WHEN t <= 500 THEN 1 WHEN t <= 3000 THEN 1 - (t - 500) / 5000 ELSE 0.5::DOUBLE END AS a,
+ CASE WHEN u > 0.6::DOUBLE THEN 1 WHEN u <= 0 THEN 0 WHEN u < 0.2::DOUBLE THEN 0.1::DOUBLE ELSE (u - 0.2::DOUBLE) / 0.4::DOUBLE END AS r FROM s)"""
+
+
+@_query(f"WITH {_PAGES}, {_SCORE} SELECT doc_id, round((a + r + 1.5 * 0.9 + 3 * 0.5) / 7.5, 4)::DOUBLE AS score FROM b")
+def block_score(spark, d):
+    from engramlake.operators import rules
+
+    p = V.pages(spark, d)
+    return p.select("doc_id", F.round(rules.block_score(F.col("body"), F.lit(0.9), F.lit(0.5), F.lit(0.0)), 4).alias("score"))
+
+
+@_query(f"""WITH {_PAGES}, k AS (SELECT type, substr(title, 1, 1) AS topic, count(*) AS n FROM pages_v GROUP BY 1, 2) SELECT type, topic, n FROM k WHERE n > 1""")
+def payload_dups(spark, d):
+    from engramlake.operators import rules
+
+    return rules.repeated(V.pages(spark, d).withColumn("topic", F.substring("title", 1, 1)), ["type", "topic"])
+
+
+_STATES = """s AS (SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events)"""
+
+
+@_query(f"WITH {_STATES} SELECT was, state, count(*) AS n FROM s WHERE was IS NOT NULL GROUP BY was, state")
+def state_transitions(spark, d):
+    from engramlake.operators import rules
+
+    return rules.transitions(V.table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@_query("""WITH f AS (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failures FROM events GROUP BY user_id)
+SELECT user_id, failures::BIGINT AS failures, least(300 * power(2, failures), 21600)::BIGINT AS wait_s, CASE WHEN failures >= 3 THEN true ELSE false END AS alert FROM f""")
+def backoff(spark, d):
+    from engramlake.operators import rules
+
+    f = V.table(spark, d, "events").groupBy("user_id").agg(F.sum((F.col("event_type") == "error").cast("long")).alias("failures"))
+    return f.select("user_id", "failures", rules.backoff(F.col("failures")).alias("wait_s"), (F.col("failures") >= 3).alias("alert"))
+
+
+@_query(f"""WITH {_GROUP}, r AS (SELECT channel, at_s // 86400 AS day, sum(value) AS v, count(*) AS runs FROM group_v GROUP BY 1, 2)
+SELECT channel, day, runs, sum(runs) OVER (PARTITION BY channel ORDER BY day ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS two_days FROM r""")
+def run_stats(spark, d):
+    day = F.floor(F.col("at_s") / 86400).alias("day")
+    r = V.group_messages(spark, d).groupBy("channel", day).agg(F.count(F.lit(1)).alias("runs"))
+    return r.withColumn("two_days", F.sum("runs").over(W.partitionBy("channel").orderBy("day").rowsBetween(-1, 0)))
+
+
+@_query(f"""WITH {_CONTRIB}, a AS (SELECT page, signal_type, what, row_number() OVER (PARTITION BY page ORDER BY created_s DESC, contribution_id DESC) AS place FROM contrib_v WHERE active)
+SELECT page, signal_type, what, place::INTEGER AS place FROM a WHERE place <= 3""")
+def session_context(spark, d):
+    from engramlake.operators import rules
+
+    x = V.contributions(spark, d).filter("active")
+    return rules.first_rows(x, ["page"], 3, F.desc("created_s"), F.desc("contribution_id")).select("page", "signal_type", "what", "place")
+
+
+@_query(f"""WITH {_CONTRIB} SELECT contribution_id, CASE WHEN authority = 'user_confirmed' THEN 'UPDATE' WHEN active AND signal_type IN ('task', 'preference') THEN 'NEW' ELSE 'NOOP' END AS action FROM contrib_v""")
+def plan_actions(spark, d):
+    from engramlake.operators import rules
+
+    return V.contributions(spark, d).select("contribution_id", rules.planned_action().alias("action"))
+
+
+@_query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS was FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS now FROM customer WHERE c_custkey % 4 <> 0)
+SELECT k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN was = now THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (k)""")
+def schedule_diff(spark, d):
+    from engramlake.operators import rules
+
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = c.filter("k % 4 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return rules.changes(c.filter("k % 3 <> 0"), new, "k", "v")
+
+
+@_query(f"""WITH {_PAGES}, {_CONTRIB} SELECT p.slug, p.title, count(c.contribution_id) AS signals, count(DISTINCT c.signal_type) AS kinds, max(c.created_s) AS newest_s
+FROM pages_v p LEFT JOIN contrib_v c ON c.page = p.slug AND c.active GROUP BY p.slug, p.title""")
+def entity_profile(spark, d):
+    c = V.contributions(spark, d).filter("active").groupBy(F.col("page").alias("slug"))
+    c = c.agg(F.count(F.lit(1)).alias("signals"), F.count_distinct("signal_type").alias("kinds"), F.max("created_s").alias("newest_s"))
+    x = V.pages(spark, d).select("slug", "title").join(c, "slug", "left")
+    return x.fillna(0, ["signals", "kinds"])
+
+
+@_query(r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([a-z][a-z])/', 1) AS section FROM pages)
+SELECT page_id, host, section, CASE WHEN section = '' THEN 'reject' WHEN host LIKE '%.example.net' THEN 'wiki_node' ELSE 'docx' END AS kind FROM u""")
+def parse_url(spark, d):
+    from engramlake.operators import rules
+
+    return rules.url_kind(V.table(spark, d, "pages"))
+
+
+@_query(f"""WITH {_PAGES}, {_CONTRIB} SELECT slug, CASE WHEN created_s < {AS_OF_S} - 86400 * 20 THEN true ELSE false END AS stale, c.page IS NULL AS unsourced
+FROM pages_v p LEFT JOIN (SELECT DISTINCT page FROM contrib_v WHERE active) c ON c.page = p.slug""")
+def gaps(spark, d):
+    c = V.contributions(spark, d).filter("active").select(F.col("page").alias("slug"), F.lit(True).alias("has")).distinct()
+    stale = (F.col("created_s") < AS_OF_S - 86400 * 20).alias("stale")
+    return V.pages(spark, d).join(c, "slug", "left").select("slug", stale, F.col("has").isNull().alias("unsourced"))
+
+
+@_query(f"""WITH {_PAGES}, w AS (SELECT slug, unnest(regexp_extract_all('see [[part_of:' || channel || ']] and [[' || type || ']] and [[bad rel:x]]', '\\[\\[([^\\]]+)\\]\\]', 1)) AS l FROM pages_v)
+SELECT DISTINCT slug, CASE WHEN contains(l, ':') THEN split_part(l, ':', 1) ELSE 'mentions' END AS rel, CASE WHEN contains(l, ':') THEN substr(l, instr(l, ':') + 1) ELSE l END AS target FROM w
+WHERE NOT contains(l, ':') OR split_part(l, ':', 1) IN ('part_of', 'mentions', 'precedes', 'uses')""")
+def wikilinks(spark, d):
+    from engramlake.operators import rules
+
+    body = F.concat(F.lit("see [[part_of:"), F.col("channel"), F.lit("]] and [["), F.col("type"), F.lit("]] and [[bad rel:x]]"))
+    return rules.wikilinks(V.pages(spark, d).select("slug", body.alias("body")))
