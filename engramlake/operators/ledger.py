@@ -94,3 +94,19 @@ def quality_metrics(golden: DataFrame, output: DataFrame) -> DataFrame:
     return hit.agg(
         F.round(miss / F.count("wanted"), 6).alias("miss_rate"), F.round(noise / F.count("found"), 6).alias("noise_rate")
     )
+
+
+def same_titles(pages: DataFrame) -> DataFrame:
+    """Merge suggestions for pages of a type with one title: each into the one with the least slug."""
+    into = F.min("slug").alias("into")
+    groups = pages.filter("title <> ''").groupBy("type", "title").agg(into, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    x = pages.select("slug", "type", "title").join(groups.drop("n"), ["type", "title"])
+    return x.filter(F.col("slug") != F.col("into")).select("type", F.col("slug").alias("from"), "into")
+
+
+def resolve(names: DataFrame, handles: DataFrame, cache: DataFrame) -> DataFrame:
+    """Slug of each key by the first step of a ladder that knows it: a handle, then the cache, then the key itself."""
+    h, c = handles.select("key", F.col("slug").alias("_h")), cache.select("key", F.col("slug").alias("_c"))
+    x = names.join(h, "key", "left").join(c, "key", "left")
+    step = F.when(F.col("_h").isNotNull(), "handle").when(F.col("_c").isNotNull(), "cache").otherwise("new")
+    return x.select("key", F.coalesce("_h", "_c", F.concat(F.lit("person/"), "key")).alias("slug"), step.alias("step"))

@@ -624,3 +624,53 @@ def wikilinks(spark, d):
 
     body = F.concat(F.lit("see [[part_of:"), F.col("channel"), F.lit("]] and [["), F.col("type"), F.lit("]] and [[bad rel:x]]"))
     return rules.wikilinks(V.pages(spark, d).select("slug", body.alias("body")))
+
+
+@_query(f"""WITH {_PAGES}, g AS (SELECT type, title, min(slug) AS "into" FROM pages_v WHERE title <> '' GROUP BY type, title HAVING count(*) > 1)
+SELECT p.type, p.slug AS "from", g."into" FROM pages_v p JOIN g ON p.type = g.type AND p.title = g.title WHERE p.slug <> g."into" """)
+def merge_suggestions(spark, d):
+    return L.same_titles(V.pages(spark, d))
+
+
+@_query("""WITH k AS (SELECT DISTINCT user_id::VARCHAR AS key FROM events), h AS (SELECT c_custkey::VARCHAR AS key, 'customer/' || c_custkey AS slug FROM customer WHERE c_custkey % 2 = 0),
+c AS (SELECT s_suppkey::VARCHAR AS key, 'supplier/' || s_suppkey AS slug FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT k.key, coalesce(h.slug, c.slug, 'person/' || k.key) AS slug, CASE WHEN h.slug IS NOT NULL THEN 'handle' WHEN c.slug IS NOT NULL THEN 'cache' ELSE 'new' END AS step
+FROM k LEFT JOIN h USING (key) LEFT JOIN c USING (key)""")
+def resolve_person(spark, d):
+    def dim(name, key, prefix, n):
+        x = V.table(spark, d, name).filter(F.col(key) % n == 0)
+        return x.select(F.col(key).cast("string").alias("key"), F.concat(F.lit(prefix), F.col(key).cast("string")).alias("slug"))
+
+    names = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key")).distinct()
+    return L.resolve(names, dim("customer", "c_custkey", "customer/", 2), dim("supplier", "s_suppkey", "supplier/", 3))
+
+
+@_query(f"""WITH {_PAGES}, t AS (SELECT slug, unnest([channel, platform, tier]) AS tag FROM pages_v)
+SELECT slug, count(*) AS n, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT slug, tag FROM t WHERE tag IS NOT NULL) GROUP BY slug""")
+def tags_grouped(spark, d):
+    tags = F.array_sort(F.array_distinct(F.array_compact(F.array("channel", "platform", "tier"))))
+    x = V.pages(spark, d).select("slug", tags.alias("t"))
+    return x.select("slug", F.size("t").cast("long").alias("n"), F.array_join("t", ",").alias("tags"))
+
+
+@_query(f"""WITH {_PAGES}, k AS (SELECT doc_id, sha256(body) AS h FROM pages_v WHERE doc_id % 3 <> 0)
+SELECT p.slug, CASE WHEN k.h IS NULL THEN 'new' WHEN k.h = sha256(p.body) THEN 'unchanged' ELSE 'revised' END AS status FROM pages_v p LEFT JOIN k USING (doc_id)""")
+def ledger_status(spark, d):
+    x = V.pages(spark, d).select("doc_id", "slug", F.sha2("body", 256).alias("hash"))
+    y = L.status(x, x.filter("doc_id % 3 <> 0"), "doc_id", "hash")
+    return y.select("slug", F.when(F.col("status") == "modified", "revised").otherwise(F.col("status")).alias("status"))
+
+
+@_query(f"""WITH {_PAGES} SELECT CASE WHEN type IN ('decision', 'task') THEN 'Work' WHEN type = 'knowledge' THEN 'Knowledge' ELSE 'Other' END AS section, count(*) AS n FROM pages_v GROUP BY 1""")
+def type_groups(spark, d):
+    section = F.when(F.col("type").isin("decision", "task"), "Work").when(F.col("type") == "knowledge", "Knowledge").otherwise("Other")
+    return V.pages(spark, d).groupBy(section.alias("section")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"""WITH {_PAGES}, {_CONTRIB}, q AS (SELECT contribution_id, family, revision, active FROM contrib_v)
+SELECT family, max(revision) AS newest, sum(CASE WHEN active THEN 1 ELSE 0 END)::BIGINT AS active, count(*) AS revisions,
+ max(CASE WHEN active THEN revision END) IS DISTINCT FROM max(revision) AS stale FROM q GROUP BY family""")
+def rollback_guard(spark, d):
+    x = V.contributions(spark, d).groupBy("family")
+    live, newest = F.max(F.when(F.col("active"), F.col("revision"))), F.max("revision")
+    return x.agg(newest.alias("newest"), F.sum(F.col("active").cast("long")).alias("active"), F.count(F.lit(1)).alias("revisions"), (~live.eqNullSafe(newest)).alias("stale"))
