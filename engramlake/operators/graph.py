@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.operators.steps import settled
+
 
 def out_links(edges: DataFrame, slug: str) -> DataFrame:
     return edges.filter(F.col("src") == slug)
@@ -28,7 +30,9 @@ def traverse(edges: DataFrame, start: str, depth: int = 5, direction: str = "out
     front = seen
     for d in range(1, min(depth, 10) + 1):
         met = front.join(steps, front.slug == steps["at"]).select(F.col("to").alias("slug")).distinct()
-        front = met.join(seen.select("slug"), "slug", "left_anti").select("slug", F.lit(d).alias("depth"))
+        front = settled(met.join(seen.select("slug"), "slug", "left_anti").select("slug", F.lit(d).alias("depth")))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

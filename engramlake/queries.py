@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engramlake import registry
 from engramlake import views as V
 from engramlake.functions import text as T
 from engramlake.operators import activity as A
 from engramlake.operators import graph as G
 from engramlake.operators import ledger as L
 from engramlake.operators import retrieval as R
+from engramlake.registry import query as _query
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 AS_OF_S = 1706745600
 
 _PAGES = """pages_v AS (SELECT doc_id, 'knowledge/doc-' || doc_id AS slug,
@@ -58,22 +53,18 @@ _CHUNKS = r"""chunk_v AS (SELECT doc_id, i::INTEGER AS chunk_index, array_to_str
         FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)))"""
 
 
-def _query(sql: str | None = None, name: str | None = None):
-    def register(f: Query) -> Query:
-        _QUERIES[name or f.__name__] = f
-        if sql is not None:
-            _SQL[name or f.__name__] = sql
-        return f
-
-    return register
+def _all() -> None:
+    from engramlake.plans import ingest, knowledge, upkeep  # noqa: F401  (they enter their queries)
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    _all()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _all()
+    return dict(registry.SQL)
 
 
 # retrieval

@@ -15,7 +15,7 @@ from engramlake.operators import ledger as L
 from engramlake.operators import retrieval as R
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "customer supplier nation region orders events documents embeddings pages labels conversations".split()
+TABLES = "customer supplier nation region part orders events documents embeddings pages labels conversations".split()
 
 
 def plain(rows):
