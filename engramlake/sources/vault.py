@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """file and content of every Markdown page under a folder; hidden folders, placeholders and empty pages are left out."""
-    x = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    x = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     x = x.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     return x.filter(F.col("content").rlike(r"\S") & ~F.col("file").rlike(r"/\.[^/]+/") & ~F.col("file").rlike(r"/_[^/]*\.md$"))
 
