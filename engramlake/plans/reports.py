@@ -93,10 +93,10 @@ def chunks_of_page(spark, d):
     return R.chunks(V.pages(spark, d).filter("doc_id = 7")).select("chunk_index", "chunk_text")
 
 
-@query("SELECT doc_id, instr(lower(text), 'the') > 0 AS hit FROM documents WHERE text IS NOT NULL")
+@query("""WITH m AS (SELECT doc_id, text, instr(lower(text), 'the') AS p FROM documents WHERE text IS NOT NULL), w AS (SELECT *, greatest(p - 40, 1) AS lo, least(p + 43, length(text) + 1) AS hi FROM m)
+SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN lo > 1 THEN '...' ELSE '' END || substr(text, lo, p - lo) || '**' || substr(text, p, 3) || '**' || substr(text, p + 3, hi - p - 3) || CASE WHEN hi <= length(text) THEN '...' ELSE '' END END AS snippet FROM w""")
 def snippet(spark, d):
-    x = V.table(spark, d, "documents").filter("text IS NOT NULL")
-    return x.select("doc_id", T.snippet(F.col("text"), "the").isNotNull().alias("hit"))
+    return V.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
 
 
 @query(f"""WITH {_GROUP} SELECT event_id, '[' || at_s || '] ' || contact || ': ' || channel AS line FROM group_v""")
@@ -143,7 +143,7 @@ def action_items(spark, d):
     return x.filter(F.length("line") >= 20).select("doc_id", slug.alias("slug"))
 
 
-@query(f"WITH {_PAGES}, s AS (SELECT slug FROM pages_v WHERE doc_id % 3 = 0) SELECT count(*) AS pages, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS shared FROM pages_v")
+@query(f"WITH {_PAGES} SELECT count(*) AS pages, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS shared FROM pages_v")
 def shadow_leak(spark, d):
     p = V.pages(spark, d)
     shadow = p.filter("doc_id % 3 = 0").select("slug", F.lit(1).alias("both"))
