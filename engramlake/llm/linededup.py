@@ -1,22 +1,22 @@
 """Line dedup by site-relative frequency.
 
 The pages of a host are grouped; a line that stands on more than `ratio` of them, and on at
-least `min_pages`, is boilerplate of that host and is dropped from its pages. Lines are compared
-without the white space at their ends; a page counts once however often it has the line; lines
-without a word are never boilerplate and stay.
+least `min_pages`, is boilerplate of that host and is dropped from its pages, whatever share of a
+page that is. Lines are compared without the white space at their ends; a page counts once however
+often it has the line; lines without a word are never boilerplate and stay.
 
-A page most of whose characters would go (more than `max_page_share` of them) is kept whole: such
-a page is one of many copies of a page, which document dedup should reduce to one, and not a
-page with boilerplate around its own text.
+Pages of a host that have the same text count as one page, among its pages and for its lines: copies
+of a page do not make its own lines boilerplate, and are left whole for document dedup.
 
-How it runs: (host, line hash) pairs are counted with map-side partial sums, so a hot host or a
-line on a third of all pages costs one small row per task. What survives is one array of hashes
+How it runs: the line hashes of a page (8 bytes each) meet those of its copies by a hash of its text,
+and one of them stays; then (host, line hash) pairs are counted with map-side partial sums, so a hot
+host, a page copied very often or a line on a third of all pages costs one small row per task. What survives is one array of hashes
 per host, with at most (average lines per page) / ratio entries; it is joined to the pages by
 host, as a broadcast if it has at most `MOST_LINES` hashes and else as a sort-merge join whose skewed host
 adaptive execution splits. The lines of a page are never shuffled apart from their page.
 
 Defined results: a null text stays null and counts as a page without lines; an empty text stays
-empty; null hosts are one host; repeated rows count as so many pages; an empty table gives an
+empty, and so does a page of boilerplate only; null hosts are one host; an empty table gives an
 empty table. Other columns are passed through, whatever their names.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.common import SPACES, durable, fresh, let
 
-RATIO, MIN_PAGES, MAX_PAGE_SHARE = 0.02, 5, 0.5
+RATIO, MIN_PAGES = 0.02, 5
 #: Boilerplate lines of all hosts up to which their hashes (8 bytes each) are broadcast; beyond, they are a shuffled join.
 MOST_LINES = 500_000
 
@@ -44,16 +44,19 @@ def boilerplate(
     pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """One row per host that has boilerplate: `host` and `lines`, the hashes of its boilerplate lines."""
-    base = pages.select(host.alias("host"), text.alias("text"))
-    distinct = F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACES))))
-    each = base.select("host", F.explode(F.filter(distinct, lambda x: x != "")).alias("line"))
-    counts = each.groupBy("host", F.xxhash64("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
-    totals = base.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("total"))
+    lines = F.array_distinct(F.transform(_lines(text), lambda x: F.btrim(x, F.lit(SPACES))))
+    hashes = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))
+    base = pages.select(host.alias("host"), F.xxhash64(text).alias("page"), hashes.alias("lines"))
+    base = base.dropDuplicates(["host", "page"])
+    each = base.select("host", F.explode("lines").alias("line"))
+    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pages.select(host.alias("of"), F.xxhash64(text).alias("page")).distinct()
+    totals = pairs.groupBy("of").agg(F.count(F.lit(1)).alias("total"))
     over = counts.filter(F.col("n") >= min_pages).join(totals, F.col("host").eqNullSafe(F.col("of")))
     return over.filter(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def _judge(text: Column, known: Column, max_page_share: float) -> Column:
+def _judge(text: Column, known: Column) -> Column:
     """Struct: the text that stays, its count of lines, dropped lines and dropped characters."""
 
     def of_lines(lines: Column) -> Column:
@@ -64,13 +67,12 @@ def _judge(text: Column, known: Column, max_page_share: float) -> Column:
         return let(F.filter(lines, lambda x: F.array_contains(f, _key(x))), lambda gone: verdict(lines, f, gone))
 
     def verdict(lines: Column, f: Column, gone: Column) -> Column:
-        drop = (F.size(f) > 0) & (chars(gone) <= max_page_share * chars(lines))
         stays = F.array_join(F.filter(lines, lambda x: ~F.array_contains(f, _key(x))), "\n")
         return F.struct(
-            F.when(drop, stays).otherwise(text).alias("text"),
+            F.when(F.size(f) > 0, stays).otherwise(text).alias("text"),
             F.size(lines).cast("long").alias("n_lines"),
-            F.when(drop, F.size(gone)).otherwise(0).cast("long").alias("n_dropped"),
-            F.when(drop, chars(gone)).otherwise(0).cast("long").alias("dropped_chars"),
+            F.size(gone).cast("long").alias("n_dropped"),
+            chars(gone).cast("long").alias("dropped_chars"),
         )
 
     chars = lambda a: F.length(F.array_join(a, ""))
@@ -87,7 +89,6 @@ def dedup_lines(
     text_col: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    max_page_share: float = MAX_PAGE_SHARE,
     report: str = "line_report",
 ) -> DataFrame:
     """The pages with a struct column `report`: text, n_lines, n_dropped, dropped_chars."""
@@ -98,7 +99,7 @@ def dedup_lines(
     if (known.agg(F.sum(F.size(lines))).first()[0] or 0) <= MOST_LINES:
         known = F.broadcast(known)
     joined = pages.withColumn(at, host).join(known, F.col(at).eqNullSafe(F.col(of)), "left")
-    judged = joined.withColumn(report, _judge(F.col(text_col), F.col(lines), max_page_share))
+    judged = joined.withColumn(report, _judge(F.col(text_col), F.col(lines)))
     return judged.drop(at, of, lines)
 
 

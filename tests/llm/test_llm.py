@@ -317,6 +317,16 @@ def test_boilerplate_goes_and_own_lines_stay(spark):
     assert linededup.clean_documents(d).columns == d.columns and linededup.clean_documents(d.limit(0)).count() == 0
 
 
+def test_boilerplate_goes_from_thin_pages_and_copies_stay_whole(spark):
+    header = " ".join(words(1, 40))
+    pages = [f"{header}\n{' '.join(words(i, 4))}" for i in range(2, 32)] + [header] + ["\n".join(["one page", "copied"])] * 30
+    rows = linededup.dedup_lines(docs(spark, pages), F.col("source")).select("doc_id", "line_report.*").collect()
+    out = {r.doc_id: r for r in rows}
+    assert all(out[i].text == " ".join(words(i + 2, 4)) and out[i].n_dropped == 1 for i in range(30))
+    assert (out[30].text, out[30].n_dropped, out[30].dropped_chars) == ("", 1, len(header))
+    assert all((out[i].text, out[i].n_dropped) == ("one page\ncopied", 0) for i in range(31, 61))
+
+
 # 10 WARC
 
 
