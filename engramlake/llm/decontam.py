@@ -1,11 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Seeds. The word n-grams (`SEED_WORDS`) of the test items are counted over the whole corpus. An
-   item keeps the n-grams that occur at most `RARE` times per document, and its `KEEP` rarest with
-   their ties in any case, so that a passage that the corpus repeats still has seeds.
+1. Seeds. The word 3-grams (`SEED_WORDS`) of the test items are counted over the whole corpus. An
+   item keeps the n-grams that occur at most `RARE` times per document, and in any case its rarest
+   with their ties: `KEEP` of them, and more than a match can lose.
 2. Candidates. A document meets an item if it has enough of the item's seeds. Enough is what every
-   alignment at the threshold leaves: an item of m words at similarity t loses at most
-   (1 - t) * 1.5 m of its n-grams, so the rest of its kept seeds must be there; no match is lost.
+   alignment at the threshold leaves: a match of an item of m words at similarity t has edits that
+   cost (1 - t) m at most. A word inserted costs 1 and breaks two 3-grams, one replaced or deleted
+   costs 2 and breaks three, one cut off an end costs 1 and breaks one, so 2 (1 - t) m are lost at
+   most, and the rest of the kept seeds must be there. An item that could lose all its 3-grams (at 0.6: one of up to 10
+   words) is met by its 2-grams instead, of which every edit breaks at most one for each unit that
+   it costs. Seeds reach every match of at least two words; at a threshold of 1 / m or less, single words do not count.
 3. Alignment. Around each group of seed hits on neighbouring diagonals a window of the document's
    words is aligned to the item's words (match 1, mismatch -1, gap -1, local). The best score over
    m is the similarity; `THRESHOLD` 0.6 of it is met by a copy with 20 % of its words replaced.
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm import tokens as tk
 
-SEED_WORDS, RARE, KEEP, THRESHOLD, BLOCK_CHARS = 3, 1e-3, 16, 0.6, 8 << 20
+SEED_WORDS, SHORT_SEED_WORDS, RARE, KEEP, THRESHOLD, BLOCK_CHARS = 3, 2, 1e-3, 16, 0.6, 8 << 20
 #: Cells of the alignment tables that are filled at once.
 CELLS = 1 << 21
 
@@ -41,8 +45,8 @@ _MATCH = "doc_id long, item_id long, similarity double, score long, item_words l
 
 @dataclass
 class Items:
-    """A block of test items: ids (`unnamed`: null ones), the words of all, the kept seeds sorted by hash, and how many of them
-    a document must have."""
+    """A block of test items: ids (`unnamed`: null ones), the words of all, the kept seeds sorted by hash, how many of them a
+    match can lose, how many a document must have, and the lengths of seeds in use."""
 
     ids: np.ndarray
     unnamed: np.ndarray
@@ -51,35 +55,50 @@ class Items:
     seeds: np.ndarray
     seed_item: np.ndarray
     seed_place: np.ndarray
+    lost: np.ndarray
     need: np.ndarray
+    lengths: tuple[int, ...]
 
 
-def _items(ids: list, texts: list) -> Items:
+def _runs(hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of words of these lengths, the index of the first word of each, and its length."""
+    found = [tk.gram_places(hashes, first, n) for n in lengths]
+    gram, at = (np.concatenate(x) for x in zip(*found))
+    return gram, at.astype(np.int64), np.repeat(lengths, [len(g) for g, _ in found])
+
+
+def _items(ids: list, texts: list, threshold: float) -> Items:
     w = tk.words(pa.array(texts, pa.string()))
-    gram, at = tk.gram_places(w.hash, w.first, SEED_WORDS)
-    at = at.astype(np.int64)
+    m = w.lengths()
+    lost = np.floor(2 * (1 - threshold) * m + 1e-9).astype(np.int64)
+    short = (m >= SEED_WORDS) & (m - SEED_WORDS + 1 <= lost)
+    lost[short] = np.floor((1 - threshold) * m[short] + 1e-9).astype(np.int64)
+    lengths = (SEED_WORDS, SHORT_SEED_WORDS) if short.any() else (SEED_WORDS,)
+    gram, at, length = _runs(w.hash, w.first, lengths)
     item = w.owner()[at]
+    mine = (m[item] >= SEED_WORDS) & (length == np.where(short[item], SHORT_SEED_WORDS, SEED_WORDS))
+    gram, at, item = gram[mine], at[mine], item[mine]
     order = np.argsort(gram, kind="stable")
     unnamed = np.array([i is None for i in ids])
     named = np.array([i or 0 for i in ids], dtype=np.int64)
     place = at[order] - w.first[item[order]]
-    return Items(named, unnamed, w.hash, w.first, gram[order], item[order], place, np.ones(len(ids), dtype=np.int64))
+    return Items(named, unnamed, w.hash, w.first, gram[order], item[order], place, lost, np.ones(len(ids), dtype=np.int64), lengths)
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[Items]:
+def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int, threshold: float) -> Iterator[Items]:
     base = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
     total = base.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for k in range(blocks):
         rows = base.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        items = _items([r.i for r in rows], [r.t for r in rows])
+        items = _items([r.i for r in rows], [r.t for r in rows], threshold)
         if len(items.seeds):
             yield items
 
 
-def _grams(batch: pa.RecordBatch) -> tuple[tk.Words, np.ndarray, np.ndarray]:
+def _grams(batch: pa.RecordBatch, lengths: tuple[int, ...]) -> tuple[tk.Words, np.ndarray, np.ndarray]:
     w = tk.words(batch.column("text"))
-    gram, at = tk.gram_places(w.hash, w.first - w.first[0], SEED_WORDS)
+    gram, at, _ = _runs(w.hash, w.first - w.first[0], lengths)
     return w, gram, at
 
 
@@ -90,12 +109,12 @@ def _among(gram: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hit, place[hit]
 
 
-def _count(shared):
+def _count(shared, lengths: tuple[int, ...]):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         counts, docs = np.zeros(len(known), dtype=np.int64), 0
         for batch in tk.batches(stream, "text"):
-            _, gram, _ = _grams(batch)
+            _, gram, _ = _grams(batch, lengths)
             counts += np.bincount(_among(gram, known)[1], minlength=len(known))
             docs += batch.num_rows
         at = np.flatnonzero(counts)
@@ -106,26 +125,25 @@ def _count(shared):
     return run
 
 
-def rare_seeds(docs: DataFrame, items: Items, rare: float = RARE, keep: int = KEEP, threshold: float = THRESHOLD) -> Items:
+def rare_seeds(docs: DataFrame, items: Items, rare: float = RARE, keep: int = KEEP) -> Items:
     """The block with its rare seeds only, by their counts over the whole corpus, and the hits that each item needs."""
     known = np.unique(items.seeds)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    got = docs.select("text").mapInArrow(_count(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(_count(shared, items.lengths), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     found = {r.seed: r.n for r in got.collect()}
     counts = np.array([found.get(k, 0) for k in range(len(known))], dtype=np.int64)
     n = counts[np.searchsorted(known, items.seeds)]
     order = np.lexsort((n, items.seed_item))
     per = np.bincount(items.seed_item, minlength=len(items.ids))
     begin = np.cumsum(per) - per
-    last = np.zeros(len(items.ids), dtype=np.int64)  # the count of the item's keep-th rarest seed
+    last = np.zeros(len(items.ids), dtype=np.int64)  # the count of the last of the item's rarest seeds
     some = per > 0
-    last[some] = n[order][begin[some] + np.minimum(per[some], keep) - 1]
+    last[some] = n[order][begin[some] + np.minimum(per[some], np.maximum(keep, items.lost[some] + 1)) - 1]
     stays = (n <= max(1.0, rare * found.get(-1, 0))) | (n <= last[items.seed_item])
     kept = np.bincount(items.seed_item[stays], minlength=len(items.ids))
-    lost = np.floor(1.5 * (1 - threshold) * np.diff(items.first) + 1e-9).astype(np.int64)
     return Items(
         items.ids, items.unnamed, items.words, items.first, items.seeds[stays], items.seed_item[stays], items.seed_place[stays],
-        np.maximum(1, kept - lost),
+        items.lost, np.maximum(1, kept - items.lost), items.lengths,
     )
 
 
@@ -155,7 +173,7 @@ def align(a: np.ndarray, b: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, n
 def _matches(batch: pa.RecordBatch, items: Items, threshold: float) -> tuple[np.ndarray, ...]:
     """Row, item, score, first and last word of every match in a batch."""
     none = (np.zeros(0, np.int64),) * 5
-    w, gram, at = _grams(batch)
+    w, gram, at = _grams(batch, items.lengths)
     first = w.first - w.first[0]
     hit, place = _among(gram, items.seeds) if len(items.seeds) else (np.zeros(0, np.int64),) * 2
     if not len(hit):
@@ -177,12 +195,11 @@ def _matches(batch: pa.RecordBatch, items: Items, threshold: float) -> tuple[np.
         return none
     row, item, diagonal = row[good], item[good], (word - inner)[good]
     m = size[item]
-    pad = m // 4 + 2
     bins = np.floor_divide(diagonal, 2 * m)
     key = np.unique(np.stack([item, row, bins]), axis=1)
     item, row, bins = key
     m = size[item]
-    pad = m // 4 + 2
+    pad = np.ceil((1 - threshold) * m).astype(np.int64) + 2  # a match has no more words inserted than that
     lo = np.maximum(bins * 2 * m - pad, 0)
     hi = np.minimum((bins + 1) * 2 * m + m + pad, np.diff(first)[row])
     score, end = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
@@ -241,8 +258,8 @@ def contaminated(
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     out = spark.createDataFrame([], _MATCH)
-    for items in _blocks(bench, id_col, text_col, block_chars):
-        shared = spark.sparkContext.broadcast(rare_seeds(base, items, rare, keep, threshold))
+    for items in _blocks(bench, id_col, text_col, block_chars, threshold):
+        shared = spark.sparkContext.broadcast(rare_seeds(base, items, rare, keep))
         out = out.unionByName(base.mapInArrow(_find(shared, threshold), _MATCH))
     return out
 
@@ -253,7 +270,7 @@ def decontaminate(
 ) -> DataFrame:
     """The documents that hold no test item, in the columns they came with."""
     base, out = docs.select("text"), docs
-    for items in _blocks(bench, id_col, text_col, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(rare_seeds(base, items, rare, keep, threshold))
+    for items in _blocks(bench, id_col, text_col, block_chars, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(rare_seeds(base, items, rare, keep))
         out = out.mapInArrow(_drop(shared, threshold, "text"), docs.schema)
     return out

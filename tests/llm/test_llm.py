@@ -90,6 +90,29 @@ def test_decontamination_finds_copies_and_edits_only(spark):
     assert decontam.contaminated(d.limit(0), bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    r = random.Random(3)
+    items = [words(200 + k, m, 300) for k, m in enumerate([3, 4, 5, 7, 10, 11, 12, 20, 40, 60, 60])]
+    texts = [" ".join(w + (" new" if i % 3 == 2 else "") for i, w in enumerate(items[-1])), " ".join(items[2][:2] + ["other"] + items[2][3:])]
+    for k in range(300):
+        edited, share = [], r.uniform(0, 0.3)
+        for i, w in enumerate(items[k % len(items)]):
+            kind = r.choice("rid") if r.random() < share else ""
+            edited += [] if kind == "d" else [f"x{r.randrange(99)}"] if kind == "r" else [w, f"x{r.randrange(99)}"] if kind == "i" else [w]
+            edited += ["ins"] * (k % 7 == 0 and i % 3 == 1)
+        texts.append(" ".join(words(1000 + k, r.randrange(200), 300) + edited + words(2000 + k, r.randrange(200), 300)))
+    hashes = [tokens.words(pa.array([x])).hash for x in texts]
+    want = set()
+    for j, item in enumerate(items):
+        a = tokens.words(pa.array([" ".join(item)])).hash
+        for i, b in enumerate(hashes):
+            if decontam.align(a[None, :], b[None, :], np.array([len(b)]))[0][0] >= 0.6 * len(a) - 1e-9:
+                want.add((i, j))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == want and (0, 10) in got and (1, 2) in got
+
+
 # 2 toxicity
 
 
