@@ -10,10 +10,11 @@
    slots that a source drew beyond its target go, in order, to those that drew too few.
 5. Index: slot j of a source maps to block perm(j mod blocks) of pass j div blocks, where perm is
    a pseudorandom permutation keyed by source and pass (swap-or-not rounds).
-6. Join: blocks are joined to slots by (source, block index), and each document sums the words
-   that its blocks give it.
+6. Join: blocks are joined to slots by (source, block index). That is the mixed corpus (`mixed`): one row
+   per slot, with the words of its block and the spans of the documents that they come from,
+   written to the shared folder.
 
-The result is one row per document: doc_id, size, source_size, target, taken. A source's taken
+`mix` sums the spans of that output: one row per document: doc_id, size, source_size, target, taken. A source's taken
 words are within a block's length of its target, or so; a block is taken at most `cap` times
 (rounded up), so no document is taken more often than that. Everything is drawn from hashes of
 the seed, so reruns agree.
@@ -21,7 +22,8 @@ the seed, so reruns agree.
 Only DataFrame functions are used. Offsets come from two-level prefix sums (documents hash to
 chunks of about a thousand; chunk totals are summed per source), so a source with a third of all
 rows never meets in one task. One row per source passes through a single-partition window, which
-the targets need; documents, blocks and slots never do.
+the targets need; documents, blocks and slots never do. The texts are shuffled twice: to the chunk
+in which their offsets are counted, and, cut into blocks, to the slots that take these.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source; repeated
 rows are documents of their own; ties in doc_id are ordered by size and a hash of the text; an
@@ -34,20 +36,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import durable
+from engramlake.llm.common import durable, let, words_of
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, SEED, ROUNDS, BINS = 64, 4096, 1000, 20240201, 10, 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and a salt that orders equal ids; the only pass over the texts."""
+def sized(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, source, size (words), a salt that orders equal ids, and the columns named."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.xxhash64(text).alias("salt"),
+        *also,
     )
 
 
@@ -73,8 +76,8 @@ def targets(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
     return s.select(F.col("sid").cast("int").alias("sid"), "source", "source_size", "docs", target.alias("target"))
 
 
-def streams(docs: DataFrame, sources: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
-    """Documents with sid and `start`, the offset of their first word in their source's stream."""
+def streams(docs: DataFrame, sources: DataFrame, *also: str, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+    """Documents with sid and `start`, the offset of their first word in their source's stream, and the columns named."""
     chunks = F.greatest(F.lit(1), F.ceil(F.sum("docs").over(W.partitionBy()) / chunk_docs))
     dim = sources.select("sid", F.col("source").alias("of"), chunks.alias("chunks"))
     d = docs.join(dim, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
@@ -85,7 +88,7 @@ def streams(docs: DataFrame, sources: DataFrame, chunk_docs: int = CHUNK_DOCS) -
     w = W.partitionBy("sid", "chunk").orderBy("doc_id", "size", "salt").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("ahead", F.coalesce(F.sum("size").over(w), F.lit(0)))
     d = d.join(per, ["sid", "chunk"])
-    return d.select("doc_id", "sid", "size", (F.col("base") + F.col("ahead")).alias("start"))
+    return d.select("doc_id", "sid", "size", (F.col("base") + F.col("ahead")).alias("start"), *also)
 
 
 def slot_counts(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -165,25 +168,59 @@ def permuted(index: Column, n: Column, points: Column) -> Column:
     return F.aggregate(points, index, step)
 
 
-def block_takes(counts: DataFrame, dealt: DataFrame) -> DataFrame:
-    """How often each block is taken: sid, block, times."""
-    x = dealt.join(counts.select("sid", "blocks"), "sid").select(
-        "sid", F.floor(F.col("j") / F.col("blocks")).alias("turn"), F.pmod(F.col("j"), F.col("blocks")).alias("k")
+def slot_blocks(counts: DataFrame, dealt: DataFrame, seed: int = SEED) -> DataFrame:
+    """The block of each slot: shard, slot (its place in the shard, from 0), sid, block."""
+    place = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "sid", "j"), "sid", "j")
+    x = dealt.withColumn("slot", F.row_number().over(place) - 1).join(counts.select("sid", "blocks"), "sid").select(
+        "shard", "slot", "sid", F.floor(F.col("j") / F.col("blocks")).alias("turn"), F.pmod(F.col("j"), F.col("blocks")).alias("k")
     )
     x = x.join(permutation_points(counts), ["sid", "turn"])
-    x = x.select("sid", permuted(F.col("k"), F.col("blocks"), F.col("points")).alias("block"))
-    return x.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    return x.select("shard", "slot", "sid", permuted(F.col("k"), F.col("blocks"), F.col("points")).alias("block"))
 
 
-def _segments(placed: DataFrame, block_words: int) -> DataFrame:
-    """One row per document and block it has words in: their number."""
+def packed(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The blocks of the streams: sid, block, and spans in order. A span is a document's part of a block: `at`, the offset of its
+    first word in the stream, doc_id, `start` (the offset of the document), words, text."""
     b = F.lit(block_words)
-    at = F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)))
-    seg = placed.filter(F.col("size") > 0).withColumn("block", at)
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(
-        F.col("start"), F.col("block") * b
-    )
-    return seg.withColumn("words", words)
+
+    def span(k: Column, words: Column) -> Column:
+        lo = F.greatest(F.col("start"), k * b)
+        n = F.least(F.col("start") + F.col("size"), (k + 1) * b) - lo
+        text = F.array_join(F.slice(words, (lo - F.col("start") + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(
+            k.alias("block"),
+            F.struct(lo.alias("at"), F.col("doc_id"), F.col("start"), n.alias("words"), text.alias("text")).alias("span"),
+        )
+
+    blocks = F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))
+    spans = let(words_of(F.col("text")), lambda words: F.transform(blocks, lambda k: span(k, words)))
+    each = placed.filter(F.col("size") > 0).select("sid", F.explode(spans).alias("x")).select("sid", "x.block", "x.span")
+    return each.groupBy("sid", "block").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+
+
+def _mixed(docs: DataFrame, weights, share: float, cap: float, block_words: int, shard_slots: int):
+    """The sources, the documents' places in their streams, and the mixed corpus."""
+    base = durable(sized(docs), "mix-sizes")
+    sources = durable(targets(base, weights, share, cap), "mix-sources")
+    counts = slot_counts(sources, block_words)
+    taken = durable(slot_blocks(counts, slots(counts, durable(draws(counts, shard_slots), "mix-draws"))), "mix-slots")
+    blocks = packed(streams(sized(docs, "text"), sources, "text"), block_words)
+    out = taken.join(blocks, ["sid", "block"]).join(sources.select("sid", "source"), "sid")
+    text = F.array_join(F.col("spans.text"), " ")
+    out = out.select("shard", "slot", "sid", "source", "block", text.alias("text"), F.transform("spans", lambda x: x.dropFields("text")).alias("spans"))
+    return sources, durable(streams(base, sources), "mix-streams"), durable(out, "mix-corpus")
+
+
+def mixed(
+    docs: DataFrame,
+    weights=WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    block_words: int = BLOCK_WORDS,
+    shard_slots: int = SHARD_SLOTS,
+) -> DataFrame:
+    """The mixed corpus, one row per slot: shard, slot, sid, source, block, text (its words) and spans (of documents)."""
+    return _mixed(docs, weights, share, cap, block_words, shard_slots)[2]
 
 
 def mix(
@@ -194,20 +231,14 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (its source's), taken."""
-    base = durable(sized(docs), "mix-sizes")
-    sources = durable(targets(base, weights, share, cap), "mix-sources")
-    counts = slot_counts(sources, block_words)
-    placed = durable(streams(base, sources), "mix-streams")
-    takes = block_takes(counts, slots(counts, durable(draws(counts, shard_slots), "mix-draws")))
-    taken = (
-        _segments(placed, block_words)
-        .join(takes, ["sid", "block"], "left")
-        .groupBy("sid", "start", "doc_id", "size")
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
-        .select("doc_id", "sid", "size", "taken")
-    )
-    none = placed.filter(F.col("size") == 0).select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).join(sources.select("sid", "source_size", "target"), "sid").select(
+    """One row per document: doc_id, size, source_size, target (its source's), taken: its words in the mixed corpus."""
+    sources, placed, corpus = _mixed(docs, weights, share, cap, block_words, shard_slots)
+    spans = corpus.select("sid", F.explode("spans").alias("x"))
+    taken = spans.groupBy("sid", "x.start").agg(F.sum("x.words").alias("taken"))
+    # a document without words shares its start with the next one
+    some = placed.filter(F.col("size") > 0).join(taken, ["sid", "start"], "left")
+    none = placed.filter(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long"))
+    each = [x.select("doc_id", "sid", "size", F.coalesce("taken", F.lit(0)).alias("taken")) for x in (some, none)]
+    return each[0].unionByName(each[1]).join(sources.select("sid", "source_size", "target"), "sid").select(
         "doc_id", "size", "source_size", "target", "taken"
     )

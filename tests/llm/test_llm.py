@@ -177,6 +177,30 @@ def test_mix_meets_targets_and_caps_and_reruns_agree(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mixed_corpus_holds_the_words_of_its_spans(spark):
+    texts = [" ".join(words(i, 1 + i * 7 % 200)) for i in range(200)] + [None, "", " ".join(words(9, 1000)), "a\t b\n\nc "]
+    d = docs(spark, texts, source=lambda i: None if i % 10 == 9 else "abc"[i % 7 % 3])
+    rows = mixing.mixed(d, shard_slots=100).collect()
+    count, streams = Counter(), {}
+    for i, t in enumerate(texts):
+        streams.setdefault(None if i % 10 == 9 else "abc"[i % 7 % 3], []).append(i)
+    size = {k: sum(len((texts[i] or "").split()) for i in v) for k, v in streams.items()}
+    for r in rows:
+        parts = []
+        for x in r.spans:
+            at = x.at - x.start
+            parts += texts[x.doc_id].split()[at : at + x.words]
+            count[x.doc_id] += x.words
+            assert x.doc_id in streams[r.source]
+        assert r.text.split(" ") == parts and len(parts) == min(64, size[r.source] - 64 * r.block)
+    assert {r.taken for r in mixing.mix(d, shard_slots=100).collect()} != {0}
+    assert {r.doc_id: r.taken for r in mixing.mix(d, shard_slots=100).collect()} == {i: count[i] for i in range(len(texts))}
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.shard, []).append(r.slot)
+    assert len(shards) > 1 and all(sorted(v) == list(range(len(v))) and len(v) <= 100 for v in shards.values())
+
+
 # 4 URL filters
 
 
