@@ -151,13 +151,14 @@ def align(a: np.ndarray, b: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, n
     """Best local score of each row of `a` (words of an item, 0 beyond its end) against the row of `b`, of `wide` words, and
     the column at which it ends. All rows of a step are filled at once; gaps along a row are a running maximum."""
     n, m = b.shape
-    column = np.arange(m, dtype=np.int16)
+    kind = np.int16 if a.shape[1] + m < 1 << 15 else np.int32  # holds a score plus a column
+    column = np.arange(m, dtype=kind)
     inside = column[None, :] < wide[:, None]
-    last = np.zeros((n, m + 1), dtype=np.int16)
-    best, end = np.zeros(n, dtype=np.int16), np.zeros(n, dtype=np.int64)
+    last = np.zeros((n, m + 1), dtype=kind)
+    best, end = np.zeros(n, dtype=kind), np.zeros(n, dtype=np.int64)
     for i in range(a.shape[1]):
         same = (a[:, i : i + 1] == b) & (a[:, i : i + 1] != 0) & inside
-        now = np.maximum(last[:, :-1] + np.where(same, np.int16(1), np.int16(-1)), last[:, 1:] - np.int16(1))
+        now = np.maximum(last[:, :-1] + np.where(same, kind(1), kind(-1)), last[:, 1:] - kind(1))
         np.maximum(now, 0, out=now)
         now += column
         np.maximum.accumulate(now, axis=1, out=now)

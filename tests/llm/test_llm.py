@@ -70,6 +70,13 @@ def test_alignment_equals_the_table_filled_cell_by_cell():
         assert score[0] == best.max()
 
 
+def test_alignment_of_a_long_item_in_a_very_long_text():
+    for width in (32_000, 34_000):
+        b = np.arange(10, 10 + width, dtype=np.uint64)
+        score, end = decontam.align(b[None, -1500:], b[None, :], np.array([width]))
+        assert (score[0], end[0]) == (1500, width - 1)
+
+
 def test_decontamination_finds_copies_and_edits_only(spark):
     items = [words(k, 40) for k in range(6)]
     edited = list(items[1])
