@@ -92,13 +92,6 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def marks(sig: np.ndarray) -> np.ndarray:
-    """Array (texts, m // 8) of int64: one byte for each component of a signature (m a multiple of 8)."""
-    texts, m = sig.shape
-    low = (mix(sig.copy().view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
-    return low[:, : m // 8 * 8].copy().view(np.int64).reshape(texts, m // 8)
-
-
 def overlap(a: np.ndarray, ca: np.ndarray, b: np.ndarray, cb: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets given as sorted distinct elements with counts."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words, as characters and as a pattern.
@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one beside the warehouse's tables."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir, else the one set by setCheckpointDir, else, on a local master, one beside
+    the warehouse's tables."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
@@ -34,6 +38,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *totals: Column) -> tuple[DataFrame, tuple]:
+    """As `durable`, and totals over the rows, taken while they are written."""
+    seen = Observation()
+    names = [f"total{k}" for k in range(len(totals))]
+    out = durable(df.observe(seen, *[t.alias(n) for t, n in zip(totals, names)]), name)
+    return out, tuple(seen.get[n] for n in names)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like those given that no column of the frame has."""
     taken = {c.lower() for c in df.columns}

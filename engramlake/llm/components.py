@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import durable
+from engramlake.llm.common import observed
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -27,21 +27,24 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a sum of their hashes."""
+    return observed(edges, "cc", F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of the edges (columns a, b of one ordered type); the root is the least node."""
-    now = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
-    state = _state(now)
-    for _ in range(rounds):
-        if not state[0]:
+    """(node, root) for every node of the edges (columns a, b of one ordered type); the root is the least node.
+
+    The steps converge in about the logarithm of the longest path; if `rounds` of them do not, that is an error.
+    """
+    now, state = _settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    for _ in range(rounds if state[0] else 0):
+        last = state
+        now, state = _settled(_star(_star(now, False), True))
+        if state == last:
             break
-        now = durable(_star(_star(now, False), True), "cc")
-        if (new := _state(now)) == state:
-            break
-        state = new
+    else:
+        if state[0]:
+            raise RuntimeError(f"connected components did not converge in {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -4,25 +4,24 @@ Two texts are near copies if their multisets of five-word shingles have a weight
 similarity of 0.8 or more (a text of one to four words has one shingle, of all its words). The
 classes are the connected components of that relation.
 
-1. One pass over the texts gives each document the hash of its word sequence (128 bits), its
+1. One pass over the texts gives each document a node (128 bits of hashes of its word sequence), its
    number of shingles and its band hashes.
-2. Documents with one word sequence are exact copies and are reduced to one node first (partial
+2. Documents with one word sequence are exact copies and are one node (partial
    sums before the shuffle, so a group of a third of all rows is a few rows per task).
-3. Nodes that share a band meet in rounds: each bucket has one hub (the node with most copies,
-   then the least), every other member is compared with the hub only, members at 0.8 or more
-   leave the bucket with their link, and the rest choose a new hub. A bucket of g near copies
-   costs g - 1 comparisons. After `rounds` rounds what is left of a bucket (mutually unlike
-   members) is compared pair by pair, where the sizes allow a similarity of 0.8.
-4. A member between 0.6 and 0.8 from a hub may be near a text in the hub's ball without being near
-   the hub: by the triangle inequality of the Jaccard distance only such members can. Those whose
-   class is not the hub's yet are compared with the ball members the inequality leaves. Here and
-   at the end of 3, a pair is compared in one of the buckets that it shares, and only if its
-   signatures agree in no fewer components than three standard errors below the threshold.
-5. Connected components of the links, by star steps; the class id is the least doc_id in it.
+3. Nodes that share a band meet in a bucket. In each of `rounds` rounds a bucket has one hub (at first the node with most copies,
+   then one drawn by a hash), and the members that are not in the hub's class yet are compared with it. A bucket of g near copies
+   costs g - 1 comparisons. After a round the classes are the components of the links so far, and a bucket whose members are of one
+   class is done.
+4. In what is left, every two members of a bucket that are of different classes are compared, unless it is certain that they are
+   not near: by their sizes, or by their maps. A node's map has a bit for each hash value (of 16 for a shingle, or so) that one of its shingles
+   has. A bit of one node that the other lacks is a shingle that the other lacks, so the maps bound the overlap from above, and no link is
+   lost to them. A pair is weighed in the first of the buckets that it shares. Of unlike members, only pairs that may be near
+   leave the join.
+5. Connected components, by star steps; the class id is the least doc_id in it.
 
 Comparisons are exact: the texts of the pair's nodes are read again, and their shingle multisets
 are intersected. With 32 bands of 7 rows, a pair at 0.8 shares a band with probability 0.9995, at
-0.85 with 0.99999.
+0.85 with 0.99999; every pair that shares one is settled exactly.
 
 Defined results: null texts are a class of their own each; texts without a word are classed with
 equal texts; repeated rows are copies; a null doc_id takes part and has the class of its text; an
@@ -32,25 +31,25 @@ empty table gives no rows. Other columns are not read by `classes` and pass thro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm import bagminhash as bmh
 from engramlake.llm import tokens as tk
-from engramlake.llm.common import durable, fresh
+from engramlake.llm.common import durable, fresh, observed
 from engramlake.llm.components import components
 
-SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 7, 3
+SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 7, 1
 
-#: Pairs whose signatures agree in fewer components than this many standard errors below the threshold are not compared.
-ERRORS = 3.0
+#: Bits of a node's map for each of its shingles (up to the next power of two), and the most that a map has. Fewer bits bound
+#: the overlap less tightly, so that more pairs are compared; they lose none.
+MAP_BITS, MOST_BITS = 16, 1 << 15
 
-_FEATURES = "doc_id long, text_key long, h1 long, h2 long, n long, bands array<long>, marks array<long>"
+_FEATURES = "doc_id long, text_key long, node binary, n long, bands array<long>"
+_SETS = "node binary, n long, bands array<long>, map array<long>, grams binary, counts binary"
 
 
 def _content(w: tk.Words) -> list[np.ndarray]:
@@ -66,6 +65,12 @@ def _content(w: tk.Words) -> list[np.ndarray]:
     return out
 
 
+def _pack(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary column of runs of an array: run i is values[at[i]:at[i + 1]]."""
+    offsets = (at * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
 def _features(bands: int, rows: int, shingle: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.batches(stream, "text"):
@@ -74,37 +79,47 @@ def _features(bands: int, rows: int, shingle: int):
             gram, owner, count = bmh.multisets(*tk.grams(w.hash, w.first, shingle, short=True))
             n = np.bincount(owner, weights=count, minlength=batch.num_rows).astype(np.int64)
             sig = bmh.signatures(gram, owner, count, batch.num_rows, bands * rows)
-            b, marks = bmh.bands(sig, rows), bmh.marks(sig)
             key = batch.column("text_key").to_numpy(zero_copy_only=False)
-            h1, h2 = np.where(n > 0, h1, key), np.where(n > 0, h2, 0)
+            both = np.stack([np.where(n > 0, h1, key), np.where(n > 0, h2, 0)], axis=1)
             at = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(b[n > 0].ravel()))
-            packs = pa.ListArray.from_arrays(pa.array(at // bands * marks.shape[1]), pa.array(marks[n > 0].ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bmh.bands(sig, rows)[n > 0].ravel()))
+            node = _pack(both.ravel(), np.arange(batch.num_rows + 1) * 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), *map(pa.array, (h1, h2, n)), lists, packs],
-                ["doc_id", "text_key", "h1", "h2", "n", "bands", "marks"],
+                [batch.column("doc_id"), batch.column("text_key"), node, pa.array(n), lists],
+                ["doc_id", "text_key", "node", "n", "bands"],
             )
 
     return run
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, h1, h2 (hashes of the word sequence), n (shingles), bands; null texts have no row."""
+    """doc_id, text_key, node (hashes of the word sequence), n (shingles), bands; null texts have no row."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     return x.filter(F.col("text").isNotNull()).mapInArrow(_features(bands, rows, shingle), _FEATURES)
 
 
+def _maps(gram: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bit maps of texts of n shingles, one after the other, and where each begins (in 64-bit words)."""
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) * MAP_BITS)).astype(np.int64), 64, MOST_BITS)
+    at = np.concatenate([[0], np.cumsum(bits // 64)])
+    spot = (gram & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(at[-1] * 64, dtype=np.uint8)
+    out[at[owner] * 64 + spot] = 1
+    return np.packbits(out, bitorder="little").view(np.int64), at
+
+
 def _shingles(shingle: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.batches(stream, "text"):
             w = tk.words(batch.column("text"))
             gram, owner, count = bmh.multisets(*tk.grams(w.hash, w.first, shingle, short=True))
-            at = np.searchsorted(owner, np.arange(batch.num_rows + 1)) * 8
-            pack = lambda v: pa.Array.from_buffers(
-                pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(v.tobytes())]
-            )
+            at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            n = np.bincount(owner, weights=count, minlength=batch.num_rows).astype(np.int64)
+            bits, begin = _maps(gram, owner, n)
+            maps = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pack(gram), pack(count.astype(np.int64))], ["node", "grams", "counts"]
+                [batch.column("node"), pa.array(n), batch.column("bands"), maps, _pack(gram, at), _pack(count.astype(np.int64), at)],
+                ["node", "n", "bands", "map", "grams", "counts"],
             )
 
     return run
@@ -128,103 +143,85 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("counts").alias("cb"))
     met = pairs.select("a", "b").distinct().join(right, "b").join(left, "a").select("a", "b", "ga", "ca", "gb", "cb")
-    return met.mapInArrow(_compare, "a long, b long, sim double")
-
-
-def _with_hubs(members: DataFrame) -> DataFrame:
-    hubs = members.groupBy("band").agg(
-        F.min(F.struct((-F.col("copies")).alias("c"), "node")).alias("h"), F.count(F.lit(1)).alias("size")
-    )
-    hubs = hubs.filter(F.col("size") > 1).select("band", F.col("h.node").alias("hub"))
-    return members.join(hubs, "band").filter(F.col("node") != F.col("hub"))
+    return met.mapInArrow(_compare, "a binary, b binary, sim double")
 
 
-def _fits(a: str, b: str, threshold: float):
+def _fits(a: str, b: str, threshold: float) -> Column:
     """The sizes of two multisets allow the similarity."""
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _agreeing(a: str, b: str):
-    """Components in which two signatures agree, from their packed marks: the bytes that are zero in the exclusive or."""
+def _possible(threshold: float) -> Column:
+    """The maps of a and b, of sizes that fit, allow the similarity. The longer map is folded to the length of the other."""
 
-    def differ(x, y):
-        d = x.bitwiseXOR(y)
-        for k in (4, 2, 1):  # bit 0 of each byte becomes the or of its bits
-            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+    def folded(x: str, y: str) -> Column:
+        half = F.greatest(F.lit(1), (F.size(x) / 2).cast("int"))
+        halves = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) > F.size(y), halves).otherwise(F.col(x))
 
-    return F.lit(8) * F.size(a) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda t, x: t + x)
+    def lacking(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, c: t + c)
 
+    a, b = folded("map_a", "map_b"), folded("map_b", "map_a")
+    most = F.least(F.col("na") - lacking(a, b), F.col("nb") - lacking(b, a))
+    return most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6
 
-def _likely(threshold: float, a: str = "a", b: str = "b"):
-    """The pair is not unlikely to be at the threshold, and is looked at in one of the buckets that its members share.
 
-    (Each bucket settles all pairs of its members, so one of them is enough.)
-    """
-    m = 8 * F.size(f"marks_{a}")
-    least = threshold * m - ERRORS * F.sqrt(threshold * (1 - threshold) * m)
-    here = F.col("band") == F.array_min(F.array_intersect(f"bands_{a}", f"bands_{b}"))
-    return (_agreeing(f"marks_{a}", f"marks_{b}") >= least) & here
+def _hub_pairs(members: DataFrame, first: bool, draw: int) -> DataFrame:
+    """(a, b): the members of each bucket (band, node, copies, root) with its hub, where they are of different classes."""
+    order = F.struct((-F.col("copies")).alias("c"), "node", "root") if first else F.struct(F.xxhash64(F.lit(draw), "node").alias("c"), "node", "root")
+    hubs = members.groupBy("band").agg(F.min(order).alias("h")).select("band", F.col("h.node").alias("b"), F.col("h.root").alias("rb"))
+    return members.join(hubs, "band").filter(F.col("root") != F.col("rb")).select(F.col("node").alias("a"), "b")
+
+
+def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members (band, node, copies) of the buckets that hold more than one class, with their class, `root`."""
+    root = F.lit(None).cast("binary") if roots is None else F.col("root")
+    x = (members if roots is None else members.join(roots, "node", "left")).withColumn("root", F.coalesce(root, "node"))
+    busy = x.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    return x.join(busy, "band")
+
+
+def _unlike_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of a bucket that are of different classes and may be near, each in the first bucket that it shares."""
+    cards = members.select("band", "node", "root").join(sets.select("node", "n", "bands", "map"), "node")
+    side = lambda x: cards.select("band", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "bands", "map")], F.col("n").alias(f"n{x}"))
+    here = F.col("band") == F.array_min(F.array_intersect("bands_a", "bands_b"))
+    met = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits("na", "nb", threshold)
+    return side("a").join(side("b"), "band").filter(met & here & _possible(threshold)).select("a", "b")
 
 
-def _named(nodes: DataFrame, of: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(of), F.col("bands").alias(f"bands_{of}"), F.col("marks").alias(f"marks_{of}"))
+def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) after more links, given that before them (None: there were none); only classes, not their nodes, are linked anew."""
+    if roots is None:
+        return durable(components(links), "nd-classes")
+    for x in "ab":
+        of = roots.select(F.col("node").alias(x), F.col("root").alias("of"))
+        links = links.join(of, x, "left").withColumn(x, F.coalesce("of", x)).drop("of")
+    merged = durable(components(links), "nd-merged").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = merged.join(roots, F.col("node") == merged["root"], "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return durable(old.unionByName(new), "nd-classes")
 
 
-def links(nodes: DataFrame, sets_of, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b) of near nodes, such that components of the links are components of all near pairs."""
-    each = nodes.select("node", "n", "copies", F.explode("bands").alias("band"))
+def roots(nodes: DataFrame, sets_of, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame | None:
+    """(node, root) of the nodes (node, copies, bands) that are near another one: components of all near pairs. None: there are none."""
+    each = nodes.select("node", "copies", F.explode("bands").alias("band"))
     busy = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
-    members = durable(each.join(busy, "band"), "nd-members")
+    members, (n,) = observed(each.join(busy, "band"), "nd-members", F.count(F.lit(1)))
+    found = None
+    if not n:
+        return found
     sets = durable(sets_of(members.select("node").distinct()), "nd-sets")
-    seen, left = [], members
-    for k in range(rounds):
-        met = durable(_with_hubs(left), f"nd-round{k}")
-        if met.isEmpty():
-            left = None
+    for k in range(rounds + 1):
+        here, (n,) = observed(_unsettled(members, found), "nd-buckets", F.count(F.lit(1)))
+        if not n:
             break
-        pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        near = durable(similarities(pairs, sets), f"nd-sims{k}")
-        seen.append((met, near))
-        matched = near.filter(F.col("sim") >= threshold).select(F.col("a").alias("node"), F.col("b").alias("hub"))
-        left = met.join(matched, ["node", "hub"], "left_anti").drop("hub")
-    if not seen:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    all_near = reduce(DataFrame.unionByName, [near for _, near in seen])
-    found = all_near.filter(F.col("sim") >= threshold).select("a", "b")
-    if left is not None:
-        x, y = left.select("band", F.col("node").alias("a"), F.col("n").alias("na")), left.select(
-            "band", F.col("node").alias("b"), F.col("n").alias("nb")
-        )
-        x, y = x.join(_named(nodes, "a"), "a"), y.join(_named(nodes, "b"), "b")
-        rest = x.join(y, "band").filter((F.col("a") > F.col("b")) & _fits("na", "nb", threshold) & _likely(threshold))
-        more = durable(similarities(rest, sets).filter(F.col("sim") >= threshold).select("a", "b"), "nd-rest")
-        found = found.unionByName(more)
-    found = durable(found, "nd-links")
-    root = components(found)
-    shell = durable(_shell(seen, root, nodes, threshold), "nd-shell")
-    return found.unionByName(similarities(shell, sets).filter(F.col("sim") >= threshold).select("a", "b"))
-
-
-def _shell(seen, root: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b): a is within two radii of a hub, b in the hub's ball, both in one bucket and not in one class."""
-    reach = 2 * threshold - 1
-    out = []
-    for met, near in seen:
-        s = met.join(near.select(F.col("a").alias("node"), F.col("b").alias("hub"), "sim"), ["node", "hub"])
-        s = s.select("band", "hub", "node", "n", "sim").join(root, "node", "left")
-        s = s.withColumn("root", F.coalesce("root", "node"))
-        ball = s.filter(F.col("sim") >= threshold).select("band", "hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sim").alias("sb"), F.col("root").alias("rb"))
-        edge = s.filter((F.col("sim") < threshold) & (F.col("sim") >= reach)).select("band", "hub", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sim").alias("sa"), F.col("root").alias("ra"))
-        edge, ball = edge.join(_named(nodes, "a"), "a"), ball.join(_named(nodes, "b"), "b")
-        pair = edge.join(ball, ["band", "hub"]).filter(
-            (F.col("ra") != F.col("rb"))
-            & _fits("na", "nb", threshold)
-            & (F.col("sb") - F.col("sa") <= 1 - threshold + 1e-9)
-            & _likely(threshold)
-        )
-        out.append(pair.select("a", "b"))
-    return reduce(DataFrame.unionByName, out)
+        pairs = _hub_pairs(here, k == 0, k) if k < rounds else _unlike_pairs(here, sets, threshold)
+        near = similarities(pairs, sets).filter(F.col("sim") >= threshold).select("a", "b")
+        near, (n,) = observed(near, "nd-links", F.count(F.lit(1)))
+        found = _joined(near, found) if n else found
+    return found
 
 
 def classes(
@@ -239,25 +236,22 @@ def classes(
     (the text hash of that document) and class_size (documents in the class)."""
     f = durable(features(docs, bands, rows, shingle), "nd-features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    nodes = f.groupBy("h1", "h2").agg(
-        first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-        F.first("marks").alias("marks"),
-    )
-    nodes = durable(nodes.withColumn("node", F.xxhash64("h1", "h2")), "nd-nodes")
+    nodes = f.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = durable(nodes, "nd-nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        at = nodes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), "first.text_key")
+        at = nodes.join(wanted, "node", "left_semi").select("node", "bands", F.col("first.doc_id").alias("of"), "first.text_key")
         x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-        met = x.join(at, (x.doc_id.eqNullSafe(at.of)) & (x.text_key == at.text_key)).select("node", "text")
-        return met.mapInArrow(_shingles(shingle), "node long, grams binary, counts binary").dropDuplicates(["node"])
+        met = x.join(at, (x.doc_id.eqNullSafe(at.of)) & (x.text_key == at.text_key)).select("node", "bands", "text")
+        return met.mapInArrow(_shingles(shingle), _SETS).dropDuplicates(["node"])
 
-    near = links(nodes.filter(F.size("bands") > 0), sets_of, threshold, rounds)
-    root = durable(components(durable(near, "nd-links")), "nd-roots")
-    lone = nodes.select("node", "h1", "h2", "first", "copies").join(root, "node", "left")
-    lone = durable(lone.withColumn("root", F.coalesce("root", "node")).drop("node"), "nd-rooted")
+    near = roots(nodes.filter(F.size("bands") > 0), sets_of, threshold, rounds)
+    lone = nodes.select("node", "first", "copies")
+    lone = lone.withColumn("root", F.col("node")) if near is None else lone.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lone = durable(lone, "nd-rooted")
     heads = lone.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
-    of = lone.join(heads, "root").select("h1", "h2", "head", "class_size")
-    named = f.select("doc_id", "text_key", "h1", "h2").join(of, ["h1", "h2"])
+    of = lone.join(heads, "root").select("node", "head", "class_size")
+    named = f.select("doc_id", "text_key", "node").join(of, "node")
     out = named.select(
         "doc_id", "text_key", F.col("head.doc_id").alias("class_id"), F.col("head.text_key").alias("class_key"), "class_size"
     )
