@@ -15,8 +15,9 @@
    m is the similarity; `THRESHOLD` 0.6 of it is met by a copy with 20 % of its words replaced.
 
 The corpus is read twice and never shuffled: only seed counts (at most one row per seed and task)
-and the matches leave the tasks. The test items are broadcast in blocks of about `BLOCK_CHARS`
-characters, as many blocks as they need, so what is broadcast is bounded.
+and the matches leave the tasks. The distinct texts of the test items are broadcast in blocks of about `BLOCK_CHARS`
+characters, as many blocks as they need, so what is broadcast is bounded; a text stands for all items that have it. `decontaminate` needs
+no ids at all. The counts of a block's seeds reach the driver as an Arrow table of two numbers each.
 
 Defined results: items of fewer than `SEED_WORDS` words (null and empty ones too) match nothing;
 null and empty documents match nothing; rows that repeat a document each give their matches; items
@@ -36,20 +37,19 @@ from pyspark.sql import functions as F
 
 from engramlake.llm import tokens as tk
 
-SEED_WORDS, SHORT_SEED_WORDS, RARE, KEEP, THRESHOLD, BLOCK_CHARS = 3, 2, 1e-3, 16, 0.6, 8 << 20
+SEED_WORDS, SHORT_SEED_WORDS, RARE, KEEP, THRESHOLD, BLOCK_CHARS = 3, 2, 1e-3, 16, 0.6, 4 << 20
 #: Cells of the alignment tables that are filled at once.
 CELLS = 1 << 21
 
-_MATCH = "doc_id long, item_id long, similarity double, score long, item_words long, doc_from long, doc_to long"
+_FOUND = "doc_id long, of long, similarity double, score long, item_words long, doc_from long, doc_to long"
 
 
 @dataclass
 class Items:
-    """A block of test items: ids (`unnamed`: null ones), the words of all, the kept seeds sorted by hash, how many of them a
+    """A block of test items: keys (hashes of their texts), the words of all, the kept seeds sorted by hash, how many of them a
     match can lose, how many a document must have, and the lengths of seeds in use."""
 
     ids: np.ndarray
-    unnamed: np.ndarray
     words: np.ndarray
     first: np.ndarray
     seeds: np.ndarray
@@ -67,8 +67,8 @@ def _runs(hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> tu
     return gram, at.astype(np.int64), np.repeat(lengths, [len(g) for g, _ in found])
 
 
-def _items(ids: list, texts: list, threshold: float) -> Items:
-    w = tk.words(pa.array(texts, pa.string()))
+def _items(ids: np.ndarray, texts: pa.Array, threshold: float) -> Items:
+    w = tk.words(texts)
     m = w.lengths()
     lost = np.floor(2 * (1 - threshold) * m + 1e-9).astype(np.int64)
     short = (m >= SEED_WORDS) & (m - SEED_WORDS + 1 <= lost)
@@ -79,19 +79,17 @@ def _items(ids: list, texts: list, threshold: float) -> Items:
     mine = (m[item] >= SEED_WORDS) & (length == np.where(short[item], SHORT_SEED_WORDS, SEED_WORDS))
     gram, at, item = gram[mine], at[mine], item[mine]
     order = np.argsort(gram, kind="stable")
-    unnamed = np.array([i is None for i in ids])
-    named = np.array([i or 0 for i in ids], dtype=np.int64)
     place = at[order] - w.first[item[order]]
-    return Items(named, unnamed, w.hash, w.first, gram[order], item[order], place, lost, np.ones(len(ids), dtype=np.int64), lengths)
+    return Items(ids, w.hash, w.first, gram[order], item[order], place, lost, np.ones(len(ids), dtype=np.int64), lengths)
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int, threshold: float) -> Iterator[Items]:
-    base = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+def _blocks(bench: DataFrame, text_col: str, block_chars: int, threshold: float) -> Iterator[Items]:
+    base = bench.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).distinct()
     total = base.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for k in range(blocks):
-        rows = base.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        items = _items([r.i for r in rows], [r.t for r in rows], threshold)
+        rows = base.withColumn("i", F.xxhash64("t")).filter(F.pmod("i", F.lit(blocks)) == k).toArrow()
+        items = _items(rows.column("i").to_numpy(), rows.column("t").combine_chunks(), threshold)
         if len(items.seeds):
             yield items
 
@@ -129,9 +127,11 @@ def rare_seeds(docs: DataFrame, items: Items, rare: float = RARE, keep: int = KE
     """The block with its rare seeds only, by their counts over the whole corpus, and the hits that each item needs."""
     known = np.unique(items.seeds)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    got = docs.select("text").mapInArrow(_count(shared, items.lengths), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    found = {r.seed: r.n for r in got.collect()}
-    counts = np.array([found.get(k, 0) for k in range(len(known))], dtype=np.int64)
+    got = docs.select("text").mapInArrow(_count(shared, items.lengths), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    seed, n = (got.column(c).to_numpy() for c in ("seed", "n"))
+    counts, rows = np.zeros(len(known), dtype=np.int64), int(n[seed < 0].sum())
+    counts[seed[seed >= 0]] = n[seed >= 0]
     n = counts[np.searchsorted(known, items.seeds)]
     order = np.lexsort((n, items.seed_item))
     per = np.bincount(items.seed_item, minlength=len(items.ids))
@@ -139,10 +139,10 @@ def rare_seeds(docs: DataFrame, items: Items, rare: float = RARE, keep: int = KE
     last = np.zeros(len(items.ids), dtype=np.int64)  # the count of the last of the item's rarest seeds
     some = per > 0
     last[some] = n[order][begin[some] + np.minimum(per[some], np.maximum(keep, items.lost[some] + 1)) - 1]
-    stays = (n <= max(1.0, rare * found.get(-1, 0))) | (n <= last[items.seed_item])
+    stays = (n <= max(1.0, rare * rows)) | (n <= last[items.seed_item])
     kept = np.bincount(items.seed_item[stays], minlength=len(items.ids))
     return Items(
-        items.ids, items.unnamed, items.words, items.first, items.seeds[stays], items.seed_item[stays], items.seed_place[stays],
+        items.ids, items.words, items.first, items.seeds[stays], items.seed_item[stays], items.seed_place[stays],
         items.lost, np.maximum(1, kept - items.lost), items.lengths,
     )
 
@@ -231,10 +231,9 @@ def _find(shared, threshold: float):
         for batch in tk.batches(stream, "text"):
             row, item, score, begin, end = _matches(batch, items, threshold)
             m = np.diff(items.first)[item]
-            ids = pa.array(items.ids[item], mask=items.unnamed[item])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), ids, *map(pa.array, (score / np.maximum(m, 1), score, m, begin, end))],
-                ["doc_id", "item_id", "similarity", "score", "item_words", "doc_from", "doc_to"],
+                [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (items.ids[item], score / np.maximum(m, 1), score, m, begin, end))],
+                ["doc_id", "of", "similarity", "score", "item_words", "doc_from", "doc_to"],
             )
 
     return run
@@ -258,20 +257,21 @@ def contaminated(
     """One row per document and test item that it holds, with the similarity and the words (from 0) where it stands."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    out = spark.createDataFrame([], _MATCH)
-    for items in _blocks(bench, id_col, text_col, block_chars, threshold):
+    out = spark.createDataFrame([], _FOUND)
+    for items in _blocks(bench, text_col, block_chars, threshold):
         shared = spark.sparkContext.broadcast(rare_seeds(base, items, rare, keep))
-        out = out.unionByName(base.mapInArrow(_find(shared, threshold), _MATCH))
-    return out
+        out = out.unionByName(base.mapInArrow(_find(shared, threshold), _FOUND))
+    ids = bench.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.xxhash64(text_col).alias("of"))
+    return out.join(ids, "of").select("doc_id", "item_id", "similarity", "score", "item_words", "doc_from", "doc_to")
 
 
 def decontaminate(
-    docs: DataFrame, bench: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD,
+    docs: DataFrame, bench: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     rare: float = RARE, keep: int = KEEP, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """The documents that hold no test item, in the columns they came with."""
     base, out = docs.select("text"), docs
-    for items in _blocks(bench, id_col, text_col, block_chars, threshold):
+    for items in _blocks(bench, text_col, block_chars, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(rare_seeds(base, items, rare, keep))
         out = out.mapInArrow(_drop(shared, threshold, "text"), docs.schema)
     return out
