@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency.
 
 The pages of a host are grouped; a line that stands on more than `ratio` of them, and on at
-least `min_pages`, is boilerplate of that host and is dropped from its pages, whatever share of a
-page that is. Lines are compared without the white space at their ends; a page counts once however
+least `min_pages` (two: a line that is not repeated is no duplicate), is boilerplate of that host and is dropped from its pages, whatever
+share of a page that is. Lines are compared without the white space at their ends; a page counts once however
 often it has the line; lines without a word are never boilerplate and stay.
 
 Pages of a host that have the same text count as one page, among its pages and for its lines: copies
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.common import SPACES, durable, fresh, let
 
-RATIO, MIN_PAGES = 0.02, 5
+RATIO, MIN_PAGES = 0.02, 2
 #: Boilerplate lines of all hosts up to which their hashes (8 bytes each) are broadcast; beyond, they are a shuffled join.
 MOST_LINES = 500_000
 

@@ -73,14 +73,14 @@ _LINES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
 l AS (SELECT r, source, i, l, trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
       FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
-c AS (SELECT source, t, count(DISTINCT r) AS n FROM l WHERE t <> '' GROUP BY source, t),
-h AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-b AS (SELECT c.source, c.t FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= 5 AND n > 0.02::DOUBLE * total),
+c AS (SELECT source, t, count(DISTINCT text) AS n FROM (SELECT l.source, l.t, d.text FROM l JOIN d USING (r)) WHERE t <> '' GROUP BY source, t),
+h AS (SELECT source, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS total FROM documents GROUP BY source),
+b AS (SELECT c.source, c.t FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n >= 2 AND n > 0.02::DOUBLE * total),
 m AS (SELECT l.*, b.t IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.t = b.t),
 p AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(l)) AS chars,
              coalesce(sum(length(l)) FILTER (gone), 0) AS gone_chars,
              coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '') AS stays FROM m GROUP BY r),
-v AS (SELECT d.doc_id, d.text, p.*, coalesce(n_gone > 0 AND gone_chars <= 0.5::DOUBLE * chars, false) AS dropping FROM d LEFT JOIN p USING (r))
+v AS (SELECT d.doc_id, d.text, p.*, coalesce(n_gone > 0, false) AS dropping FROM d LEFT JOIN p USING (r))
 SELECT doc_id, CASE WHEN dropping THEN stays ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
        CASE WHEN dropping THEN n_gone ELSE 0 END::BIGINT AS n_dropped,
        CASE WHEN dropping THEN gone_chars ELSE 0 END::BIGINT AS dropped_chars

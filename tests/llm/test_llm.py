@@ -367,7 +367,7 @@ def test_boilerplate_goes_and_own_lines_stay(spark):
     pages = [f"menu home\n{' '.join(words(i, 30))}\n  menu home \nfooter {i % 2}" for i in range(40)] + [None, "", "menu home"]
     d = docs(spark, pages, source=lambda i: "a" if i < 43 else "b").withColumn("line_report", F.lit(1)).withColumn("lines", F.lit(2))
     out = {r.doc_id: r.text for r in linededup.clean_documents(d).collect()}
-    assert out[3] == " ".join(words(3, 30)) and out[40] is None and out[41] == "" and out[42] == "menu home"
+    assert out[3] == " ".join(words(3, 30)) and out[40] is None and out[41] == "" and out[42] == ""
     assert linededup.clean_documents(d).columns == d.columns and linededup.clean_documents(d.limit(0)).count() == 0
 
 
