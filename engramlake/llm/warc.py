@@ -5,15 +5,19 @@ least `LEAST` bytes was archived under a smaller id), and a request and a metada
 in WARC-Concurrent-To. Records are made by string functions and written by Spark's text writer with the
 record end as line separator, so an archive file is a plain sequence of WARC records, is committed as
 any Spark table, and survives lost executors. Equal payloads are found by their digests: the payloads
-themselves are not shuffled to find them. A file takes about `ARCHIVE_BYTES`, as archives do.
+themselves are not shuffled to find them. A file takes about `ARCHIVE_BYTES`, as archives do: pages are written by classes of size, so
+that no run of large ones makes a file of more than eight times that, unless it is one capture. A file is one gzip stream (a text writer makes no
+member for each record).
 
 Reading. Each archive is parsed by its Content-Length fields (payloads may hold anything, also record
 ends), to a table of records. Transactions are assembled from that table by joins: the concurrent-to
 ids, in either direction, tie requests and metadata to their capture; a revisit's refers-to id ties it
-to the response that has its payload. One nested row per capture comes out.
+to the response that has its payload. Only responses that a revisit names take part in that join, once each, so it is a broadcast while they are few, and
+responses are not dealt by it. One nested row per capture comes out.
 
 Defined results: a null payload is empty; payloads below `LEAST` bytes are responses each; rows that
-repeat an id with one payload are responses each, if the id is the least; a null id is above all others;
+repeat an id with one payload are responses each, if the id is the least, under one record id; rows that repeat an id with unlike payloads are
+captures of their own, as a record id is made of the id and the payload's digest; a null id is above all others;
 an empty table gives an archive without records, and no rows. A capture without a request or metadata
 record has null there; records whose capture is absent are dropped. Extra columns are not read.
 """
@@ -27,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import durable
+from engramlake.llm.common import observed
 
 LEAST, ARCHIVE_BYTES = 100, 16 << 20
+#: Payload bytes up to which pages are of a class that is written together; the last class has the rest.
+SIZES = (32 << 10, 512 << 10, 8 << 20)
 #: Digests of repeated payloads up to which the table of them (32 bytes and an id each) is broadcast; beyond, it is a shuffled join.
 MOST_SHARED = 500_000
 END, BREAK = "\r\n\r\n", "\r\n"
@@ -59,7 +65,7 @@ def _header(name: str, value: Column) -> Column:
 
 def records(captures: DataFrame) -> DataFrame:
     """The texts of the records of captures: capture_id, url, payload, digest, first (the id to revisit, or null)."""
-    rid = _uuid("capture", F.col("capture_id"))
+    rid = _uuid("capture", F.col("capture_id"), F.col("digest"))
     url, payload = F.col("url"), F.col("payload")
     head = F.concat(
         F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "),
@@ -70,14 +76,14 @@ def records(captures: DataFrame) -> DataFrame:
     revisit = _record(
         "revisit", rid, url, "application/http; msgtype=response", head, digest,
         _header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        _header("WARC-Refers-To", _uuid("capture", F.col("first"))),
+        _header("WARC-Refers-To", _uuid("capture", F.col("first"), F.col("digest"))),
     )
     with_it = _header("WARC-Concurrent-To", rid)
     host = F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1)
     ask = F.concat(F.lit(f"GET / HTTP/1.1{BREAK}Host: "), F.regexp_replace(host, r"[\r\n]", ""), F.lit(END))
-    request = _record("request", _uuid("request", F.col("capture_id")), url, "application/http; msgtype=request", ask, with_it)
+    request = _record("request", _uuid("request", F.col("capture_id"), F.col("digest")), url, "application/http; msgtype=request", ask, with_it)
     said = F.concat(F.lit("capture-id: "), F.coalesce(F.col("capture_id").cast("string"), F.lit("")), F.lit(BREAK))
-    metadata = _record("metadata", _uuid("metadata", F.col("capture_id")), url, "application/warc-fields", said, with_it)
+    metadata = _record("metadata", _uuid("metadata", F.col("capture_id"), F.col("digest")), url, "application/warc-fields", said, with_it)
     answer = F.when(F.col("first").isNull(), response).otherwise(revisit)
     return captures.select(F.explode(F.array(request, answer, metadata)).alias("value"))
 
@@ -89,20 +95,26 @@ def with_firsts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = base.withColumn("digest", F.sha2("payload", 256))
     large = base.filter(F.octet_length("payload") >= LEAST).groupBy(F.unhex("digest").alias("of"))
     shared = large.agg(F.min("capture_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = durable(shared, "warc-shared")
-    shared = F.broadcast(shared) if shared.count() <= MOST_SHARED else shared
-    met = base.join(shared, F.unhex("digest") == F.col("of"), "left")
+    shared, (n,) = observed(shared, "warc-shared", F.count(F.lit(1)))
+    met = base.join(F.broadcast(shared) if n <= MOST_SHARED else shared, F.unhex("digest") == F.col("of"), "left")
     first = F.when(~F.col("least").eqNullSafe(F.col("capture_id")), F.col("least"))
     return met.withColumn("first", first).drop("of", "least")
 
 
 def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **columns: str) -> None:
     """Write the captures of pages as gzip-compressed archives under a path."""
-    payload = columns.get("payload_col", "html")
-    mean = pages.agg(F.avg(F.octet_length(payload))).first()[0] or 0
-    per_file = max(3, int(3 * archive_bytes / (mean + 1500)))
-    out = records(with_firsts(pages, **columns)).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", per_file).text(path)
+    captures = with_firsts(pages, **columns)
+    size = F.octet_length("payload")
+    kind = F.lit(0)
+    for most in SIZES:
+        kind = kind + F.when(size > most, 1).otherwise(0)
+    payload = F.coalesce(F.col(columns.get("payload_col", "html")), F.lit(""))
+    means = dict(pages.select(payload.alias("payload")).groupBy(kind.alias("kind")).agg(F.avg(size)).collect())  # a row for each class
+    for k, mean in sorted(means.items()) or [(0, 0)]:
+        heaviest = SIZES[k] / 8 if k < len(SIZES) else archive_bytes
+        per_file = 3 * max(1, int(archive_bytes / max(mean + 1500, heaviest)))
+        out = records(captures.filter(kind == k)).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", per_file).text(path)
 
 
 def _headers(head: bytes) -> dict[str, list[str]]:
@@ -191,22 +203,20 @@ def assemble(found: DataFrame) -> DataFrame:
     near = found.filter(~main).select("record_id", "kind", "fields")
     # both directions: the record names its capture, or the capture names the record
     names = found.filter(~main).select(F.col("record_id"), to)
-    named = own.select(F.col("record_id").alias("to"), F.explode("concurrent_to").alias("record_id")).select("record_id", "to")
-    ties = names.unionByName(named).distinct()
+    told = own.select(F.col("record_id").alias("to"), F.explode("concurrent_to").alias("record_id")).select("record_id", "to")
+    ties = names.unionByName(told).distinct()
     part = lambda k: F.max(F.when(F.col("kind") == k, F.struct("record_id", "fields")))
     sides = near.join(ties, "record_id").groupBy(F.col("to").alias("record_id"))
     sides = sides.agg(part("request").alias("request"), part("metadata").alias("metadata"))
-    whole = own.join(sides, "record_id", "left").drop("fields", "concurrent_to")
     of = F.regexp_extract("metadata.fields", r"(?:^|\n)capture-id: (-?\d+)", 1)
+    whole = own.join(sides, "record_id", "left").drop("fields", "concurrent_to")
     whole = whole.withColumn("capture_id", F.when(of != "", of.cast("long")))
-    firsts = whole.filter("kind <> 'revisit'").select(
-        F.col("record_id").alias("refers_to"), F.col("bytes").alias("first_bytes"), F.col("capture_id").alias("first_id")
-    )
-    met = whole.join(firsts.dropDuplicates(["refers_to"]), "refers_to", "left")
-    again = F.col("kind") == "revisit"
-    return met.select(
-        "capture_id", "record_id", "url", F.col("kind").alias("record_type"),
-        F.when(again, F.col("first_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(again, F.coalesce("said_digest", "digest")).otherwise(F.col("digest")).alias("payload_digest"),
-        F.when(again, F.col("first_id")).alias("refers_to"), "payload", "request", "metadata",
-    )
+    named = own.filter("kind = 'revisit'").select(F.col("refers_to").alias("to")).distinct()
+    firsts = own.filter("kind <> 'revisit'").join(named, F.col("record_id") == F.col("to"), "left_semi")
+    firsts = firsts.select("record_id", "bytes").dropDuplicates(["record_id"]).join(sides, "record_id", "left")
+    firsts = firsts.select(F.col("record_id").alias("refers_to"), F.col("bytes").alias("first_bytes"), F.when(of != "", of.cast("long")).alias("first_id"))
+    firsts, (n,) = observed(firsts, "warc-firsts", F.count(F.lit(1)))
+    again = whole.filter("kind = 'revisit'").join(F.broadcast(firsts) if n <= MOST_SHARED else firsts, "refers_to", "left")
+    said = lambda size, digest, to: ("capture_id", "record_id", "url", F.col("kind").alias("record_type"), F.col(size).alias("payload_bytes"), digest.alias("payload_digest"), to.alias("refers_to"), "payload", "request", "metadata")
+    answers = whole.filter("kind <> 'revisit'").select(*said("bytes", F.col("digest"), F.lit(None).cast("long")))
+    return answers.unionByName(again.select(*said("first_bytes", F.coalesce("said_digest", "digest"), F.col("first_id"))))
