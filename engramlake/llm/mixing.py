@@ -13,10 +13,9 @@
 5. Index: slot j of a source maps to block perm(j mod blocks) of pass j div blocks, where perm is
    a pseudorandom permutation keyed by source and pass (swap-or-not rounds).
 6. Join: slots meet blocks by (source, chunk, number in the chunk). That is the mixed corpus (`mixed`): one row
-   per slot, with the words of its block and the spans of the documents that they come from,
-   written to the shared folder.
+   per slot, with the words of its block and the spans of the documents that they come from.
 
-`mix` sums the spans of that output: one row per document: doc_id, size, source_size, target, taken. A source's taken
+`mix` writes that corpus to the shared folder and sums its spans: one row per document: doc_id, size, source_size, target, taken. A source's taken
 words are within a block's length of its target, or so; a block is taken at most `cap` times
 (rounded up), so no document is taken more often than that. Everything is drawn from hashes of
 the seed, so reruns agree.
@@ -261,8 +260,7 @@ def _mixed(docs: DataFrame, weights, share: float, cap: float, block_words: int,
     drawn = durable(draws(counts, total, n <= MOST_SOURCES, shard_slots), "mix-draws")
     taken = durable(in_chunks(slot_blocks(counts, slots(counts, drawn, total)), chunks), "mix-slots")
     out = assembled(chunked(sized(docs, "text"), sources), taken, block_words).join(sources.select("sid", "source"), "sid")
-    out = out.select("shard", "slot", "sid", "source", "chunk", "block", "text", "spans")
-    return base, sources, placed, durable(out, "mix-corpus", "zstd")
+    return base, sources, placed, out.select("shard", "slot", "sid", "source", "chunk", "block", "text", "spans")
 
 
 def mixed(
@@ -273,10 +271,20 @@ def mixed(
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
 ) -> DataFrame:
-    """The mixed corpus, one row per slot: shard, slot, sid, source, chunk, block, text (its words) and spans (of documents)."""
+    """The mixed corpus, one row per slot: shard, slot, sid, source, chunk, block, text (its words) and spans (of documents).
+
+    Rows come by chunk; who writes shards sorts them by (shard, slot).
+    """
     return _mixed(docs, weights, share, cap, block_words, shard_slots)[3]
 
 
+def training_text(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus as a trainer reads it: shard, slot, source, block, doc_ids (of the documents in it), n_words, text."""
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["words"])
+    ids = F.array_distinct(F.transform("spans", lambda x: x["doc_id"]))
+    return mixed(docs, **options).select("shard", "slot", "source", "block", ids.alias("doc_ids"), n.alias("n_words"), "text")
+
+
 def mix(
     docs: DataFrame,
     weights=WEIGHTS,
@@ -287,6 +295,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken: its words in the mixed corpus."""
     base, sources, placed, corpus = _mixed(docs, weights, share, cap, block_words, shard_slots)
+    corpus = durable(corpus, "mix-corpus", "zstd")
     spans = corpus.select("sid", "chunk", F.explode("spans").alias("x"))
     taken = spans.groupBy("sid", "chunk", "x.start").agg(F.sum("x.words").alias("taken"))
     w = W.partitionBy("sid", "chunk").orderBy("doc_id", "size", "salt").rowsBetween(W.unboundedPreceding, -1)

@@ -423,4 +423,32 @@ def test_pipeline_keeps_columns_and_drops_what_it_should(spark):
         assert after.columns == d.columns and after.count() <= now.count()
         now = after
     rows = cp.run(spark, DATA).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in now.select("doc_id").collect()}
+    left = {r.doc_id: r.text.split() for r in now.select("doc_id", "text").collect() if r.text and r.text.split()}
+    assert {i for r in rows for i in r.doc_ids} <= set(left) and all(r.n_words == len(r.text.split(" ")) <= 64 for r in rows)
+    assert sum(r.n_words for r in rows) == pytest.approx(1.5 * sum(map(len, left.values())), rel=0.05)
+    for r in rows[:50]:
+        inside = [" " + " ".join(left[i]) + " " for i in r.doc_ids]
+        assert len(inside) > 1 or f" {r.text} " in inside[0]
+
+
+def test_components_equal_a_union_find(spark, monkeypatch):
+    from engramlake.llm import components
+
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(k, k + 1) for k in range(400, 470)] + [(500, k) for k in range(501, 540)]
+    root = {}
+
+    def find(i):
+        return i if root.setdefault(i, i) == i else find(root[i])
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {i: find(i) for e in edges for i in e if e[0] != e[1] or find(i) != i or any(i in x and x[0] != x[1] for x in edges)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 50_000):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {x.node: x.root for x in components.components(df).collect()} == want
+    assert components.components(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        components.components(df, rounds=1)
