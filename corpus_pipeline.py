@@ -1,4 +1,17 @@
-"""A training corpus from documents: quality rules, line dedup, near-dedup, decontamination, mixing."""
+"""A training corpus from documents: quality rules, line dedup, near-dedup, decontamination, mixing.
+
+All stages but the last take documents and return documents, in the columns they came with. Nulls, empty and very long texts, ties,
+repeated rows, empty tables and extra columns have the results that the stage's operator states:
+
+- quality_rules drops documents that the policy rejects; a null or empty text has no words and goes.
+- line_dedup changes text and n_chars only; no document goes, and one of boilerplate only is left with an empty text.
+- near_dedup keeps the least doc_id of each class; rows that repeat an id and a text are one document, null texts stay.
+- decontaminate drops documents that hold a test item; null and empty texts stay.
+- mix_sources packs the words of what is left into blocks and returns the mixed training text, one row per slot: shard, slot, source,
+  block, doc_ids, n_words, text. A document without words is in no block.
+
+An empty table gives an empty result of every stage.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.training_text(docs)
 
 
 STAGES = [
@@ -41,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written and read again."""
+    """The mixed training text of documents; each stage's result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
