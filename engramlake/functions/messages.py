@@ -21,6 +21,10 @@ FOOTERS = (
     "unsubscribe", "view in browser", "all rights reserved", "此邮件由系统自动发送", "请勿回复", "microsoft teams meeting",
     "join on your computer", "join with a video conferencing device",
 )
+#: Reply chains, deep quotes and original messages in a mail, in the order in which they are cut.
+MAIL_TAILS = (
+    r"(?s)\n\s*On [^\n]{10,80} wrote:\s*\n.*", r"\n(>{3,}[^\n]*\n?)+", r"(?is)\n\s*---+\s*Original Message\s*---+.*",
+)
 #: Words of a playbook, and its conditional branch.
 PLAYBOOK_WORDS = ("排查", "步骤", "grep", "日志", "runbook", "playbook")
 PLAYBOOK_BRANCH = r"如果[\s\S]{0,40}?则"
@@ -43,9 +47,8 @@ def entities(x: Column) -> Column:
 
 def mail_body(x: Column) -> Column:
     """The body of a mail without reply chains, deep quotes, the original message and the footer."""
-    x = F.regexp_replace(x, r"(?s)\n\s*On [^\n]{10,80} wrote:\s*\n.*", "")
-    x = F.regexp_replace(x, r"\n(>{3,}[^\n]*\n?)+", "")
-    x = F.regexp_replace(x, r"(?is)\n\s*---+\s*Original Message\s*---+.*", "")
+    for pattern in MAIL_TAILS:
+        x = F.regexp_replace(x, pattern, "")
     lines = F.split(x, "\n")
     footer = lambda y: reduce(lambda a, b: a | b, [F.lower(y).contains(f) for f in FOOTERS])
     marks = F.transform(lines, footer)
@@ -54,6 +57,48 @@ def mail_body(x: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), r"\s+$", "")
 
 
+def mail_text(contact: Column, at: Column, content: Column, to: Column, cc: Column) -> Column:
+    """The canonical text of a mail: a header, then the body. What is before the first empty line is the subject; null content is empty."""
+    content = F.coalesce(content, F.lit(""))
+    cut = F.instr(content, "\n\n")
+    subject = F.when(cut > 1, F.substr(content, F.lit(1), cut - 1)).otherwise("")
+    body = F.when(cut > 1, F.substr(content, cut + 2, F.length(content))).otherwise(content)
+    line = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v, F.lit("\n"))).otherwise("")
+    names = lambda v: F.array_join(v, ", ")
+    return F.concat(
+        F.lit("---\nFrom: "), F.coalesce(contact, F.lit("")), F.lit("\n"), line("Subject", subject), F.lit("Date: "), at, F.lit("\n"),
+        line("To", names(to)), line("CC", names(cc)), F.lit("---\n"), mail_body(body),
+    )
+
+
+def entity_hints(x: Column, shown: int = 5) -> Column:
+    """One line for each kind of quick entity that a text has: its first values, and how many more there are. Empty without any."""
+    e = entities(x)
+
+    def line(kind: str) -> Column:
+        values = F.transform(F.filter(e, lambda v: v["type"] == kind), lambda v: v["value"])
+        more = F.when(F.size(values) > shown, F.concat(F.lit(" (+"), (F.size(values) - shown).cast("string"), F.lit(" more)"))).otherwise("")
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"- {kind}s: "), F.array_join(F.slice(values, 1, shown), ", "), more))
+
+    return F.array_join(F.array_compact(F.array(*[line(kind) for kind in ENTITIES])), "\n")
+
+
+def person_slug(name: Column) -> Column:
+    """The slug of a person's name: an open id where the label says nothing else, else kebab of a Latin name; null for other scripts.
+
+    Names in CJK characters need a table of readings, which is not part of this library: they give null.
+    """
+    clean = F.regexp_replace(name, r"^\s+|\s+$", "")
+    oid = F.lower(F.regexp_extract(clean, r"\b(ou_[a-zA-Z0-9]+)\b", 1))
+    label = F.regexp_replace(F.regexp_replace(clean, r"(?i)[（(][^）)]*ou_[a-zA-Z0-9]+[^）)]*[）)]", ""), r"(?i)\bou_[a-zA-Z0-9]+\b", "")
+    plain = F.trim(F.regexp_replace(F.lower(label), "[^a-z]+", " "))
+    generic = (oid != "") & ~label.rlike("[一-鿿]") & plain.isin("", "user", "feishu user")
+    bare = F.regexp_replace(F.regexp_replace(clean, r"[（(][^）)]*[）)]", ""), r"^\s+|\s+$", "")
+    kebab = F.regexp_replace(F.regexp_replace(F.lower(bare), "'", "-"), r"\s+", "-")
+    slug = F.when(generic, oid).when(bare.rlike("^ou_[a-zA-Z0-9]+$"), F.lower(bare)).when(bare.rlike(r"^[a-zA-Z\s\-']+$") & (kebab != ""), kebab)
+    return F.when(slug.isNotNull(), F.concat(F.lit("person/"), slug))
+
+
 def source_type(channel: Column, platform: Column, agents: tuple[str, ...] = ("agent",)) -> Column:
     kind = F.when(platform.isin(*agents), "agent_session")
     for prefix, name in SOURCES.items():

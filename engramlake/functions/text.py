@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,13 @@ REDACTIONS = (
 #: Fixed value: the CJK ranges whose characters count one by one.
 CJK = r"[一-鿿㐀-䶿぀-ヿ가-힯]"
 
+#: Fixed value: the CJK ideographs that are words of their own in a text's variety of words.
+IDEOGRAPHS = r"[一-鿿㐀-䶿]"
+
 
 def trigrams(x: Column) -> Column:
     """The set of trigrams of the words of a text, each padded by two blanks before and one after."""
-    words = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
     def grams(w: Column) -> Column:
         padded = F.concat(F.lit("  "), w, F.lit(" "))
@@ -38,6 +43,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.transform(F.transform(F.array(pair), sizes), share)[0]
 
 
+def similarity_to(x: Column, query: str) -> Column:
+    """The similarity of each text to one query, whose trigrams are made once."""
+    words = {w for w in re.split(r"[\W_]+", query.lower()) if w}
+    known = sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
+    if not known:
+        return F.lit(0.0)
+    wanted = F.array(*map(F.lit, known))
+    sizes = lambda g: F.struct(F.size(F.array_intersect(g, wanted)).alias("both"), (F.size(g) + len(known)).alias("all"))
+    share = lambda n: n["both"] / (n["all"] - n["both"])
+    return F.transform(F.transform(F.array(trigrams(x)), sizes), share)[0]
+
+
 def contains_all(x: Column, terms: list[str]) -> Column:
     """Every term stands in the text, in any case."""
     out = F.lit(bool(terms))
@@ -71,6 +88,15 @@ def type_token_ratio(x: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words)).otherwise(F.lit(0.0))
 
 
+def word_ratio(x: Column) -> Column:
+    """Distinct words over words, where each CJK character is a word and the rest of a run without white space is one more."""
+    runs = F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    rest = F.filter(F.transform(runs, lambda w: F.lower(F.regexp_replace(w, IDEOGRAPHS, ""))), lambda w: w != "")
+    words = F.concat(F.regexp_extract_all(x, F.lit(IDEOGRAPHS), F.lit(0)), rest)
+    share = lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
+    return F.transform(F.array(words), share)[0]
+
+
 def ratio_score(r: Column) -> Column:
     return F.when(r > 0.6, 1.0).when(r < 0.2, F.when(r > 0, 0.1).otherwise(0.0)).otherwise((r - 0.2) / 0.4)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engramlake.operators.steps import cut
+
 GAP_S, TOKENS, MESSAGES = 30 * 60, 4000, 100
 
 
@@ -21,29 +22,40 @@ def sessions(messages: DataFrame, keys: list[str], tie: str, gap_s: int = GAP_S)
 
 
 def blocks(messages: DataFrame, gap_s: int = GAP_S, tokens: float = TOKENS, most: int = MESSAGES) -> DataFrame:
-    """Conversation blocks of a channel with token and message caps, which reset at each split.
+    """Conversation blocks of streams of messages: stream, platform, channel, at_s, seq, msg_id, contact, tokens, thread, doc_token.
 
-    Gap sessions are split first, by windows; the caps are then walked within one session at a time.
+    A stream is cut where the platform or channel changes, around each mail, calendar entry, task and document part without a token, where a
+    document's token changes, and (but in documents) at gaps above `gap_s`: windows find these. What lies between is cut at a change of thread and at the caps of
+    tokens and messages, which reset at each cut: those are walked (`cut`).
     """
-    w = W.partitionBy("channel").orderBy("at_s", "turn")
-    new = (F.col("at_s") - F.lag("at_s").over(w) > gap_s).cast("int")
-    x = messages.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w).cast("long"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_s", "turn"])
-        block, size, count, out = 0, 0.0, 0, []
-        for t in rows.tokens:
-            if count and (size + t > tokens or count >= most):
-                block, size, count = block + 1, 0.0, 0
-            size, count = size + t, count + 1
-            out.append(block)
-        return rows.assign(block=out)[["channel", "session", "block", "turn", "at_s", "tokens"]]
-
-    kind = "channel string, session long, block long, turn long, at_s long, tokens double"
-    each = x.select("channel", "session", "turn", "at_s", "tokens").groupBy("channel", "session").applyInPandas(walk, kind)
-    return each.groupBy("channel", "session", "block").agg(
-        F.count(F.lit(1)).alias("messages"), F.round(F.sum("tokens"), 1).alias("tokens"), F.min("at_s").alias("start_s")
-    )
+    w = W.partitionBy("stream").orderBy("at_s", "seq")
+    doc = F.coalesce(F.col("channel").startswith("docs/"), F.lit(False))
+    entry = F.col("channel").startswith("mail/") | F.col("channel").startswith("calendar/") | (F.col("channel") == "tasks")
+    x = messages.withColumn("doc", doc).withColumn("alone", F.coalesce(entry, F.lit(False)) | (doc & F.col("doc_token").isNull()))
+    same = [F.col(c).eqNullSafe(F.lag(c).over(w)) for c in ("platform", "channel")]
+    token = ~F.col("doc") | F.col("doc_token").eqNullSafe(F.lag("doc_token").over(w))
+    near = F.col("doc") | (F.col("at_s") - F.lag("at_s").over(w) <= gap_s)
+    joins = same[0] & same[1] & token & near & ~F.col("alone") & ~F.lag("alone").over(w)
+    x = x.withColumn("part", F.sum(F.coalesce(joins, F.lit(False)).cast("int") * -1 + 1).over(w))
+    thread = F.when(~F.col("doc") & ~F.col("alone"), F.col("thread")).alias("thread")
+    x = x.select("stream", "part", "platform", "channel", "at_s", "seq", "msg_id", "contact", "tokens", thread, "doc")
+    each = cut(x, ["stream", "part"], [F.asc("at_s"), F.asc("seq")], "tokens", tokens, most, "thread", "doc")
+    ids = F.array_join(F.array_sort(F.collect_list("msg_id")), "|")
+    return each.groupBy("stream", "part", "block").agg(
+        F.first("platform").alias("platform"), F.first("channel").alias("channel"), F.count(F.lit(1)).alias("messages"),
+        F.round(F.sum("tokens"), 1).alias("tokens"), F.min("at_s").alias("start_s"), F.max("at_s").alias("end_s"),
+        F.min_by("thread", F.when(F.col("thread").isNotNull(), F.struct("at_s", "seq"))).alias("thread"),
+        F.size(F.collect_set("contact")).alias("participants"), F.substring(F.sha2(ids, 256), 1, 16).alias("block_hash"),
+    )
+
+
+def coverage(timeline: DataFrame, source: str, as_of_s: int, weeks: int = 104) -> DataFrame:
+    """Entries of a source by week (epoch-aligned, in ms) over the last weeks; entries whose date is not a full one are left out."""
+    first = F.date_format(F.timestamp_seconds(F.lit(as_of_s - weeks * 604800)), "yyyy-MM-dd")
+    x = timeline.filter((F.col("source") == source) & F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}") & (F.col("date") >= first))
+    day = F.unix_date(F.try_to_date(F.substring("date", 1, 10))).cast("long")
+    week = (F.floor(day / 7) * 604800000).cast("long")
+    return x.groupBy(week.alias("week_ms")).agg(F.count(F.lit(1)).alias("entries"))
 
 
 def behavior(dms: DataFrame, offset_hours: int = 8) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from engramlake.operators.steps import settled
 
+#: Nodes of a frontier (a slug each) up to which it is broadcast to the edges.
+MOST_FRONTIER = 100_000
+
 
 def out_links(edges: DataFrame, slug: str) -> DataFrame:
     return edges.filter(F.col("src") == slug)
@@ -25,13 +28,15 @@ def traverse(edges: DataFrame, start: str, depth: int = 5, direction: str = "out
     spark = edges.sparkSession
     ahead = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"))
-    steps = {"out": ahead, "in": back, "both": ahead.unionByName(back)}[direction].distinct()
+    steps = {"out": ahead, "in": back, "both": ahead.unionByName(back)}[direction]
+    steps = settled(steps) if min(depth, 10) > 1 else steps
     seen = spark.createDataFrame([(start, 0)], "slug string, depth int")
-    front = seen
+    front, n = seen, 1
     for d in range(1, min(depth, 10) + 1):
-        met = front.join(steps, front.slug == steps["at"]).select(F.col("to").alias("slug")).distinct()
+        few = F.broadcast(front) if n <= MOST_FRONTIER else front
+        met = steps.join(few.select(F.col("slug").alias("at")), "at").select(F.col("to").alias("slug")).distinct()
         front = settled(met.join(seen.select("slug"), "slug", "left_anti").select("slug", F.lit(d).alias("depth")))
-        if front.isEmpty():
+        if not (n := front.count()):
             break
         seen = seen.unionByName(front)
     return seen

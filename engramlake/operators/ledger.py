@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engramlake.functions import messages as M
+
 #: Days after which a hot page expires by type, and the types that are never compressed.
 HALFLIFE = {"decision": 365, "task": 30, "knowledge": 180, "preference": 90, "reference": 365}
 COLD_DAYS = {"task": 365, "preference": 365, "knowledge": 730}
@@ -59,30 +61,95 @@ def running_budget(rows: DataFrame, group: list[str], order: list[Column], cost:
     return x.filter((F.col("spent") <= budget) | (F.col("place") == 1))
 
 
+def titles(pages: DataFrame) -> DataFrame:
+    """The distinct titles of a type: type, title, pages (how many have it) and head, the least slug of them."""
+    return pages.groupBy("type", "title").agg(F.count(F.lit(1)).alias("pages"), F.min("slug").alias("head"))
+
+
 def near_titles(pages: DataFrame) -> DataFrame:
-    """Pairs of pages of a type with like titles (4 characters or more): an edit distance of at most 1, or 2 from 8 on.
+    """Pairs of unlike titles of a type (4 characters or more) that are alike in any case: an edit distance of at most 1, or 2 from 8 on.
 
-    A title of length n is cut into three parts; a title within two edits has one of them
-    unchanged, at most two places off. Those parts are the join keys; the distance is then verified.
+    Titles are compared once, however many pages have them; `titles` tells who they are, and each side comes with its head. A title of
+    length n is cut into three parts; a title within two edits has one of them unchanged, at most two places off. Those parts are the join
+    keys; the distance is then verified.
     """
-    x = pages.select("slug", "type", F.lower("title").alias("t")).filter(F.length("title") >= 4)
+    x = titles(pages.filter(F.length("title") >= 4)).select("type", "title", "head", F.lower("title").alias("t"))
     x = x.withColumn("n", F.length("t"))
     cut = lambda n, i: F.floor(i * n / 3).cast("int")
-    own = x.withColumn("i", F.explode(F.array(*map(F.lit, range(3))))).select(
-        "type", "n", "i", F.col("slug").alias("a"), F.col("t").alias("ta"),
-        F.substr("t", cut(F.col("n"), F.col("i")) + 1, cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))).alias("part"),
-    )
+    size = cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))
+    own = x.withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    own = own.select("type", "n", "i", *[F.col(c).alias(f"{c}_a") for c in ("title", "t", "head")], F.substr("t", cut(F.col("n"), F.col("i")) + 1, size).alias("part"))
     other = x.withColumnRenamed("n", "m").withColumn("n", F.explode(F.sequence(F.greatest(F.lit(4), F.col("m") - 2), F.col("m") + 2)))
     other = other.withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
-    other = other.withColumn("off", F.explode(F.array(*map(F.lit, range(-2, 3)))))
-    other = other.withColumn("at", F.col("off") + cut(F.col("n"), F.col("i")))
-    size = cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))
+    other = other.withColumn("off", F.explode(F.array(*map(F.lit, range(-2, 3))))).withColumn("at", F.col("off") + cut(F.col("n"), F.col("i")))
     other = other.filter((F.col("at") >= 0) & (F.col("at") + size <= F.col("m")))
-    other = other.select("type", "n", "i", F.col("slug").alias("b"), F.col("t").alias("tb"), F.substr("t", F.col("at") + 1, size).alias("part"))
-    pair = own.join(other, ["type", "n", "i", "part"]).filter((F.col("a") != F.col("b")) & (F.col("ta") != F.col("tb")))
-    pair = pair.select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ta", "tb").dropDuplicates(["a", "b"])
-    most = F.when(F.least(F.length("ta"), F.length("tb")) >= 8, 2).otherwise(1)
-    return pair.filter(F.levenshtein("ta", "tb") <= most).select("type", "a", "b")
+    other = other.select("type", "n", "i", *[F.col(c).alias(f"{c}_b") for c in ("title", "t", "head")], F.substr("t", F.col("at") + 1, size).alias("part"))
+    met = own.join(other, ["type", "n", "i", "part"]).filter(F.col("title_a") != F.col("title_b"))
+    first = F.col("title_a") < F.col("title_b")
+    sides = [F.when(first == low, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_{p}") for c in ("title", "t", "head") for p, low in (("a", True), ("b", False))]
+    pair = met.select("type", *sides).dropDuplicates(["type", "title_a", "title_b"])
+    most = F.when(F.least(F.length("t_a"), F.length("t_b")) >= 8, 2).otherwise(1)
+    return pair.filter(F.levenshtein("t_a", "t_b") <= most).select("type", "title_a", "title_b", "head_a", "head_b")
+
+
+def merge_suggestions(pages: DataFrame, person: str = "person") -> DataFrame:
+    """type, from, into, reason: pages that may be one. The first reason that a pair has counts, and `into` is its lesser slug.
+
+    same_name: a page with the head of its title; levenshtein: the heads of near titles; pinyin: persons with the least slug whose name has
+    the same canonical slug.
+    """
+    named = pages.filter("title <> ''")
+    least = lambda x, y: (F.greatest(x, y).alias("from"), F.least(x, y).alias("into"))
+    heads = titles(named).filter("pages > 1").select("type", "title", "head")
+    same = named.join(heads, ["type", "title"]).filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(0).alias("r"))
+    near = near_titles(named).select("type", *least(F.col("head_a"), F.col("head_b")), F.lit(1).alias("r"))
+    people = named.filter(F.col("type") == person).withColumn("name", M.person_slug(F.col("title"))).filter("name IS NOT NULL")
+    firsts = people.groupBy("name").agg(F.min("slug").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    alike = people.join(firsts, "name").filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(2).alias("r"))
+    every = same.unionByName(near).unionByName(alike).groupBy("type", "from", "into").agg(F.min("r").alias("r"))
+    reason = F.element_at(F.array(*map(F.lit, ("same_name", "levenshtein", "pinyin"))), F.col("r") + 1)
+    return every.select("type", "from", "into", reason.alias("reason"))
+
+
+def hot_to_warm(pages: DataFrame, mentions: DataFrame, as_of_s: int) -> DataFrame:
+    """The warm pages that take the place of expired hot ones: entity, type, members, content, created_s.
+
+    Pages (slug, type, title, body, tier, created_s, edited) whose type may be compressed and that nobody edited are grouped by their primary
+    mention (mentions: slug, to; the least `to`, or none) and type. Other expired pages only change their tier (`only_tier`).
+    """
+    primary = mentions.groupBy("slug").agg(F.min("to").alias("entity"))
+    x = expired(pages, as_of_s).filter(F.col("type").isin(*COLD_DAYS) & ~F.coalesce(F.col("edited"), F.lit(False))).join(primary, "slug", "left")
+    text = F.concat(F.lit("### "), "title", F.lit("\n\n"), "body")
+    rows = F.array_sort(F.collect_list(F.struct("created_s", "slug", text.alias("text"))))
+    return x.groupBy(F.coalesce("entity", F.lit("__none__")).alias("entity"), "type").agg(
+        F.count(F.lit(1)).alias("members"), F.array_join(rows["text"], "\n\n").alias("content"), F.min("created_s").alias("created_s")
+    )
+
+
+def only_tier(pages: DataFrame, as_of_s: int) -> DataFrame:
+    """The expired hot pages that become warm as they are."""
+    return expired(pages, as_of_s).filter(~F.col("type").isin(*COLD_DAYS) | F.coalesce(F.col("edited"), F.lit(False)))
+
+
+def expired(pages: DataFrame, as_of_s: int) -> DataFrame:
+    """Hot pages whose time by type is over."""
+    days = F.create_map(*[F.lit(x) for kv in HALFLIFE.items() for x in kv])
+    return pages.filter((F.col("tier") == "hot") & (F.col("created_s") + 86400 * F.try_element_at(days, F.col("type")) <= as_of_s))
+
+
+def metric_stats(runs: DataFrame) -> DataFrame:
+    """Mean and population variance of miss and noise rates over runs (run, matched, missed, extra); rates over nothing are 0."""
+    over = lambda n, of: F.when(of > 0, n / of).otherwise(F.lit(0.0))
+    miss = over(F.col("missed"), F.col("matched") + F.col("missed"))
+    noise = over(F.col("extra"), F.col("matched") + F.col("extra"))
+    x = runs.select(miss.alias("miss"), noise.alias("noise"))
+    return x.agg(*[F.round(f(c), 6).alias(f"{c}_{name}") for c in ("miss", "noise") for name, f in (("mean", F.mean), ("variance", F.var_pop))])
+
+
+def duplicate_rate(groups: DataFrame) -> DataFrame:
+    """Pages beyond the first of their group over all pages (groups: pages)."""
+    n = F.sum("pages")
+    return groups.agg(F.when(n > 0, F.round(F.sum(F.greatest(F.col("pages") - 1, F.lit(0))) / n, 6)).otherwise(F.lit(0.0)).alias("dup_rate"))
 
 
 def quality_metrics(golden: DataFrame, output: DataFrame) -> DataFrame:
@@ -96,14 +163,6 @@ def quality_metrics(golden: DataFrame, output: DataFrame) -> DataFrame:
     )
 
 
-def same_titles(pages: DataFrame) -> DataFrame:
-    """Merge suggestions for pages of a type with one title: each into the one with the least slug."""
-    into = F.min("slug").alias("into")
-    groups = pages.filter("title <> ''").groupBy("type", "title").agg(into, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    x = pages.select("slug", "type", "title").join(groups.drop("n"), ["type", "title"])
-    return x.filter(F.col("slug") != F.col("into")).select("type", F.col("slug").alias("from"), "into")
-
-
 def resolve(names: DataFrame, handles: DataFrame, cache: DataFrame) -> DataFrame:
     """Slug of each key by the first step of a ladder that knows it: a handle, then the cache, then the key itself."""
     h, c = handles.select("key", F.col("slug").alias("_h")), cache.select("key", F.col("slug").alias("_c"))

@@ -27,7 +27,7 @@ def search_pages(pages: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Pages whose title or body has every term, best trigram similarity first."""
     terms = query.split()
     hit = T.contains_all(F.col("title"), terms) | T.contains_all(F.col("body"), terms)
-    score = F.greatest(T.similarity(F.col("title"), F.lit(query)), T.similarity(F.col("body"), F.lit(query)))
+    score = F.greatest(T.similarity_to(F.col("title"), query), T.similarity_to(F.col("body"), query))
     found = pages.filter(hit).select("slug", "type", F.round(score, 6).alias("score"), "created_s")
     return found.orderBy(F.desc("score"), F.desc("created_s"), "slug").limit(limit).drop("created_s")
 
@@ -35,7 +35,7 @@ def search_pages(pages: DataFrame, query: str, limit: int = 20) -> DataFrame:
 def search_chunks(cut: DataFrame, query: str, limit: int = 20, key: str = "doc_id") -> DataFrame:
     """Chunks with every term, best similarity first, each with a snippet of its first term."""
     terms = query.split()
-    score = F.round(T.similarity(F.col("chunk_text"), F.lit(query)), 6)
+    score = F.round(T.similarity_to(F.col("chunk_text"), query), 6)
     found = cut.filter(T.contains_all(F.col("chunk_text"), terms)).withColumn("score", score)
     top = found.orderBy(F.desc("score"), key, "chunk_index").limit(limit)
     return top.select(key, "chunk_index", "score", T.snippet(F.col("chunk_text"), terms[0]).alias("snippet"))
@@ -60,3 +60,8 @@ def fuse(legs: list[DataFrame], pool: str = "max", k: int = RRF) -> DataFrame:
 def ranks(top: DataFrame, *order: Column) -> DataFrame:
     """Ranks from 0 of a leg that a limit has already made small."""
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order)) - 1)
+
+
+def stale(cut: DataFrame, embedded: DataFrame, key: str = "doc_id", batch: int = 256) -> DataFrame:
+    """The next batch of chunks that have no embedding (embedded: key, chunk_index), in order."""
+    return cut.join(embedded, [key, "chunk_index"], "left_anti").orderBy(key, "chunk_index").limit(batch)

@@ -60,3 +60,12 @@ def chain_order(candidates: DataFrame, chain: DataFrame) -> DataFrame:
 
 def rendered_chat(author: Column, at: Column, content: Column) -> Column:
     return F.concat(F.lit("["), at, F.lit("] "), author, F.lit(": "), content)
+
+
+def action_items(items: DataFrame, handles: DataFrame, me: str) -> DataFrame:
+    """Action items of documents (doc_id, text, owner_raw) as task pages: slug (by a hash of the text, not its place), the page of the owner
+    whose handle (value, slug) was named, and whether that is me, so that the task is linked to me as well."""
+    owner = handles.select(F.col("value").alias("owner_raw"), F.col("slug").alias("owner"))
+    slug = F.concat(F.lit("tasks/doc-"), F.col("doc_id").cast("string"), F.lit("-"), F.substring(F.sha2("text", 256), 1, 8))
+    x = items.select("doc_id", "text", "owner_raw", slug.alias("slug")).join(owner, "owner_raw", "left")
+    return x.withColumn("mine", F.coalesce(F.col("owner") == me, F.lit(False)))

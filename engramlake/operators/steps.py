@@ -1,12 +1,15 @@
-"""What operators that go on step by step need: each step's rows settled before the next builds on them."""
+"""What operators that go on step by step need: steps settled before the next builds on them, and walks in order with little state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed where all executors reach them (spark.checkpoint.dir, else beside the warehouse).
+    """The rows, checkpointed where all executors reach them (spark.checkpoint.dir, else, on a local master, beside the warehouse).
 
     Without it, a step's plan holds the plans of all steps before it several times over.
     """
@@ -14,5 +17,41 @@ def settled(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
+
+
+def cut(
+    rows: DataFrame, keys: list[str], order: list[Column], size: str, most: float, count: int | None = None, mark: str | None = None,
+    whole: str | None = None, name: str = "block",
+) -> DataFrame:
+    """The rows with a number `name` (from 0) of the part of its key that each falls into, walking each key in order.
+
+    A part ends before the row that would bring its sizes above `most` or its rows above `count`, and before a row whose mark is not the
+    first mark that the part has. Rows with `whole` are not cut. Each cut depends on the one before, so a key is one task's walk; it is a
+    sorted stream of record batches, of which only the running totals are kept.
+    """
+
+    def walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, total, n, first = None, 0, 0.0, 0, None
+        for batch in stream:
+            out = []
+            ids = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            sizes = batch.column(size).to_pylist()
+            marks = batch.column(mark).to_pylist() if mark else [None] * len(ids)
+            uncut = batch.column(whole).to_pylist() if whole else [False] * len(ids)
+            for key, s, m, w in zip(ids, sizes, marks, uncut):
+                s = s or 0.0
+                if key != now:
+                    now, part, total, n, first = key, 0, 0.0, 0, None
+                elif not w and n and ((first is not None and m != first) or total + s > most or (count is not None and n >= count)):
+                    part, total, n, first = part + 1, 0.0, 0, None
+                total, n, first = total + s, n + 1, m if first is None else first
+                out.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, name])
+
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = rows.schema.add(name, "long")
+    return sorted_rows.mapInArrow(walk, schema)

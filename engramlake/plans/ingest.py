@@ -241,22 +241,6 @@ def entity_lists(spark, d):
     return V.table(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", of("hashtag").alias("hashtags"), of("url").alias("urls"))
 
 
-@query()
-def quick_entities(spark, d):
-    """All kinds; handles need a look-behind that the SQL's patterns lack."""
-    x = V.table(spark, d, "documents").select("doc_id", F.inline(M.entities(F.col("text"))))
-    return x.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH m AS (SELECT doc_id, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'On some fine day, Ann wrote:' || chr(10) || 'old' WHEN 1 THEN '>>> deep' || chr(10) || '>>>> deeper' WHEN 2 THEN '--- Original Message ---' || chr(10) || 'x' ELSE 'click to Unsubscribe' || chr(10) || 'y' END AS t FROM documents WHERE NOT contains(text, '>>>') AND NOT regexp_matches(text, '(?i)unsubscribe|view in browser|all rights reserved|wrote:|original message'))
-SELECT doc_id, regexp_replace(left(t, length(t) - CASE doc_id % 4 WHEN 0 THEN 33 WHEN 1 THEN 21 WHEN 2 THEN 27 ELSE 23 END), '\\s+$', '') AS body FROM m""".replace("\\\\s", "\\s"))
-def canon_email(spark, d):
-    x = V.table(spark, d, "documents").filter(r"NOT contains(text, '>>>') AND NOT text RLIKE '(?i)unsubscribe|view in browser|all rights reserved|wrote:|original message'")
-    k = F.col("doc_id") % 4
-    tail = F.when(k == 0, "On some fine day, Ann wrote:\nold").when(k == 1, ">>> deep\n>>>> deeper").when(k == 2, "--- Original Message ---\nx").otherwise("click to Unsubscribe\ny")
-    return x.select("doc_id", M.mail_body(F.concat("text", F.lit("\n"), tail)).alias("body"))
-
-
 @query("""SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'agent_session' WHEN event_type = 'error' THEN 'email' WHEN event_type = 'signup' THEN 'dm' WHEN event_type = 'purchase' THEN 'structured' ELSE 'chat' END AS source_type FROM events""")
 def source_type(spark, d):
     prefix = F.when(F.col("event_type") == "error", "mail/").when(F.col("event_type") == "signup", "dm/").when(F.col("event_type") == "purchase", "calendar/").otherwise("group/")

@@ -49,7 +49,7 @@ def alias_union(spark, d):
     return I.aliases(kept, gone).select("slug", F.array_join("aliases", ",").alias("aliases"))
 
 
-_NAMED = """p AS (SELECT 'c/' || c_custkey AS slug, CASE WHEN c_custkey % 3 = 0 THEN 'tool' ELSE 'project' END AS type, 'name ' || (c_custkey % 100) AS title FROM customer WHERE c_custkey <= 130)"""
+_NAMED = """p AS (SELECT 'c/' || c_custkey AS slug, CASE WHEN c_custkey % 3 = 0 THEN 'tool' ELSE 'project' END AS type, 'name ' || CASE WHEN c_custkey % 20 < 10 THEN c_custkey % 60 ELSE c_custkey END AS title FROM customer)"""
 
 
 @query(f"""WITH {_NAMED}, n AS (SELECT DISTINCT 'Name ' || (s_suppkey % 120) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'tool' ELSE 'project' END AS type FROM supplier),
@@ -57,8 +57,8 @@ g AS (SELECT title, count(*) AS k, min(type) AS t, min(slug) AS slug FROM p GROU
 SELECT name, n.type, CASE WHEN k IS NULL THEN 'new' WHEN k = 1 AND t = n.type THEN 'bind' ELSE 'suggest' END AS step, CASE WHEN k = 1 AND t = n.type THEN slug END AS slug FROM n LEFT JOIN g ON g.title = lower(n.name)""")
 def resolve_entity(spark, d):
     k = F.col("c_custkey")
-    pages = V.table(spark, d, "customer").filter("c_custkey <= 130").select(
-        F.concat(F.lit("c/"), k.cast("string")).alias("slug"), F.when(k % 3 == 0, "tool").otherwise("project").alias("type"), F.concat(F.lit("name "), (k % 100).cast("string")).alias("title"))
+    pages = V.table(spark, d, "customer").select(
+        F.concat(F.lit("c/"), k.cast("string")).alias("slug"), F.when(k % 3 == 0, "tool").otherwise("project").alias("type"), F.concat(F.lit("name "), F.when(k % 20 < 10, k % 60).otherwise(k).cast("string")).alias("title"))
     s = F.col("s_suppkey")
     names = V.table(spark, d, "supplier").select(F.concat(F.lit("Name "), (s % 120).cast("string")).alias("name"), F.when(s % 2 == 0, "tool").otherwise("project").alias("type")).distinct()
     return I.bindings(names, pages)

@@ -57,13 +57,13 @@ def profile_gate(spark, d):
     return N.grounded(g, 70, g.filter(F.substring("key", -1, 1).isin("1", "3")))
 
 
-@query("""SELECT 's/' || p_partkey AS slug, CASE WHEN p_partkey BETWEEN 1 AND 6 THEN p_partkey ELSE 1000000 + p_partkey END AS rank FROM part WHERE p_partkey BETWEEN 1 AND 8""")
+@query("""SELECT 's/' || p_partkey AS slug, CASE WHEN p_partkey BETWEEN 1 AND 6 THEN p_partkey ELSE 1000000 + p_partkey END AS rank FROM part""")
 def chain_rank(spark, d):
     k = F.col("p_partkey")
     slug = F.concat(F.lit("s/"), k.cast("string")).alias("slug")
     p = V.table(spark, d, "part")
     chain = p.filter(k > 0).select(F.concat(F.lit("c/"), F.floor((k - 1) / 6).cast("string")).alias("start"), slug, (F.pmod(k - 1, F.lit(6)) + 1).alias("place"))
-    return N.chain_order(p.filter(k.between(1, 8)).select(slug, k.alias("place")), chain)
+    return N.chain_order(p.select(slug, k.alias("place")), chain)
 
 
 @query("""SELECT o_orderkey AS id, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') AS day, o_orderstatus AS status, 'customer/' || o_custkey AS organizer FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-05-01'""")
@@ -83,9 +83,11 @@ def tasks_scan(spark, d):
     return x.select("user_id", some(of("assignee")).alias("assignees"), some(of("follower")).alias("followers"))
 
 
-@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, token_count FROM chunk_v WHERE doc_id % 3 = 0 ORDER BY doc_id, chunk_index LIMIT 256")
+@query(f"""WITH {_CHUNKS} SELECT c.doc_id, c.chunk_index, c.token_count FROM chunk_v c WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = c.doc_id AND c.chunk_index = 0)
+ORDER BY c.doc_id, c.chunk_index LIMIT 256""")
 def stale_chunks(spark, d):
-    return R.chunks(V.pages(spark, d)).filter("doc_id % 3 = 0").select("doc_id", "chunk_index", "token_count").orderBy("doc_id", "chunk_index").limit(256)
+    done = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    return R.stale(R.chunks(V.pages(spark, d)), done).select("doc_id", "chunk_index", "token_count")
 
 
 @query(f"WITH {_CHUNKS} SELECT chunk_index, chunk_text FROM chunk_v WHERE doc_id = 7")
@@ -128,19 +130,13 @@ def source_fields(spark, d):
     return V.pages(spark, d).withColumn("meta", meta).select("slug", field.alias("source"))
 
 
-@query("""SELECT event_id FROM events WHERE user_id = 3 OR user_id + 1 = 3""")
-def filter_participant(spark, d):
-    u = F.col("user_id").cast("string")
-    people = F.array(F.struct(u.alias("id"), F.concat(F.lit("n"), u).alias("name")), F.struct((F.col("user_id") + 1).cast("string").alias("id"), F.lit("x").alias("name")))
-    x = V.table(spark, d, "events").withColumn("people", people)
-    return x.filter(F.exists("people", lambda p: (p["id"] == "3") | (p["name"] == "3"))).select("event_id")
-
-
-@query("""SELECT doc_id, 'doc-' || doc_id || '-' || left(sha256(line), 8) AS slug FROM (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE doc_id % 5 = 0) WHERE length(line) >= 20""")
+@query("""WITH i AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), h AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey < 5)
+SELECT doc_id, 'tasks/doc-' || doc_id || '-' || left(sha256(line), 8) AS slug, 'customer/' || c_custkey AS owner, coalesce(c_custkey = 3, false) AS mine FROM i LEFT JOIN h ON c_custkey = doc_id % 7 WHERE length(line) >= 20""")
 def action_items(spark, d):
-    x = V.table(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    slug = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("-"), F.substring(F.sha2("line", 256), 1, 8))
-    return x.filter(F.length("line") >= 20).select("doc_id", slug.alias("slug"))
+    lines = F.explode(F.array_distinct(F.split("text", "\n"))).alias("text")
+    items = V.table(spark, d, "documents").select("doc_id", F.concat(F.lit("u"), (F.col("doc_id") % 7).cast("string")).alias("owner_raw"), lines)
+    c = V.table(spark, d, "customer").filter("c_custkey < 5").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("value"), F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("slug"))
+    return N.action_items(items.filter(F.length("text") >= 20), c, "customer/3").select("doc_id", "slug", "owner", "mine")
 
 
 @query(f"WITH {_PAGES} SELECT count(*) AS pages, sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS shared FROM pages_v")

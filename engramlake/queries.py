@@ -54,7 +54,7 @@ _CHUNKS = r"""chunk_v AS (SELECT doc_id, i::INTEGER AS chunk_index, array_to_str
 
 
 def _all() -> None:
-    from engramlake.plans import ingest, knowledge, reports, upkeep  # noqa: F401  (they enter their queries)
+    from engramlake.plans import ingest, knowledge, memory, reports, upkeep  # noqa: F401  (they enter their queries)
 
 
 def queries() -> dict[str, registry.Query]:
@@ -118,25 +118,6 @@ def rrf_fuse(spark, d):
     return R.fuse([v, c]).withColumn("rrf", F.round("rrf", 6))
 
 
-@_query()
-def hybrid_search(spark, d):
-    """Lexical chunk leg and vector leg, fused, weighted by tier, backlinks and freshness."""
-    pages = V.pages(spark, d)
-    lex = R.search_chunks(R.chunks(pages), "the and", 50)
-    a = R.ranks(lex, F.desc("score"), F.asc("doc_id"), F.asc("chunk_index")).select("doc_id", "rank")
-    near = R.nearest(V.table(spark, d, "embeddings"), _query_vector(spark, d), 50)
-    b = R.ranks(near, F.desc("score"), F.asc("vec_id")).select(F.col("vec_id").alias("doc_id"), "rank")
-    slug = F.concat(F.lit("knowledge/doc-"), F.col("doc_id").cast("string")).alias("slug")
-    fused = R.fuse([a.select(slug, "rank"), b.select(slug, "rank")])
-    tier = F.when(F.col("tier") == "warm", 0.8).when(F.col("tier") == "cold", 0.6).otherwise(1.0)
-    age = (F.lit(AS_OF_S) - F.col("created_s")) / 86400.0
-    back = G.backlinks(V.links(spark, d))
-    x = F.broadcast(fused).join(pages.select("slug", "type", "title", "tier", "created_s"), "slug").join(back, "slug", "left")
-    boost = 1 + 0.05 * F.log1p(F.coalesce(F.col("backlinks"), F.lit(0)))
-    score = F.round(F.col("rrf") * 2 * tier * boost * T.freshness(age), 6)
-    return x.select("slug", "type", "title", score.alias("score")).orderBy(F.desc("score"), "slug").limit(20)
-
-
 # pages, links, timeline
 
 
@@ -167,10 +148,10 @@ def expires_at(spark, d):
     return V.pages(spark, d).select("slug", F.when(F.col("tier") == "hot", F.col("created_s") + 86400 * days[F.col("type")]).alias("expires_s"))
 
 
-@_query(f"""WITH {_PAGES} SELECT slug, type FROM pages_v WHERE tier = 'hot' AND type = 'task' AND created_s + 30 * 86400 <= {AS_OF_S + 86400 * 30}""")
+@_query(f"""WITH {_PAGES} SELECT slug, type FROM pages_v WHERE tier = 'hot' AND created_s + 86400 * CASE type WHEN 'decision' THEN 365 WHEN 'task' THEN 30 WHEN 'knowledge' THEN 180
+ WHEN 'preference' THEN 90 ELSE 365 END <= {AS_OF_S + 86400 * 80}""")
 def expired_hot(spark, d):
-    p = V.pages(spark, d).filter("tier = 'hot' AND type = 'task'")
-    return p.filter(F.col("created_s") + 30 * 86400 <= AS_OF_S + 86400 * 30).select("slug", "type")
+    return L.expired(V.pages(spark, d), AS_OF_S + 86400 * 80).select("slug", "type")
 
 
 @_query(f"""WITH {_PAGES} SELECT slug, type FROM pages_v WHERE tier = 'warm' AND ({AS_OF_S + 86400 * 800} - created_s) >= 86400 * CASE type WHEN 'task' THEN 365 WHEN 'preference' THEN 365 WHEN 'knowledge' THEN 730 END""")
@@ -282,11 +263,6 @@ def source_health(spark, d):
     return V.pages(spark, d).groupBy("platform").agg(F.count(F.lit(1)).alias("pages"), F.max("created_s").alias("newest_s"))
 
 
-@_query(f"WITH {_GROUP} SELECT at_s // 604800 * 604800 * 1000 AS week_ms, count(*) AS messages FROM group_v GROUP BY 1")
-def coverage_weekly(spark, d):
-    return V.group_messages(spark, d).groupBy((F.floor(F.col("at_s") / 604800) * 604800 * 1000).alias("week_ms")).agg(F.count(F.lit(1)).alias("messages"))
-
-
 @_query(f"WITH {_PAGES} SELECT DISTINCT channel, platform FROM pages_v WHERE channel IS NOT NULL")
 def distinct_channels(spark, d):
     return V.pages(spark, d).filter(F.col("channel").isNotNull()).select("channel", "platform").distinct()
@@ -336,12 +312,6 @@ def behavior_merge(spark, d):
     return A.merge_counters(half(0).unionByName(half(1))).select("channel", "messages")
 
 
-@_query()
-def blocks_full(spark, d):
-    dm = V.direct_messages(spark, d).withColumn("tokens", F.round(T.token_estimate(F.col("content")), 1))
-    return A.blocks(dm)
-
-
 @_query(f"""WITH {_GROUP}, r AS (SELECT *, row_number() OVER (PARTITION BY contact, channel ORDER BY at_s DESC, event_id DESC) AS rn FROM group_v)
 SELECT contact, channel, event_id, at_s FROM r WHERE rn = 1""")
 def latest_revision(spark, d):
@@ -393,9 +363,12 @@ def block_hash(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.substring(h, 1, 16).alias("block_hash"))
 
 
-@_query(f"""WITH {_PAGES}, t AS (SELECT slug, type, lower(title) AS t FROM pages_v WHERE length(title) >= 4)
-SELECT a.type, least(a.slug, b.slug) AS a, greatest(a.slug, b.slug) AS b FROM t a JOIN t b ON a.type = b.type AND a.slug < b.slug AND a.t <> b.t
-AND abs(length(a.t) - length(b.t)) <= 2 AND levenshtein(a.t, b.t) <= CASE WHEN least(length(a.t), length(b.t)) >= 8 THEN 2 ELSE 1 END""")
+_TITLES = """titles_v AS (SELECT type, title, lower(title) AS t, count(*) AS n, min(slug) AS head FROM named GROUP BY type, title),
+near AS (SELECT a.type, a.title AS title_a, b.title AS title_b, a.head AS head_a, b.head AS head_b FROM titles_v a JOIN titles_v b ON a.type = b.type AND a.title < b.title
+ AND length(a.t) >= 4 AND length(b.t) >= 4 AND abs(length(a.t) - length(b.t)) <= 2 AND levenshtein(a.t, b.t) <= CASE WHEN least(length(a.t), length(b.t)) >= 8 THEN 2 ELSE 1 END)"""
+
+
+@_query(f"WITH {_PAGES}, named AS (SELECT * FROM pages_v), {_TITLES} SELECT * FROM near")
 def near_dup_titles(spark, d):
     return L.near_titles(V.pages(spark, d))
 
@@ -436,12 +409,6 @@ def filter_multisource(spark, d):
     return x.filter(F.col("sure") | (F.col("sure").isNull() & (F.col("platform") == "en"))).select("slug")
 
 
-@_query(f"WITH {_PAGES} SELECT slug, created_s FROM pages_v WHERE created_s >= 1704153600 AND created_s < 1704153600 + 86400 * 3")
-def filter_time(spark, d):
-    p = V.pages(spark, d)
-    return p.filter((F.col("created_s") >= 1704153600) & (F.col("created_s") < 1704153600 + 86400 * 3)).select("slug", "created_s")
-
-
 @_query(f"""WITH {_PAGES}, s AS (SELECT slug, channel, length(body) AS cost, created_s, sum(length(body)) OVER w AS spent, row_number() OVER w AS place FROM pages_v
  WINDOW w AS (PARTITION BY channel ORDER BY created_s DESC, slug ROWS UNBOUNDED PRECEDING))
 SELECT channel, slug, spent::BIGINT AS spent, place::INTEGER AS place FROM s WHERE spent <= 12000 OR place = 1""")
@@ -480,11 +447,26 @@ def merge_repoint(spark, d):
     return V.links(spark, d).select(to("src"), to("dst"), "link_type").filter("src <> dst").distinct()
 
 
-@_query(f"""WITH {_PAGES} SELECT channel, type, count(*) AS members, string_agg('### ' || title, chr(10) || chr(10) ORDER BY created_s, slug) AS heads, min(created_s) AS created_s FROM pages_v WHERE tier = 'hot' GROUP BY channel, type""")
+_HOT = f"""hot AS (SELECT *, doc_id % 11 = 0 AS edited, CASE WHEN doc_id % 13 <> 0 THEN 'person/u' || least((doc_id % 11)::VARCHAR, (doc_id % 13)::VARCHAR) END AS entity FROM pages_v
+ WHERE tier = 'hot' AND created_s + 86400 * CASE type WHEN 'decision' THEN 365 WHEN 'task' THEN 30 WHEN 'knowledge' THEN 180 WHEN 'preference' THEN 90 ELSE 365 END <= {AS_OF_S + 86400 * 100})"""
+
+
+@_query(f"""WITH {_PAGES}, {_HOT} SELECT coalesce(entity, '__none__') AS entity, type, count(*) AS members, sha256(string_agg('### ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY created_s, slug)) AS content, min(created_s) AS created_s
+FROM hot WHERE type IN ('task', 'preference', 'knowledge') AND NOT edited GROUP BY entity, type""")
 def hot_warm_groups(spark, d):
-    x = V.pages(spark, d).filter("tier = 'hot'").groupBy("channel", "type")
-    rows = F.array_sort(F.collect_list(F.struct("created_s", "slug", "title")))
-    return x.agg(F.count(F.lit(1)).alias("members"), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("### "), r["title"])), "\n\n").alias("heads"), F.min("created_s").alias("created_s"))
+    p, m = _hot(spark, d)
+    return L.hot_to_warm(p, m, AS_OF_S + 86400 * 100).withColumn("content", F.sha2("content", 256))
+
+
+def _hot(spark, d):
+    p = V.sourced_pages(spark, d).withColumn("edited", F.col("doc_id") % 11 == 0)
+    m = p.filter("doc_id % 13 <> 0").select("slug", F.explode("source.participants.id").alias("id")).select("slug", F.concat(F.lit("person/"), "id").alias("to"))
+    return p, m
+
+
+@_query(f"WITH {_PAGES}, {_HOT} SELECT slug, type FROM hot WHERE type NOT IN ('task', 'preference', 'knowledge') OR edited")
+def hot_only_tier(spark, d):
+    return L.only_tier(_hot(spark, d)[0], AS_OF_S + 86400 * 100).select("slug", "type")
 
 
 @_query("""WITH g AS (SELECT doc_id % 10 AS session, doc_id AS item, 1 AS wanted FROM labels WHERE quality = 1), o AS (SELECT doc_id % 10 AS session, doc_id AS item, 1 AS found FROM labels WHERE toxic = 0)
@@ -496,30 +478,22 @@ def eval_metrics(spark, d):
     return L.quality_metrics(golden, x.filter("toxic = 0").select("session", "item"))
 
 
-# rules and ledgers
-
-
-@_query(f"""WITH {_PAGES} SELECT slug, CASE WHEN regexp_matches(title, '^\\s*$') THEN 'skip' WHEN contains(lower(body), 'thing') OR contains(lower(body), 'deadline') THEN 'escalate'
-WHEN length(body) < 60 THEN 'skip' ELSE 'evaluate' END AS verdict FROM pages_v""")
-def noise_l1(spark, d):
-    from engramlake.operators import rules
-
-    return V.pages(spark, d).select("slug", rules.noise(F.col("title"), F.col("body"), ["thing", "deadline"]).alias("verdict"))
+@_query("""WITH r AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0)::DOUBLE AS m, count(*) FILTER (quality = 1 AND toxic <> 0)::DOUBLE AS x, count(*) FILTER (quality <> 1 AND toxic = 0)::DOUBLE AS e FROM labels JOIN documents USING (doc_id) GROUP BY source),
+s AS (SELECT CASE WHEN m + x > 0 THEN x / (m + x) ELSE 0 END AS miss, CASE WHEN m + e > 0 THEN e / (m + e) ELSE 0 END AS noise FROM r)
+SELECT round(avg(miss), 6)::DOUBLE AS miss_mean, round(var_pop(miss), 6)::DOUBLE AS miss_variance, round(avg(noise), 6)::DOUBLE AS noise_mean, round(var_pop(noise), 6)::DOUBLE AS noise_variance FROM s""")
+def eval_stats(spark, d):
+    x = V.table(spark, d, "labels").join(V.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    n = lambda test, name: F.sum(F.when(test, 1.0).otherwise(0.0)).alias(name)
+    good, kept = F.col("quality") == 1, F.col("toxic") == 0
+    return L.metric_stats(x.groupBy("source").agg(n(good & kept, "matched"), n(good & ~kept, "missed"), n(~good & kept, "extra")))
 
 
-_SCORE = r"""t AS (SELECT doc_id, 1.5 * len(regexp_extract_all(body, '[一-鿿㐀-䶿぀-ヿ가-힯]')) + 1.3 * len(regexp_extract_all(regexp_replace(body, '[一-鿿㐀-䶿぀-ヿ가-힯]', ' ', 'g'), '[^\s]+')) AS t,
- list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM pages_v),
-s AS (SELECT doc_id, t::DOUBLE AS t, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w)::DOUBLE ELSE 0 END AS u FROM t),
-b AS (SELECT doc_id, CASE WHEN t < 50 THEN t / 50 WHEN t <= 500 THEN 1 WHEN t <= 3000 THEN 1 - (t - 500) / 5000 ELSE 0.5::DOUBLE END AS a,
- CASE WHEN u > 0.6::DOUBLE THEN 1 WHEN u <= 0 THEN 0 WHEN u < 0.2::DOUBLE THEN 0.1::DOUBLE ELSE (u - 0.2::DOUBLE) / 0.4::DOUBLE END AS r FROM s)"""
+@_query(f"WITH {_PAGES} SELECT round(sum(n - 1) / sum(n), 6)::DOUBLE AS dup_rate FROM (SELECT count(*) AS n FROM pages_v GROUP BY type, title)")
+def eval_dup_rate(spark, d):
+    return L.duplicate_rate(L.titles(V.pages(spark, d)))
 
 
-@_query(f"WITH {_PAGES}, {_SCORE} SELECT doc_id, round((a + r + 1.5 * 0.9 + 3 * 0.5) / 7.5, 4)::DOUBLE AS score FROM b")
-def block_score(spark, d):
-    from engramlake.operators import rules
-
-    p = V.pages(spark, d)
-    return p.select("doc_id", F.round(rules.block_score(F.col("body"), F.lit(0.9), F.lit(0.5), F.lit(0.0)), 4).alias("score"))
+# rules and ledgers
 
 
 @_query(f"""WITH {_PAGES}, k AS (SELECT type, substr(title, 1, 1) AS topic, count(*) AS n FROM pages_v GROUP BY 1, 2) SELECT type, topic, n FROM k WHERE n > 1""")
@@ -529,16 +503,6 @@ def payload_dups(spark, d):
     return rules.repeated(V.pages(spark, d).withColumn("topic", F.substring("title", 1, 1)), ["type", "topic"])
 
 
-_STATES = """s AS (SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events)"""
-
-
-@_query(f"WITH {_STATES} SELECT was, state, count(*) AS n FROM s WHERE was IS NOT NULL GROUP BY was, state")
-def state_transitions(spark, d):
-    from engramlake.operators import rules
-
-    return rules.transitions(V.table(spark, d, "events"), "user_id", "event_id", "event_type")
-
-
 @_query("""WITH f AS (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failures FROM events GROUP BY user_id)
 SELECT user_id, failures::BIGINT AS failures, least(300 * power(2, failures), 21600)::BIGINT AS wait_s, CASE WHEN failures >= 3 THEN true ELSE false END AS alert FROM f""")
 def backoff(spark, d):
@@ -556,22 +520,6 @@ def run_stats(spark, d):
     return r.withColumn("two_days", F.sum("runs").over(W.partitionBy("channel").orderBy("day").rowsBetween(-1, 0)))
 
 
-@_query(f"""WITH {_CONTRIB}, a AS (SELECT page, signal_type, what, row_number() OVER (PARTITION BY page ORDER BY created_s DESC, contribution_id DESC) AS place FROM contrib_v WHERE active)
-SELECT page, signal_type, what, place::INTEGER AS place FROM a WHERE place <= 3""")
-def session_context(spark, d):
-    from engramlake.operators import rules
-
-    x = V.contributions(spark, d).filter("active")
-    return rules.first_rows(x, ["page"], 3, F.desc("created_s"), F.desc("contribution_id")).select("page", "signal_type", "what", "place")
-
-
-@_query(f"""WITH {_CONTRIB} SELECT contribution_id, CASE WHEN authority = 'user_confirmed' THEN 'UPDATE' WHEN active AND signal_type IN ('task', 'preference') THEN 'NEW' ELSE 'NOOP' END AS action FROM contrib_v""")
-def plan_actions(spark, d):
-    from engramlake.operators import rules
-
-    return V.contributions(spark, d).select("contribution_id", rules.planned_action().alias("action"))
-
-
 @_query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS was FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS now FROM customer WHERE c_custkey % 4 <> 0)
 SELECT k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN was = now THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (k)""")
 def schedule_diff(spark, d):
@@ -607,20 +555,18 @@ def gaps(spark, d):
     return V.pages(spark, d).join(c, "slug", "left").select("slug", stale, F.col("has").isNull().alias("unsourced"))
 
 
-@_query(f"""WITH {_PAGES}, w AS (SELECT slug, unnest(regexp_extract_all('see [[part_of:' || channel || ']] and [[' || type || ']] and [[bad rel:x]]', '\\[\\[([^\\]]+)\\]\\]', 1)) AS l FROM pages_v)
-SELECT DISTINCT slug, CASE WHEN contains(l, ':') THEN split_part(l, ':', 1) ELSE 'mentions' END AS rel, CASE WHEN contains(l, ':') THEN substr(l, instr(l, ':') + 1) ELSE l END AS target FROM w
-WHERE NOT contains(l, ':') OR split_part(l, ':', 1) IN ('part_of', 'mentions', 'precedes', 'uses')""")
-def wikilinks(spark, d):
-    from engramlake.operators import rules
-
-    body = F.concat(F.lit("see [[part_of:"), F.col("channel"), F.lit("]] and [["), F.col("type"), F.lit("]] and [[bad rel:x]]"))
-    return rules.wikilinks(V.pages(spark, d).select("slug", body.alias("body")))
-
-
-@_query(f"""WITH {_PAGES}, g AS (SELECT type, title, min(slug) AS "into" FROM pages_v WHERE title <> '' GROUP BY type, title HAVING count(*) > 1)
-SELECT p.type, p.slug AS "from", g."into" FROM pages_v p JOIN g ON p.type = g.type AND p.title = g.title WHERE p.slug <> g."into" """)
+@_query(rf"""WITH {_PAGES}, named AS (SELECT slug, CASE type WHEN 'preference' THEN 'person' ELSE type END AS type, CASE WHEN doc_id % 20 = 3 THEN 'Ann  Li (x)' WHEN doc_id % 10 = 3 THEN 'Ann Li' ELSE title END AS title FROM pages_v WHERE doc_id % 10 = 3 OR title <> ''), {_TITLES},
+b AS (SELECT slug, trim(regexp_replace(title, '[（(][^）)]*[）)]', '', 'g'), E' \t\n\r\f\v') AS bare FROM named WHERE type = 'person'),
+k AS (SELECT slug, regexp_replace(replace(lower(bare), chr(39), '-'), '\s+', '-', 'g') AS name FROM b WHERE regexp_matches(bare, '^[a-zA-Z\s\-\x27]+$')),
+f AS (SELECT name, min(slug) AS head FROM k GROUP BY name HAVING count(*) > 1),
+e AS (SELECT n.type, n.slug AS x, t.head AS y, 0 AS r FROM named n JOIN titles_v t USING (type, title) WHERE n.slug <> t.head UNION ALL SELECT type, head_a, head_b, 1 FROM near
+ UNION ALL SELECT 'person', k.slug, f.head, 2 FROM k JOIN f USING (name) WHERE k.slug <> f.head)
+SELECT type, greatest(x, y) AS "from", least(x, y) AS "into", ['same_name', 'levenshtein', 'pinyin'][min(r) + 1] AS reason FROM e GROUP BY type, greatest(x, y), least(x, y)""")
 def merge_suggestions(spark, d):
-    return L.same_titles(V.pages(spark, d))
+    i = F.col("doc_id")
+    ann = F.when(i % 20 == 3, "Ann  Li (x)").otherwise("Ann Li")
+    p = V.pages(spark, d).withColumn("title", F.when(i % 10 == 3, ann).otherwise(F.col("title")))
+    return L.merge_suggestions(p.withColumn("type", F.when(F.col("type") == "preference", "person").otherwise(F.col("type"))))
 
 
 @_query("""WITH k AS (SELECT DISTINCT user_id::VARCHAR AS key FROM events), h AS (SELECT c_custkey::VARCHAR AS key, 'customer/' || c_custkey AS slug FROM customer WHERE c_custkey % 2 = 0),

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engramlake.operators.steps import cut
+
 #: How texts start that a tool and not the user wrote.
 SYSTEM_TAGS = ("<environment_context", "<permissions", "<collaboration_mode", "<skills_instructions")
 #: Characters of a user text that tell it from others in dialect B.
@@ -122,24 +124,13 @@ def revisions(seen: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def segments(messages: DataFrame, budget: float) -> DataFrame:
-    """Sessions packed into segments of at most `budget` tokens: session, msg, segment, tokens.
+    """Sessions packed into segments (from 1) of at most `budget` tokens: session, msg, segment, tokens.
 
-    Messages (session, msg, tokens) are walked one session at a time, as each cut depends on the one
+    Messages (session, msg, tokens) are walked in order, as each cut depends on the one
     before; a message above the budget stands alone and is cut by `oversized`.
     """
-    import pandas as pd
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("msg")
-        out, segment, size, count = [], 1, 0.0, 0
-        for tokens in rows.tokens:
-            if count and (size + tokens > budget):
-                segment, size, count = segment + 1, 0.0, 0
-            out.append(segment)
-            size, count = size + tokens, count + 1
-        return rows.assign(segment=out)
-
-    return messages.select("session", "msg", "tokens").groupBy("session").applyInPandas(pack, "session string, msg long, tokens double, segment long")
+    x = cut(messages.select("session", "msg", "tokens"), ["session"], [F.asc("msg")], "tokens", budget, name="segment")
+    return x.withColumn("segment", F.col("segment") + 1)
 
 
 def oversized(messages: DataFrame, budget: int, chars_per_token: int = 4) -> DataFrame:

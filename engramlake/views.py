@@ -101,3 +101,61 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("family-"), F.floor(F.col("doc_id") / 7).cast("string")).alias("family"),
         (F.col("toxic") == 0).alias("active"),
     )
+
+
+def _people(*keys: Column) -> Column:
+    who = lambda k: F.struct(F.concat(F.lit("u"), k.cast("string")).alias("id"), F.concat(F.lit("Name "), k.cast("string")).alias("name"))
+    return F.array(*map(who, keys))
+
+
+#: Values that the derived sources take in turn.
+SOURCE_TYPES = ("email", "dm", "group", "document")
+
+
+def sourced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with where they come from: platform, source_type, channel, channel_name, author, participants and, for most, a timestamp."""
+    i = F.col("doc_id")
+    source = F.struct(
+        F.col("platform"), _pick(SOURCE_TYPES, i).alias("source_type"), F.col("channel"),
+        F.concat(F.lit("room-"), (i % 10).cast("string")).alias("channel_name"), _people(i % 7)[0].alias("author"),
+        _people(i % 11, i % 13).alias("participants"), F.when(i % 5 != 0, F.col("created_s") + 3600).alias("timestamp_s"),
+    )
+    return pages(spark, sf_dir).withColumn("source", source)
+
+
+def sourced_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions with where they come from."""
+    i = F.col("contribution_id")
+    source = F.struct(
+        F.when(F.col("authority") == "user_confirmed", "en").otherwise("de").alias("platform"), _pick(SOURCE_TYPES, i).alias("source_type"),
+        F.concat(F.lit("src"), (i % 20).cast("string")).alias("channel"), F.concat(F.lit("room-"), (i % 10).cast("string")).alias("channel_name"),
+        _people(i % 7)[0].alias("author"), _people(i % 17).alias("participants"),
+    )
+    return contributions(spark, sf_dir).withColumn("source", source)
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the entity pages and those of contributions to the pages that they are about."""
+    c = contributions(spark, sf_dir)
+    of = c.select(F.concat(F.lit("signal/"), F.col("contribution_id").cast("string")).alias("src"), F.col("page").alias("dst"), F.lit("mentions").alias("link_type"))
+    return links(spark, sf_dir).unionByName(of)
+
+
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of messages: a stream for each direct talk, some of its turns in threads, and one of files: mail, document parts, entries, tasks."""
+    c, d = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents")
+    text = lambda *x: F.concat(*[v.cast("string") for v in x])
+    dm = direct_messages(spark, sf_dir).withColumn("conv_id", F.substring_index("channel", "/", -1).cast("long"))
+    talk = dm.select(
+        F.col("channel").alias("stream"), F.lit("im").alias("platform"), "channel", "at_s", F.col("turn").cast("long").alias("seq"),
+        text(F.lit("m"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("msg_id"), F.col("direction").alias("contact"), "content",
+        F.when(F.col("conv_id") % 3 == 0, text(F.lit("t"), F.floor(F.col("turn") / 4))).alias("thread"), F.lit(None).cast("string").alias("doc_token"),
+    )
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, "mail/in").when(i % 4 == 1, "docs/space").when(i % 4 == 2, "calendar/main").otherwise("tasks")
+    files = d.select(
+        F.concat(F.lit("files/"), (F.floor(i / 64)).cast("string")).alias("stream"), F.lit("files").alias("platform"), kind.alias("channel"),
+        (F.lit(1704067200) + i * 600).alias("at_s"), i.cast("long").alias("seq"), text(F.lit("d"), i).alias("msg_id"), F.col("source").alias("contact"),
+        F.col("text").alias("content"), F.lit(None).cast("string").alias("thread"), F.when(i % 16 != 1, text(F.lit("tok"), F.floor(i / 8))).alias("doc_token"),
+    )
+    return talk.unionByName(files)

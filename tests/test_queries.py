@@ -1,6 +1,9 @@
 """Every query against its SQL on the smallest tables, and small cases of the operators."""
 
+import hashlib
 import os
+import random
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -10,9 +13,11 @@ from pyspark.sql import functions as F
 from engramlake import queries as own
 from engramlake.functions import text as T
 from engramlake.operators import activity as A
+from engramlake.operators import filters
 from engramlake.operators import graph as G
 from engramlake.operators import ledger as L
 from engramlake.operators import retrieval as R
+from engramlake.operators import search
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "customer supplier nation region part orders events documents embeddings pages labels conversations".split()
@@ -82,15 +87,93 @@ def test_a_gap_of_exactly_half_an_hour_keeps_the_session(spark):
     assert A.sessions(m, ["contact"], "event_id").count() == 2
 
 
-def test_blocks_split_at_the_caps(spark):
-    rows = [("c", t, t, 1.0) for t in range(250)] + [("d", 0, 0, 3000.0), ("d", 1, 1, 1500.0)]
-    m = spark.createDataFrame(rows, "channel string, turn long, at_s long, tokens double")
-    got = {(r.channel, r.block): r.messages for r in A.blocks(m).collect()}
-    assert got == {("c", 0): 100, ("c", 1): 100, ("c", 2): 50, ("d", 0): 1, ("d", 1): 1}
+def walked_blocks(messages, gap, most_tokens, most):
+    """The blocks of one stream, message by message: lists of message ids with the thread."""
+    out, now, tokens, thread, token, last = [], [], 0, None, None, None
+
+    def close():
+        nonlocal now, tokens, thread
+        if now:
+            out.append(([m["msg_id"] for m in now], thread))
+        now, tokens, thread = [], 0, None
+
+    for m in messages:
+        channel = m["channel"]
+        if now and (m["platform"], channel) != (now[0]["platform"], now[0]["channel"]):
+            close()
+            token = None
+        if channel.startswith(("mail/", "calendar/")) or channel == "tasks" or (channel.startswith("docs/") and not m["doc_token"]):
+            close()
+            out.append(([m["msg_id"]], None))
+            token = None
+        elif channel.startswith("docs/"):
+            if now and m["doc_token"] != token:
+                close()
+            token = m["doc_token"]
+            now.append(m)
+        else:
+            late = bool(now) and m["at_s"] - last > gap
+            if now and ((thread is not None and m["thread"] != thread) or late or tokens + m["tokens"] > most_tokens or len(now) >= most):
+                close()
+            now.append(m)
+            tokens += m["tokens"]
+            thread = thread or m["thread"]
+        last = m["at_s"]
+    close()
+    return out
+
+
+def test_blocks_equal_a_walk(spark):
+    r = random.Random(8)
+    rows = []
+    for s in range(6):
+        at = 0
+        for k in range(400):
+            at += r.choice([0, 5, 60, 600, 1800, 1801, 4000])
+            channel = r.choice(["dm/a"] * 12 + ["group/b"] * 3 + ["mail/x", "tasks", "calendar/y", "docs/d", "docs/d", "docs/e"])
+            thread = r.choice([None, None, "t1", "t2"]) if s % 2 else None
+            token = r.choice([None, "k1", "k1", "k2"]) if channel.startswith("docs/") else None
+            rows.append((f"s{s}", "im", channel, at, k, f"m{s}-{k}", f"u{k % 3}", float(r.randrange(1, 300)), thread, token))
+    rows += [("long", "im", "dm/z", t, t, f"z{t}", "u", 1.0, None, None) for t in range(250)]
+    kind = "stream string, platform string, channel string, at_s long, seq long, msg_id string, contact string, tokens double, thread string, doc_token string"
+    names = [x.split()[0] for x in kind.split(", ")]
+    got = A.blocks(spark.createDataFrame(rows, kind), tokens=900.0, most=100).collect()
+    assert len({(x.stream, x.part, x.block) for x in got}) == len(got)
+    for s in {x[0] for x in rows}:
+        want = walked_blocks([dict(zip(names, x)) for x in rows if x[0] == s], 1800, 900.0, 100)
+        mine = Counter((x.messages, x.block_hash, x.thread) for x in got if x.stream == s)
+        assert mine == Counter((len(ids), hashlib.sha256("|".join(sorted(ids)).encode()).hexdigest()[:16], t) for ids, t in want)
+
+
+def test_filter_bounds_and_times():
+    assert [filters.clamped(x) for x in (None, 0, -3, 7.9, 500, float("nan"))] == [20, 20, 20, 7, 50, 20]
+    assert [filters.candidates(x) for x in (1, 10, 50)] == [20, 30, 50]
+    assert filters.seconds("2024-01-02") == (1704153600, True) and filters.seconds("2024-01-02T00:00:00+08:00") == (1704124800, False)
+    assert filters.since("2h", 10_000) == 2800 and filters.since("7d", 700_000) == 95_200 and filters.since("1970-01-02", 5) == 86400
+    assert [filters.valid_slug(x) for x in ("a/b", "", "a//b", "../b", "a b", "x")] == [True, False, False, False, False, True]
+
+
+def test_queries_are_rewritten_alike_in_python_and_spark(spark):
+    queries = ["What is the Plan for  review", "the and", "  ", "GPT gpt thing thing", "plan"]
+    more = {"plan": ["Roadmap", "review"]}
+    df = spark.createDataFrame([(q,) for q in queries], "q string")
+    got = [r[0] for r in df.select(search.rewritten(F.col("q"), more)).collect()]
+    assert got == ["Plan Roadmap review", "the and", "", "GPT thing", "plan Roadmap review"]
+    assert [search.rewritten_query(q, more) for q in queries] == [x or q for x, q in zip(got, queries)]
+
+
+def test_multi_source_truth_comes_before_the_page(spark):
+    source = "source struct<platform:string,source_type:string,channel:string,channel_name:string,author:struct<id:string,name:string>,participants:array<struct<id:string,name:string>>,timestamp_s:long>"
+    of = lambda p: (p, None, "c", None, None, None, None)
+    pages = spark.createDataFrame([("a", "t", 0, of("en")), ("b", "t", 5, of("en")), ("c", "t", 9, of("de"))], f"slug string, type string, created_s long, {source}")
+    signals = spark.createDataFrame([("a", True, of("de")), ("b", False, of("de")), ("c", True, of("en")), ("c", True, of("de"))], f"page string, active boolean, {source}")
+    seen = lambda **f: {r.slug for r in filters.matching(pages, signals, filters.MemoryFilter(**f)).collect()}
+    assert seen(platform="en") == {"b", "c"} and seen(platform=["de"]) == {"a", "c"} and seen(participant="x") == set()
+    assert seen() == {"a", "b", "c"} and seen(since="1970-01-01T00:00:05") == {"b", "c"} and seen(until="1970-01-01") == {"a", "b", "c"}
 
 
 def test_near_titles_equal_brute_force(spark):
-    titles = ["quarterly plan", "quarterly plans", "quartely plan", "quarterly plan", "abcd", "abce", "abxe", "xquarterly plany", "tuarterlyp lan"]
+    titles = ["quarterly plan", "quarterly plans", "quartely plan", "quarterly plan", "Quarterly plan", "abcd", "abce", "abxe", "xquarterly plany", "tuarterlyp lan"]
     df = spark.createDataFrame([(f"s{i}", "task", t) for i, t in enumerate(titles)], "slug string, type string, title string")
 
     def distance(a, b):
@@ -102,10 +185,12 @@ def test_near_titles_equal_brute_force(spark):
         return row[-1]
 
     want = {
-        (f"s{i}", f"s{j}") for i, a in enumerate(titles) for j, b in enumerate(titles)
-        if i < j and a != b and distance(a, b) <= (2 if min(len(a), len(b)) >= 8 else 1)
+        (min(a, b), max(a, b)) for i, a in enumerate(titles) for b in titles[i:]
+        if a != b and distance(a.lower(), b.lower()) <= (2 if min(len(a), len(b)) >= 8 else 1)
     }
-    assert {(r.a, r.b) for r in L.near_titles(df).collect()} == want
+    assert {(r.title_a, r.title_b) for r in L.near_titles(df).collect()} == want
+    heads = {r.title: (r.pages, r["head"]) for r in L.titles(df).collect()}
+    assert heads["quarterly plan"] == (2, "s0") and all(r.head_a == heads[r.title_a][1] for r in L.near_titles(df).collect())
 
 
 def test_budget_keeps_a_prefix_and_the_first_row(spark):
