@@ -54,7 +54,7 @@ _CHUNKS = r"""chunk_v AS (SELECT doc_id, i::INTEGER AS chunk_index, array_to_str
 
 
 def _all() -> None:
-    from engramlake.plans import ingest, knowledge, memory, reports, upkeep  # noqa: F401  (they enter their queries)
+    from engramlake.plans import ingest, knowledge, memory, records, reports, upkeep  # noqa: F401  (they enter their queries)
 
 
 def queries() -> dict[str, registry.Query]:
@@ -268,15 +268,6 @@ def distinct_channels(spark, d):
     return V.pages(spark, d).filter(F.col("channel").isNotNull()).select("channel", "platform").distinct()
 
 
-@_query(f"""WITH {_PAGES}, {_TIMELINE} SELECT channel AS key, 'page' AS kind, count(*) AS n FROM pages_v GROUP BY channel
-UNION ALL SELECT source, 'timeline', count(*) FROM timeline_v GROUP BY source""")
-def provenance_union(spark, d):
-    n = F.count(F.lit(1)).alias("n")
-    a = V.pages(spark, d).groupBy(F.col("channel").alias("key")).agg(n).select("key", F.lit("page").alias("kind"), "n")
-    b = V.timeline(spark, d).groupBy(F.col("source").alias("key")).agg(n).select("key", F.lit("timeline").alias("kind"), "n")
-    return a.unionByName(b)
-
-
 # messages
 
 
