@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -55,3 +56,40 @@ def cut(
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = rows.schema.add(name, "long")
     return sorted_rows.mapInArrow(walk, schema)
+
+
+def digested(rows: DataFrame, keys: list[str], order: list[Column], text: str, separator: str = "\n") -> DataFrame:
+    """(keys, hash): SHA-256 of each key's texts in order, joined by the separator (null: empty).
+
+    The texts of a key are a sorted stream into a running hash, so no key is gathered, however long it is.
+    """
+    import hashlib
+
+    def walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, done = None, None, []
+        for batch in stream:
+            ids = zip(*[batch.column(k).to_pylist() for k in keys])
+            for key, value in zip(ids, batch.column(text)):
+                if digest is None or key != now:
+                    if digest is not None:
+                        done.append((*now, digest.hexdigest()))
+                    now, digest = key, hashlib.sha256()
+                else:
+                    digest.update(separator.encode())
+                if value.is_valid:
+                    digest.update(value.as_buffer())
+            if len(done) >= 10_000:
+                yield emit(done)
+                done = []
+        if digest is not None:
+            done.append((*now, digest.hexdigest()))
+        if done:
+            yield emit(done)
+
+    def emit(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], [*keys, "hash"])
+
+    x = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, text)
+    schema = x.select(*keys).schema
+    types = [to_arrow_type(f.dataType) for f in schema.fields] + [pa.string()]
+    return x.mapInArrow(walk, schema.add("hash", "string"))

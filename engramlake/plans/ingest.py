@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engramlake import views as V
 from engramlake.functions import messages as M
 from engramlake.functions import text as T
+from engramlake.operators.steps import digested
 from engramlake.queries import _GROUP, _LINKS, _PAGES
 from engramlake.registry import query
 from engramlake.sources import chat, transcripts, vault
@@ -64,10 +65,11 @@ def parse_dialect_c(spark, d):
     return transcripts.dialect_c(_lines(spark, d, F.struct(F.lit("message").alias("type"), _at(), message.alias("message"))))
 
 
-@query(f"""SELECT {_SQL_FILE} AS file, CASE WHEN conv_id % 4 = 0 THEN 'new' WHEN conv_id % 4 = 1 THEN 'revised' ELSE 'unchanged' END AS state FROM conversations GROUP BY conv_id""")
+@query(f"""WITH h AS (SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id),
+k AS (SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN 'older' ELSE h END AS h FROM h WHERE conv_id % 4 <> 0)
+SELECT {_SQL_FILE.replace('conv_id', 'h.conv_id')} AS file, CASE WHEN k.h = h.h THEN 'unchanged' WHEN k.h IS NOT NULL THEN 'revised' ELSE 'new' END AS state FROM h LEFT JOIN k ON k.conv_id = h.conv_id""")
 def session_revisions(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))["text"]
-    x = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("hash"))
+    x = digested(V.table(spark, d, "conversations"), ["conv_id"], [F.asc("turn")], "text")
     seen = x.select("conv_id", _file().alias("file"), "hash")
     ledger = seen.filter("conv_id % 4 <> 0").select("file", F.when(F.col("conv_id") % 4 == 1, "older").otherwise(F.col("hash")).alias("hash"))
     return transcripts.revisions(seen, ledger).select("file", "state")
@@ -84,28 +86,39 @@ def segment_pieces(spark, d):
 @query()
 def segments(spark, d):
     """Sessions packed to 400 tokens; each cut depends on the one before, so SQL has no equal."""
-    c = V.table(spark, d, "conversations").filter("text IS NOT NULL")
-    x = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").alias("msg"), T.token_estimate(F.col("text")).alias("tokens"))
+    c = V.table(spark, d, "conversations")
+    tokens = T.token_estimate(F.coalesce("text", F.lit("")))
+    x = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").alias("msg"), tokens.alias("tokens"))
     return transcripts.segments(x, 400.0)
 
 
 _KIND = "['text','post','image','file','interactive','other'][event_id % 6 + 1]"
 
 
-@query(f"""SELECT event_id, {_KIND} AS kind, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN event_type || ' a b' WHEN 2 THEN '[图片]' WHEN 3 THEN '[文件: ' || event_type || ']' WHEN 4 THEN '[卡片消息]'
- ELSE '{{"text":"' || event_type || '"}}' END AS content, CASE event_id % 6 WHEN 2 THEN 'k' || event_id WHEN 3 THEN 'f' || event_id END AS attachment FROM events""")
+_RAW = """raw AS (SELECT event_id, ['text','post','image','file','interactive','other'][event_id % 6 + 1] AS kind, CASE event_id % 6 WHEN 1 THEN to_json(struct_pack(title := event_type, content := [[struct_pack(text := 'a')], [struct_pack(text := ''), struct_pack(text := 'b')]]))::VARCHAR
+ WHEN 2 THEN to_json(struct_pack(image_key := 'k' || event_id))::VARCHAR WHEN 3 THEN CASE WHEN event_id % 4 = 1 THEN to_json(struct_pack(file_key := 'f' || event_id))::VARCHAR ELSE to_json(struct_pack(file_key := 'f' || event_id, file_name := event_type))::VARCHAR END
+ WHEN 4 THEN '{"config": {}}' ELSE CASE WHEN event_id % 7 = 0 THEN 'no json ' || event_type ELSE to_json(struct_pack(text := event_type))::VARCHAR END END AS raw FROM events),
+parsed AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM raw)"""
+
+
+@query(f"""WITH {_RAW} SELECT event_id, kind, CASE WHEN coalesce(raw, '') = '' THEN '' WHEN j IS NULL THEN raw WHEN kind = 'text' THEN coalesce(json_extract_string(j, '$.text'), '')
+ WHEN kind = 'post' THEN array_to_string(list_filter(list_prepend(coalesce(json_extract_string(j, '$.title'), ''), json_extract_string(j, '$.content[*][*].text')), lambda t: t <> ''), ' ')
+ WHEN kind = 'image' THEN '[图片]' WHEN kind = 'file' THEN coalesce('[文件: ' || json_extract_string(j, '$.file_name') || ']', '[文件]')
+ WHEN kind = 'interactive' THEN coalesce(json_extract_string(j, '$.config.wide_screen_mode.header.title.content'), '[卡片消息]') ELSE raw END AS content,
+ CASE kind WHEN 'image' THEN json_extract_string(j, '$.image_key') WHEN 'file' THEN json_extract_string(j, '$.file_key') END AS attachment FROM parsed""")
 def decode_message(spark, d):
     e = V.table(spark, d, "events")
     kinds = F.array(*map(F.lit, ("text", "post", "image", "file", "interactive", "other")))
-    n = (F.col("event_id") % 6).cast("int")
+    i = F.col("event_id")
+    n = (i % 6).cast("int")
     part = lambda t: F.struct(F.lit(t).alias("text"))
-    key = lambda p: F.concat(F.lit(p), F.col("event_id").cast("string"))
+    key = lambda p: F.concat(F.lit(p), i.cast("string"))
     raw = (
-        F.when(n == 1, F.to_json(F.struct(F.col("event_type").alias("title"), F.array(F.array(part("a")), F.array(part("b"))).alias("content"))))
+        F.when(n == 1, F.to_json(F.struct(F.col("event_type").alias("title"), F.array(F.array(part("a")), F.array(part(""), part("b"))).alias("content"))))
         .when(n == 2, F.to_json(F.struct(key("k").alias("image_key"))))
-        .when(n == 3, F.to_json(F.struct(key("f").alias("file_key"), F.col("event_type").alias("file_name"))))
+        .when(n == 3, F.to_json(F.struct(key("f").alias("file_key"), F.when(i % 4 != 1, F.col("event_type")).alias("file_name"))))
         .when(n == 4, F.lit('{"config": {}}'))
-        .otherwise(F.to_json(F.struct(F.col("event_type").alias("text"))))
+        .otherwise(F.when(i % 7 == 0, F.concat(F.lit("no json "), "event_type")).otherwise(F.to_json(F.struct(F.col("event_type").alias("text")))))
     )
     x = e.select("event_id", F.element_at(kinds, n + 1).alias("kind"), raw.alias("raw"))
     got = chat.attachment(F.col("kind"), F.col("raw"))["id"]
@@ -126,12 +139,15 @@ def mail_cursor(spark, d):
     return chat.clamped_cursor(V.group_messages(spark, d).withColumn("ok", F.col("event_id") % 17 != 0), ["contact"], "ok", "at_s")
 
 
-@query(f"""WITH {_GROUP} SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 2 THEN at_s - 28800 ELSE at_s END AS seconds FROM group_v""")
+@query(rf"""WITH {_GROUP}, t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN at_s::VARCHAR WHEN 1 THEN at_s || '123' WHEN 2 THEN strftime(to_timestamp(at_s) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') WHEN 3 THEN 'soon' ELSE strftime(to_timestamp(at_s) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || 'Z' END AS t FROM group_v)
+SELECT event_id, CASE WHEN regexp_full_match(t, '\d{{13}}') THEN t::BIGINT // 1000 WHEN regexp_full_match(t, '\d{{10}}') THEN t::BIGINT
+ WHEN regexp_full_match(t, '\d{{4}}-\d\d-\d\d[ T]\d\d:\d\d:\d\dZ') THEN epoch(replace(left(t, 19), 'T', ' ')::TIMESTAMP)::BIGINT WHEN regexp_full_match(t, '\d{{4}}-\d\d-\d\d[ T]\d\d:\d\d:\d\d') THEN epoch(replace(t, 'T', ' ')::TIMESTAMP)::BIGINT - 28800 END AS seconds FROM t""")
 def parse_times(spark, d):
     m = V.group_messages(spark, d)
-    n, at = F.col("event_id") % 4, F.col("at_s").cast("string")
-    iso = F.regexp_replace(F.timestamp_seconds("at_s").cast("string"), r"\.\d+$", "")
-    text = F.when(n == 0, at).when(n == 1, F.concat(at, F.lit("123"))).when(n == 2, iso).otherwise("soon")
+    n, at = F.col("event_id") % 5, F.col("at_s").cast("string")
+    iso = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd HH:mm:ss")
+    zulu = F.date_format(F.timestamp_seconds("at_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = F.when(n == 0, at).when(n == 1, F.concat(at, F.lit("123"))).when(n == 2, iso).when(n == 3, "soon").otherwise(zulu)
     x = m.select("event_id", text.alias("t"))
     return x.select("event_id", chat.parsed_time(F.col("t")).alias("seconds"))
 
@@ -164,17 +180,20 @@ def upgrade_batch(spark, d):
     return chat.upgrade_batch(q, 1, 3, 20, 5)
 
 
-@query("SELECT user_id, event_id, substr(['heading1','heading2','heading3'][event_id % 5 + 1], 8, 1)::INTEGER AS level, event_type AS title FROM events WHERE event_id % 5 < 3")
+@query("""WITH b AS (SELECT user_id, event_id, unnest([struct_pack(type := ['heading1','heading2','heading3','text','code','heading4'][event_id % 6 + 1], text := ' ' || event_type), struct_pack(type := 'heading2', text := CASE WHEN event_id % 4 = 0 THEN '  ' ELSE 'part ' || user_id END)]) AS b FROM events)
+SELECT user_id, event_id, right(b.type, 1)::INTEGER AS level, trim(b.text) AS title FROM b WHERE b.type IN ('heading1', 'heading2', 'heading3') AND trim(b.text) <> ''""")
 def doc_toc(spark, d):
-    kinds = F.array(*map(F.lit, ("heading1", "heading2", "heading3", "text", "code")))
-    block = F.struct(F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("type"), F.concat(F.lit(" "), "event_type").alias("text"))
-    x = V.table(spark, d, "events").select("user_id", "event_id", chat.headings(F.array(block)).alias("h"))
+    i = F.col("event_id")
+    kinds = F.array(*map(F.lit, ("heading1", "heading2", "heading3", "text", "code", "heading4")))
+    one = F.struct(F.element_at(kinds, (i % 6 + 1).cast("int")).alias("type"), F.concat(F.lit(" "), "event_type").alias("text"))
+    two = F.struct(F.lit("heading2").alias("type"), F.when(i % 4 == 0, "  ").otherwise(F.concat(F.lit("part "), F.col("user_id").cast("string"))).alias("text"))
+    x = V.table(spark, d, "events").select("user_id", "event_id", chat.headings(F.array(one, two)).alias("h"))
     return x.select("user_id", "event_id", F.inline("h"))
 
 
-@query(f"""WITH {_PAGES} SELECT slug, sha256({_STRIP.format("regexp_replace(body, '(?m)[ ' || chr(9) || ']+$', '', 'g')")}) AS hash FROM pages_v WHERE body IS NOT NULL""")
+@query(f"""WITH {_PAGES} SELECT slug, sha256({_STRIP.format("regexp_replace(body, '(?m)[ ' || chr(9) || ']+$', '', 'g')")}) AS hash FROM pages_v""")
 def body_hash(spark, d):
-    return V.pages(spark, d).filter("body IS NOT NULL").select("slug", chat.body_hash(F.col("body")).alias("hash"))
+    return V.pages(spark, d).select("slug", chat.body_hash(F.col("body")).alias("hash"))
 
 
 @query("SELECT event_type AS status, count(*) AS n, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS failed FROM events GROUP BY event_type")
@@ -205,7 +224,8 @@ def vault_render(spark, d):
     return _rendered(spark, d)
 
 
-@query(f"""WITH {_PAGES} SELECT slug, CASE WHEN doc_id % 4 = 0 THEN 'write' WHEN doc_id % 4 = 1 THEN 'write' ELSE 'skip' END AS step FROM pages_v UNION ALL SELECT 'gone/page', 'remove'""")
+@query(f"""WITH {_PAGES}, {_RENDERED}, k AS (SELECT slug, CASE WHEN doc_id % 4 = 1 THEN 'older' ELSE sha256(content) END AS h FROM r WHERE doc_id % 4 <> 0 UNION ALL SELECT 'gone/page', 'x')
+SELECT coalesce(r.slug, k.slug) AS slug, CASE WHEN r.slug IS NULL THEN 'remove' WHEN k.h IS NOT DISTINCT FROM sha256(r.content) THEN 'skip' ELSE 'write' END AS step FROM r FULL JOIN k ON r.slug = k.slug""")
 def vault_export_diff(spark, d):
     r = _rendered(spark, d)
     k = F.regexp_extract("slug", r"(\d+)$", 1).cast("long") % 4
@@ -223,9 +243,9 @@ def vault_import_plan(spark, d):
     return vault.import_plan(files, store, manifest)
 
 
-@query(f"""WITH {_PAGES} SELECT slug, type, {_STRIP.format("regexp_replace(title, chr(13), '', 'g')")} AS title, coalesce(body, '') AS body FROM pages_v WHERE title IS NOT NULL""")
+@query(f"""WITH {_PAGES} SELECT slug, type, {_STRIP.format("regexp_replace(title, chr(13), '', 'g')")} AS title, coalesce(body, '') AS body FROM (SELECT slug, type, coalesce(title, '') AS title, body FROM pages_v)""")
 def parse_frontmatter(spark, d):
-    p = V.pages(spark, d).filter("title IS NOT NULL")
+    p = V.pages(spark, d).withColumn("title", F.coalesce("title", F.lit("")))
     head = F.concat(F.lit("---\ntitle: "), F.regexp_replace("title", "\r", ""), F.lit("\ntype: "), "type", F.lit("\n---\n"), F.coalesce("body", F.lit("")))
     x = p.select("slug", head.alias("content")).withColumn("f", vault.fields(F.col("content")))
     return x.select("slug", F.element_at("f", "type").alias("type"), F.regexp_replace(F.element_at("f", "title"), r"^\s+|\s+$", "").alias("title"), vault.body(F.col("content")).alias("body"))
@@ -255,9 +275,9 @@ def dedup_hash(spark, d):
     return m.select("event_id", M.identity_hash(F.lit("chat"), F.col("channel"), F.col("at_s").cast("string"), mid, F.concat("contact", F.lit(":0"))).alias("hash"))
 
 
-@query("SELECT doc_id, (contains(lower(text), 'grep')::INT + contains(lower(text), 'runbook')::INT + contains(lower(text), 'playbook')::INT) >= 2 AS playbook FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, (contains(lower(text), 'grep')::INT + contains(lower(text), 'runbook')::INT + contains(lower(text), 'playbook')::INT) >= 2 AS playbook FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def playbook_classify(spark, d):
-    return V.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", M.is_playbook(F.col("text")).alias("playbook"))
+    return V.table(spark, d, "documents").select("doc_id", M.is_playbook(F.coalesce("text", F.lit(""))).alias("playbook"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(c_name) WHEN 1 THEN c_name || ' x' ELSE c_name || '  x' END AS handle FROM customer""")

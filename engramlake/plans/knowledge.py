@@ -74,7 +74,8 @@ def channel_names(spark, d):
     return I.requested(V.table(spark, d, "events").select(_s("user_id").alias("key")), cache, 1000100, 7 * 86400)
 
 
-@query("""SELECT 'name' AS kind, c_name AS value, 'p/' || c_custkey AS slug, CASE WHEN c_custkey % 4 = 0 THEN 'keep' WHEN c_custkey % 4 = 1 THEN 'conflict' ELSE 'add' END AS step FROM customer""")
+@query("""WITH n AS (SELECT 'name' AS kind, c_name AS value, 'p/' || c_custkey AS slug, c_custkey AS k FROM customer), h AS (SELECT kind, value, CASE WHEN k % 4 = 0 THEN slug ELSE 'p/other' END AS owner FROM n WHERE k % 4 < 2)
+SELECT kind, value, slug, CASE WHEN owner IS NULL THEN 'add' WHEN owner = slug THEN 'keep' ELSE 'conflict' END AS step FROM n LEFT JOIN h USING (kind, value)""")
 def handles_add(spark, d):
     k = F.col("c_custkey")
     slug = F.concat(F.lit("p/"), k.cast("string"))
@@ -118,15 +119,16 @@ def admissibility(spark, d):
     return V.contributions(spark, d).select("contribution_id", M.admissibility(F.col("signal_type"), F.col("authority")).alias("place"))
 
 
-@query(f"""WITH {_PAGES} SELECT slug, CASE WHEN doc_id % 3 = 0 THEN 'apply' WHEN doc_id % 2 = 0 THEN 'retry' ELSE 'dead' END AS step FROM pages_v WHERE body IS NOT NULL""")
+@query(f"""WITH {_PAGES}, p AS (SELECT doc_id, slug, sha256(coalesce(body, '')) AS h FROM pages_v), t AS (SELECT slug, CASE WHEN doc_id % 3 = 0 THEN h ELSE 'old' END AS seen, doc_id % 2 AS tries FROM p)
+SELECT slug, CASE WHEN seen IS NOT DISTINCT FROM h THEN 'apply' WHEN tries < 1 THEN 'retry' ELSE 'dead' END AS step FROM t JOIN p USING (slug)""")
 def cas_check(spark, d):
-    p = V.pages(spark, d).filter("body IS NOT NULL").select("doc_id", "slug", F.sha2("body", 256).alias("hash"))
+    p = V.pages(spark, d).select("doc_id", "slug", F.sha2(F.coalesce("body", F.lit("")), 256).alias("hash"))
     tries = p.select("slug", F.when(F.col("doc_id") % 3 == 0, F.col("hash")).otherwise("old").alias("seen"), (F.col("doc_id") % 2).alias("tries"))
     return P.cas(tries, p.select("slug", "hash")).select("slug", "step")
 
 
-@query("""SELECT c_custkey AS src, c_nationkey AS dst, CASE WHEN c_custkey % 4 = 0 THEN 'new' WHEN c_custkey % 3 <> 0 THEN 'old' END AS source,
-CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE 'a' END AS context FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""")
+@query("""WITH o AS (SELECT c_custkey AS src, c_nationkey AS dst, 'old' AS source, 'a' AS context FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS src, c_nationkey AS dst, CASE WHEN c_custkey % 4 = 0 THEN 'new' END AS source, 'b' AS context FROM customer WHERE c_custkey % 2 = 0)
+SELECT src, dst, coalesce(n.source, o.source) AS source, CASE WHEN n.context IS NOT NULL THEN n.context ELSE o.context END AS context FROM o FULL JOIN n USING (src, dst)""")
 def link_upsert(spark, d):
     c, k = V.table(spark, d, "customer"), F.col("c_custkey")
     row = lambda source, context: [k.alias("src"), F.col("c_nationkey").alias("dst"), source.alias("source"), F.lit(context).alias("context")]
@@ -135,8 +137,8 @@ def link_upsert(spark, d):
     return P.merged(old, new, ["src", "dst"], soft=["source"])
 
 
-@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 6 IN (1, 5) THEN 'old' WHEN p_partkey % 6 = 4 THEN 'old' WHEN p_partkey % 6 = 2 THEN 'new' ELSE 'new' END AS reason, CASE WHEN p_partkey % 6 IN (1, 4) THEN 'accepted' ELSE 'pending' END AS status
-FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0""")
+@query("""WITH o AS (SELECT p_partkey AS k, 'old' AS reason, CASE WHEN p_partkey % 3 = 1 THEN 'accepted' ELSE 'pending' END AS status FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey AS k, 'new' AS reason FROM part WHERE p_partkey % 2 = 0)
+SELECT k, CASE WHEN o.status <> 'pending' THEN o.reason ELSE coalesce(n.reason, o.reason) END AS reason, CASE WHEN o.status <> 'pending' THEN o.status ELSE 'pending' END AS status FROM o FULL JOIN n USING (k)""")
 def suggestion_upsert(spark, d):
     p, k = V.table(spark, d, "part"), F.col("p_partkey")
     old = p.filter(k % 3 != 0).select(k.alias("k"), F.lit("old").alias("reason"), F.when(k % 3 == 1, "accepted").otherwise("pending").alias("status"))
@@ -144,7 +146,9 @@ def suggestion_upsert(spark, d):
     return P.suggestions(old, new, ["k"])
 
 
-@query(f"""WITH {_CHUNKS} SELECT doc_id, chunk_index, CASE WHEN doc_id % 3 = 1 THEN 'embed' WHEN doc_id % 3 = 2 AND chunk_index = 0 THEN 'embed' ELSE 'keep' END AS step FROM chunk_v UNION ALL SELECT -1, 0, 'delete'""")
+@query(f"""WITH {_CHUNKS}, o AS (SELECT doc_id, chunk_index, CASE WHEN doc_id % 3 = 2 AND chunk_index = 0 THEN 'before' ELSE chunk_text END AS t FROM chunk_v WHERE doc_id % 3 <> 1 UNION ALL SELECT -1, 0, 'x')
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.chunk_index, o.chunk_index) AS chunk_index, CASE WHEN n.doc_id IS NULL THEN 'delete' WHEN sha256(o.t) IS NOT DISTINCT FROM sha256(n.chunk_text) THEN 'keep' ELSE 'embed' END AS step
+FROM chunk_v n FULL JOIN o ON n.doc_id = o.doc_id AND n.chunk_index = o.chunk_index""")
 def rechunk_diff(spark, d):
     new = R.chunks(V.pages(spark, d))
     k = F.col("doc_id") % 3
@@ -152,7 +156,8 @@ def rechunk_diff(spark, d):
     return P.rechunked(old.unionByName(spark.createDataFrame([(-1, 0, "x")], "doc_id long, chunk_index int, chunk_text string")), new)
 
 
-@query("""SELECT c_custkey, 'a=' || CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END || ',b=' || c_nationkey AS meta FROM customer""")
+@query("""WITH m AS (SELECT c_custkey, to_json(struct_pack(a := 'old', b := c_nationkey::VARCHAR)) AS o, CASE WHEN c_custkey % 2 = 0 THEN to_json(struct_pack(a := 'new')) END AS n FROM customer), j AS (SELECT c_custkey, CASE WHEN n IS NULL THEN o ELSE json_merge_patch(o, n) END AS j FROM m)
+SELECT c_custkey, 'a=' || json_extract_string(j, '$.a') || ',b=' || json_extract_string(j, '$.b') AS meta FROM j""")
 def json_merge(spark, d):
     old = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), _s("c_nationkey"))
     new = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("a"), F.lit("new")))
@@ -161,17 +166,23 @@ def json_merge(spark, d):
     return x.select("c_custkey", F.concat(F.lit("a="), F.element_at("m", "a"), F.lit(",b="), F.element_at("m", "b")).alias("meta"))
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN event_id + 100 END AS expires_s, coalesce(event_id % 2 = 0 AND event_id + 100 <= 500, false) AS due FROM events""")
+@query("""WITH a AS (SELECT event_id AS id, event_id AS applied_s FROM events WHERE event_id % 2 = 0)
+SELECT e.event_id AS id, applied_s + 100 AS expires_s, coalesce(applied_s + 100 <= 500, false) AS due FROM events e LEFT JOIN a ON a.id = e.event_id""")
 def ttl_sweep(spark, d):
     e = V.table(spark, d, "events").select(F.col("event_id").alias("id"))
     return P.expiring(e, e.filter("id % 2 = 0").withColumn("applied_s", F.col("id")), 500, 100)
 
 
-@query("""WITH o AS (SELECT doc_id AS id, doc_id % 9 AS k, row_number() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id) AS n FROM labels WHERE toxic = 0), g AS (SELECT doc_id AS id, doc_id % 9 AS k, row_number() OVER (PARTITION BY doc_id % 9 ORDER BY doc_id) AS n FROM labels WHERE quality = 1)
-SELECT o.id AS output_id, g.id AS golden_id, CASE WHEN g.id IS NULL THEN 'extra' WHEN o.id IS NULL THEN 'missed' ELSE 'matched' END AS kind FROM o FULL JOIN g USING (k, n)""")
+@query("""WITH x AS (SELECT doc_id AS id, 's' || doc_id % 3 AS session, ['decision','task','knowledge'][doc_id % 7 % 3 + 1] AS type, lower('What ' || doc_id % 4) AS what, quality, toxic FROM labels),
+o AS (SELECT id, session, type, what, row_number() OVER (PARTITION BY session, type, what ORDER BY id) AS n FROM x WHERE toxic = 0), g AS (SELECT id, session, type, what, row_number() OVER (PARTITION BY session, type, what ORDER BY id) AS n FROM x WHERE quality = 1)
+SELECT o.id AS output_id, g.id AS golden_id, CASE WHEN g.id IS NULL THEN 'extra' WHEN o.id IS NULL THEN 'missed' ELSE 'matched' END AS kind FROM o FULL JOIN g USING (session, type, what, n)""")
 def eval_match(spark, d):
-    x = V.table(spark, d, "labels").withColumn("k", F.col("doc_id") % 9).withColumnRenamed("doc_id", "id")
-    return P.matched(x.filter("toxic = 0"), x.filter("quality = 1"), ["k"])
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("decision", "task", "knowledge"))), (i % 7 % 3 + 1).cast("int"))
+    what = F.lower(F.concat(F.lit("What "), (i % 4).cast("string")))
+    session = F.concat(F.lit("s"), (i % 3).cast("string"))
+    x = V.table(spark, d, "labels").select(i.alias("id"), session.alias("session"), kind.alias("type"), what.alias("what"), "quality", "toxic")
+    return P.matched(x.filter("toxic = 0"), x.filter("quality = 1"), ["session", "type", "what"])
 
 
 @query("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'tune' END AS split, count(*) AS n, count(*) - count(DISTINCT doc_id) AS duplicates FROM labels GROUP BY 1""")
@@ -184,7 +195,10 @@ def eval_split(spark, d):
 # scopes and answers
 
 
-@query("""SELECT event_id AS id, 'see [1] and ' || CASE WHEN event_id % 2 = 0 THEN '[2]' ELSE '' END || ' or ' AS answer, CASE WHEN event_id % 2 = 0 THEN '1,2' ELSE '1' END AS cited FROM events""")
+@query(r"""WITH a AS (SELECT event_id AS id, 'see [1] and [2] or [7]' AS t, CASE WHEN event_id % 2 = 0 THEN [1, 2] ELSE [1] END AS refs FROM events),
+m AS (SELECT id, t, refs, list_transform(regexp_extract_all(t, '\[(\d+)\]', 1), lambda x: x::INTEGER) AS marks FROM a)
+SELECT id, list_reduce(list_prepend(t, list_transform(list_filter(list_distinct(marks), lambda x: NOT list_contains(refs, x)), lambda x: '[' || x || ']')), lambda y, z: replace(y, z, '')) AS answer,
+ array_to_string(list_sort(list_filter(list_distinct(marks), lambda x: list_contains(refs, x))), ',') AS cited FROM m""")
 def citations(spark, d):
     e = V.table(spark, d, "events").select(F.col("event_id").alias("id"))
     refs = e.withColumn("ref", F.lit(1)).unionByName(e.filter("id % 2 = 0").withColumn("ref", F.lit(2)))
@@ -259,7 +273,8 @@ def entity_pages(spark, d):
     return V.pages(spark, d).filter(F.col("type").isin("decision", "preference", "reference")).select("slug", "type", "title")
 
 
-@query("""SELECT user_id, CASE WHEN user_id % 2 = 0 AND user_id % 3 = 0 THEN 'red,green' WHEN user_id % 2 = 0 THEN 'red' WHEN user_id % 3 = 0 THEN 'green' ELSE '' END AS colors FROM (SELECT DISTINCT user_id FROM events)""")
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, MAP {'S': CASE WHEN user_id % 3 = 0 THEN 'high' ELSE 'low' END, 'D': CASE WHEN user_id % 2 = 0 THEN 'high' ELSE 'low' END, 'I': 'low'} AS m FROM u)
+SELECT user_id, concat_ws(',', CASE WHEN m['D'] = 'high' THEN 'red' END, CASE WHEN m['I'] = 'high' THEN 'yellow' END, CASE WHEN m['S'] = 'high' THEN 'green' END, CASE WHEN m['C'] = 'high' THEN 'blue' END) AS colors FROM m""")
 def four_color(spark, d):
     level = lambda n: F.when(F.col("user_id") % n == 0, "high").otherwise("low")
     x = V.table(spark, d, "events").select("user_id").distinct()
@@ -267,7 +282,9 @@ def four_color(spark, d):
     return x.select("user_id", F.array_join(M.four_colors(m), ",").alias("colors"))
 
 
-@query("""SELECT n_nationkey, 'Facts' AS title, n_name AS body FROM nation UNION ALL SELECT n_nationkey, 'Links', 'r' || n_regionkey FROM nation""")
+@query(r"""WITH t AS (SELECT n_nationkey, 'intro' || chr(10) || '## Facts' || chr(10) || n_name || chr(10) || chr(10) || '## Links' || chr(10) || 'r' || n_regionkey AS t FROM nation),
+p AS (SELECT n_nationkey, unnest(string_split(chr(10) || t, chr(10) || '## ')[2:]) AS p FROM t)
+SELECT n_nationkey, trim(split_part(p, chr(10), 1)) AS title, CASE WHEN contains(p, chr(10)) THEN trim(substr(p, instr(p, chr(10)) + 1), E' \n\t\r') ELSE '' END AS body FROM p""")
 def parse_sections(spark, d):
     text = F.concat(F.lit("intro\n## Facts\n"), "n_name", F.lit("\n\n## Links\nr"), _s("n_regionkey"))
     return V.table(spark, d, "nation").select("n_nationkey", F.inline(M.sections(text)))

@@ -248,7 +248,7 @@ def page_sort_signal(spark, d):
 
 @query(f"""WITH {_LINKS}, {_TIMELINE} SELECT 'order' AS part, src AS slug, o_orderstatus AS text FROM links_v JOIN orders ON 'order/' || o_orderkey = src WHERE dst = 'customer/7'
 UNION ALL SELECT 'timeline', date, summary FROM timeline_v WHERE slug = 'customer/7'""")
-def entity_lists(spark, d):
+def profile_lists(spark, d):
     pages = V.table(spark, d, "orders").select(_id("order/", "o_orderkey").alias("slug"), F.lit("order").alias("type"), F.col("o_orderstatus").alias("title"))
     return C.profile("customer/7", pages, V.links(spark, d), V.timeline(spark, d))
 

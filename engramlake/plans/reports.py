@@ -12,19 +12,23 @@ from engramlake.queries import _CHUNKS, _CONTRIB, _GROUP, _PAGES, _TIMELINE
 from engramlake.registry import query
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'invalid' WHEN event_id % 5 = 1 THEN 'no topic' WHEN event_id % 5 = 2 THEN 'dates' END AS error, CASE WHEN event_id % 5 > 1 THEN event_type END AS topic FROM events""")
+@query(r"""WITH r AS (SELECT event_id, to_json(CASE WHEN event_id % 5 = 1 THEN struct_pack(valid_at := '2024-01-02') END) AS none, CASE WHEN event_id % 5 <> 1 THEN '{"topic":"' || event_type || '",' ELSE '{' END || '"valid_at":"2024-01-02"' || CASE WHEN event_id % 5 = 2 THEN ',"invalid_at":"2024-01-01"' ELSE '' END || '}' AS body FROM events),
+w AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN left(body, 12) ELSE body END AS raw FROM r), p AS (SELECT event_id, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw END AS j FROM w),
+f AS (SELECT event_id, ok, json_extract_string(j, '$.topic') AS topic, json_extract_string(j, '$.valid_at') AS a, json_extract_string(j, '$.invalid_at') AS b FROM p)
+SELECT event_id, CASE WHEN NOT ok THEN 'invalid' WHEN coalesce(trim(topic), '') = '' THEN 'no topic' WHEN b < a THEN 'dates' END AS error, topic FROM f""")
 def validate_signals(spark, d):
     k = F.col("event_id") % 5
     topic = F.when(k != 1, F.col("event_type")).alias("topic")
     body = F.to_json(F.struct(topic, F.lit("2024-01-02").alias("valid_at"), F.when(k == 2, "2024-01-01").alias("invalid_at")))
     x = V.table(spark, d, "events").select("event_id", F.when(k == 0, F.substring(body, 1, 12)).otherwise(body).alias("raw"))
     y = N.checked(x, "topic string, valid_at string, invalid_at string")
-    return y.select("event_id", "error", F.when(k > 1, F.col("signal.topic")).alias("topic"))
+    return y.select("event_id", "error", F.when(F.col("error").isNull() | (F.col("error") != "invalid"), F.col("signal.topic")).alias("topic"))
 
 
-@query(f"""WITH {_PAGES} SELECT slug, CASE WHEN doc_id % 4 = 0 THEN 'create' WHEN doc_id % 4 = 1 OR doc_id % 6 = 3 THEN 'skip' ELSE 'write' END AS step FROM pages_v WHERE body IS NOT NULL""")
+@query(f"""WITH {_PAGES}, n AS (SELECT slug, doc_id, sha256(coalesce(body, '')) AS h FROM pages_v), o AS (SELECT slug, CASE WHEN doc_id % 4 = 1 THEN h ELSE 'old' END AS h, doc_id % 6 = 3 AS edited FROM n WHERE doc_id % 4 <> 0)
+SELECT n.slug, CASE WHEN o.slug IS NULL THEN 'create' WHEN o.edited OR o.h IS NOT DISTINCT FROM n.h THEN 'skip' ELSE 'write' END AS step FROM n LEFT JOIN o USING (slug)""")
 def signals_to_pages(spark, d):
-    p, k = V.pages(spark, d).filter("body IS NOT NULL").withColumn("source_hash", F.sha2("body", 256)), F.col("doc_id")
+    p, k = V.pages(spark, d).withColumn("source_hash", F.sha2(F.coalesce("body", F.lit("")), 256)), F.col("doc_id")
     have = p.filter(k % 4 != 0).select("slug", F.when(k % 4 == 1, F.col("source_hash")).otherwise("old").alias("source_hash"), (k % 6 == 3).alias("edited"))
     return N.new_pages(p.select("slug", "source_hash"), have)
 
@@ -35,18 +39,19 @@ def block_provenance(spark, d):
     return N.provenance(m, ["channel", "day"])
 
 
-@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING min(turn) = 0 AND max(turn) = count(*) - 1)
-SELECT conv_id AS id, CASE WHEN conv_id % 2 = 0 THEN n >= 2 ELSE n > 50 END AS in_bounds, (SELECT bool_or(contains(text, 'the')) FROM conversations v WHERE v.conv_id = c.conv_id AND turn <= CASE WHEN c.conv_id % 2 = 0 THEN 1 ELSE 50 END) AS quoted FROM c""")
+@query("""WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), c AS (SELECT conv_id AS id, min(turn) AS "first", CASE WHEN conv_id % 2 = 0 THEN min(turn) + 1 ELSE min(turn) + 50 END AS "last" FROM m GROUP BY conv_id),
+e AS (SELECT id, "first", "last", count(m.turn) AS n, bool_or(contains(m.t, 'the')) AS q FROM c LEFT JOIN m ON m.conv_id = id AND m.turn BETWEEN "first" AND "last" GROUP BY id, "first", "last")
+SELECT id, n = "last" - "first" + 1 AS in_bounds, coalesce(q, false) AS quoted FROM e""")
 def evidence_check(spark, d):
-    m = V.table(spark, d, "conversations").filter("text IS NOT NULL").select(F.col("conv_id").alias("session"), F.col("turn").alias("msg"), F.col("text").alias("content"))
-    whole = m.groupBy("session").agg(F.min("msg").alias("a"), F.max("msg").alias("b"), F.count(F.lit(1)).alias("n")).filter("a = 0 AND b = n - 1")
-    last = F.when(F.col("session") % 2 == 0, 1).otherwise(50)
-    return N.evidence(whole.select(F.col("session").alias("id"), "session", F.lit(0).alias("first"), last.alias("last"), F.lit("the").alias("quote")), m)
+    m = V.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("msg"), F.coalesce("text", F.lit("")).alias("content"))
+    first = m.groupBy("session").agg(F.min("msg").alias("first"))
+    last = F.col("first") + F.when(F.col("session") % 2 == 0, 1).otherwise(50)
+    return N.evidence(first.select(F.col("session").alias("id"), "session", "first", last.alias("last"), F.lit("the").alias("quote")), m)
 
 
-@query(f"""WITH {_PAGES} SELECT slug, type FROM pages_v WHERE title NOT IN (SELECT title FROM pages_v WHERE doc_id % 10 = 0 AND title IS NOT NULL)""")
+@query(f"""WITH {_PAGES} SELECT slug, type FROM pages_v p WHERE NOT EXISTS (SELECT 1 FROM pages_v g WHERE g.doc_id % 10 = 0 AND g.title = p.title)""")
 def strip_overturned(spark, d):
-    p = V.pages(spark, d).filter("title IS NOT NULL")
+    p = V.pages(spark, d)
     return N.without(p, p.filter("doc_id % 10 = 0"), "title").select("slug", "type")
 
 
@@ -95,10 +100,10 @@ def chunks_of_page(spark, d):
     return R.chunks(V.pages(spark, d).filter("doc_id = 7")).select("chunk_index", "chunk_text")
 
 
-@query("""WITH m AS (SELECT doc_id, text, instr(lower(text), 'the') AS p FROM documents WHERE text IS NOT NULL), w AS (SELECT *, greatest(p - 40, 1) AS lo, least(p + 43, length(text) + 1) AS hi FROM m)
+@query("""WITH m AS (SELECT doc_id, text, instr(lower(text), 'the') AS p FROM documents), w AS (SELECT *, greatest(p - 40, 1) AS lo, least(p + 43, length(text) + 1) AS hi FROM m)
 SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN lo > 1 THEN '...' ELSE '' END || substr(text, lo, p - lo) || '**' || substr(text, p, 3) || '**' || substr(text, p + 3, hi - p - 3) || CASE WHEN hi <= length(text) THEN '...' ELSE '' END END AS snippet FROM w""")
 def snippet(spark, d):
-    return V.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
+    return V.table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), "the").alias("snippet"))
 
 
 @query(f"""WITH {_GROUP} SELECT event_id, '[' || at_s || '] ' || contact || ': ' || channel AS line FROM group_v""")
@@ -122,11 +127,12 @@ def daily_report_inputs(spark, d):
     return a.unionByName(c.groupBy(F.col("page").alias("slug")).agg(n).select(F.lit("signal").alias("part"), "slug", "n"))
 
 
-@query(f"""WITH {_PAGES} SELECT slug, CASE WHEN doc_id % 2 = 0 THEN platform ELSE channel END AS source FROM pages_v""")
+@query(f"""WITH {_PAGES}, m AS (SELECT slug, to_json(struct_pack("source" := struct_pack(f := CASE WHEN doc_id % 2 = 0 THEN platform END), first_seen := struct_pack(f := channel))) AS meta FROM pages_v)
+SELECT slug, coalesce(json_extract_string(meta, '$.source.f'), json_extract_string(meta, '$.first_seen.f')) AS source FROM m""")
 def source_fields(spark, d):
     k = F.col("doc_id") % 2 == 0
     meta = F.to_json(F.struct(F.struct(F.when(k, F.col("platform")).alias("f")).alias("source"), F.struct(F.col("channel").alias("f")).alias("first_seen")))
-    field = F.coalesce(F.get_json_object("meta", "$.source.f"), F.when(~k, F.get_json_object("meta", "$.first_seen.f")))
+    field = F.coalesce(F.get_json_object("meta", "$.source.f"), F.get_json_object("meta", "$.first_seen.f"))
     return V.pages(spark, d).withColumn("meta", meta).select("slug", field.alias("source"))
 
 

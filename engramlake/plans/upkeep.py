@@ -68,9 +68,9 @@ def daemon_status(spark, d):
     return V.group_messages(spark, d).agg(F.max("at_s").alias("last_s"), (F.min("at_s") + 600).alias("next_s"), F.count_distinct("channel").alias("sources"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 85 THEN 'admit' WHEN value <= 15 THEN 'drop' ELSE 'evaluate' END AS step FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, CASE WHEN value >= 85 THEN 'admit' WHEN value <= 15 THEN 'drop' ELSE 'evaluate' END AS step FROM events")
 def noise_gate(spark, d):
-    return V.table(spark, d, "events").filter("value IS NOT NULL").select("event_id", M.gate(F.col("value"), 85, 15).alias("step"))
+    return V.table(spark, d, "events").select("event_id", M.gate(F.col("value"), 85, 15).alias("step"))
 
 
 @query("SELECT conv_id, count(*) AS turns, max(turn) AS newest FROM conversations WHERE role = 'user' GROUP BY conv_id ORDER BY newest DESC, conv_id LIMIT 50")

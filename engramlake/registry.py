@@ -14,6 +14,8 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None, name: str | None = None):
     def register(f: Query) -> Query:
+        if (name or f.__name__) in QUERIES:
+            raise ValueError(f"two queries are named {name or f.__name__}")
         QUERIES[name or f.__name__] = f
         if sql is not None:
             SQL[name or f.__name__] = sql
