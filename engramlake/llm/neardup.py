@@ -249,7 +249,8 @@ def classes(
     lone = nodes.select("node", "first", "copies")
     lone = lone.withColumn("root", F.col("node")) if near is None else lone.join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lone = durable(lone, "nd-rooted")
-    heads = lone.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
+    # settled apart from the join by root, which can then split a large class
+    heads = durable(lone.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")), "nd-class-heads")
     of = lone.join(heads, "root").select("node", "head", "class_size")
     named = f.select("doc_id", "text_key", "node").join(of, "node")
     out = named.select(
