@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engramlake.operators.steps import settled
@@ -52,3 +53,19 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     a = nodes.select(F.col("slug").alias("src"), F.col("title").alias("src_title"))
     b = nodes.select(F.col("slug").alias("dst"), F.col("title").alias("dst_title"))
     return edges.join(a, "src").join(b, "dst")
+
+
+def bundles(pages: DataFrame, edges: DataFrame, timeline: DataFrame, limit: int = 20) -> DataFrame:
+    """Of each page (slug) its links, its first backlinks and its newest timeline entries, each a list in one text; at most `limit` of the latter two.
+
+    The heads are cut by rank before any list is made, so a page that everything links to makes a short one.
+    """
+    out = edges.groupBy(F.col("src").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("dst", "link_type"))).alias("l"))
+    out = out.select("slug", F.array_join(F.transform("l", lambda x: F.concat_ws(" ", x["dst"], x["link_type"])), ",").alias("links"))
+    back = edges.select(F.col("dst").alias("slug"), "src").withColumn("n", F.row_number().over(W.partitionBy("slug").orderBy("src"))).filter(F.col("n") <= limit)
+    back = back.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("backlinks"))
+    last = timeline.withColumn("n", F.row_number().over(W.partitionBy("slug").orderBy(F.desc("date"), "entry_id"))).filter(F.col("n") <= limit)
+    rows = F.array_sort(F.collect_list(F.struct("n", F.concat_ws(" ", "date", "summary").alias("e"))))
+    last = last.groupBy("slug").agg(F.array_join(rows["e"], ",").alias("timeline"))
+    x = pages.select("slug").join(out, "slug", "left").join(back, "slug", "left").join(last, "slug", "left")
+    return x.fillna("", ["links", "backlinks", "timeline"])

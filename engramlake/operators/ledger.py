@@ -169,3 +169,21 @@ def resolve(names: DataFrame, handles: DataFrame, cache: DataFrame) -> DataFrame
     x = names.join(h, "key", "left").join(c, "key", "left")
     step = F.when(F.col("_h").isNotNull(), "handle").when(F.col("_c").isNotNull(), "cache").otherwise("new")
     return x.select("key", F.coalesce("_h", "_c", F.concat(F.lit("person/"), "key")).alias("slug"), step.alias("step"))
+
+
+def fingerprints(chunks: DataFrame, provider: str, model: str, dims: int) -> DataFrame:
+    """Chunks by the embedding that they have (`provider:model:dims`), and whether it is the one in use: others must not be mixed with it."""
+    want = f"{provider}:{model}:{dims}"
+    return chunks.groupBy("have").agg(F.count(F.lit(1)).alias("chunks")).withColumn("usable", F.col("have") == want)
+
+
+def derived_parts(pages: DataFrame, contribs: DataFrame) -> DataFrame:
+    """What a page derives from its active contributions: how many, the tags of their types, the first day and the primary one's authority. None: orphaned."""
+    live = contribs.filter("active")
+    day = F.min(F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd"))
+    first = F.min_by("authority", F.struct(F.col("authority") != "user_confirmed", F.col("created_s"), F.col("contribution_id")))
+    of = live.groupBy(F.col("page").alias("slug")).agg(
+        F.count(F.lit(1)).alias("active"), F.array_join(F.array_sort(F.collect_set("signal_type")), ",").alias("tags"), day.alias("first_day"), first.alias("source")
+    )
+    x = pages.select("slug").join(of, "slug", "left")
+    return x.select("slug", F.col("active").isNull().alias("orphaned"), F.coalesce("active", F.lit(0)).alias("active"), "tags", "first_day", "source")

@@ -69,3 +69,13 @@ def action_items(items: DataFrame, handles: DataFrame, me: str) -> DataFrame:
     slug = F.concat(F.lit("tasks/doc-"), F.col("doc_id").cast("string"), F.lit("-"), F.substring(F.sha2("text", 256), 1, 8))
     x = items.select("doc_id", "text", "owner_raw", slug.alias("slug")).join(owner, "owner_raw", "left")
     return x.withColumn("mine", F.coalesce(F.col("owner") == me, F.lit(False)))
+
+
+def profilable(rows: DataFrame, least: int, hashes: DataFrame, deny: list[str], allowed: DataFrame | None = None) -> DataFrame:
+    """As `grounded`, but of persons on no deny list and, if there is an allow list (key), on that."""
+    x = grounded(rows, least, hashes)
+    step = F.when(F.col("key").isin(*deny), "denied") if deny else F.when(F.lit(False), "")
+    if allowed is not None:
+        x = x.join(allowed.select("key", F.lit(True).alias("_ok")), "key", "left")
+        step = step.when(F.col("_ok").isNull(), "not allowed")
+    return x.select("key", step.otherwise(F.col("step")).alias("step"))

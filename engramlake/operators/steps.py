@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -54,8 +55,7 @@ def cut(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, name])
 
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = rows.schema.add(name, "long")
-    return sorted_rows.mapInArrow(walk, schema)
+    return sorted_rows.mapInArrow(walk, StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def digested(rows: DataFrame, keys: list[str], order: list[Column], text: str, separator: str = "\n") -> DataFrame:
@@ -90,6 +90,6 @@ def digested(rows: DataFrame, keys: list[str], order: list[Column], text: str, s
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], [*keys, "hash"])
 
     x = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, text)
-    schema = x.select(*keys).schema
-    types = [to_arrow_type(f.dataType) for f in schema.fields] + [pa.string()]
-    return x.mapInArrow(walk, schema.add("hash", "string"))
+    fields = x.select(*keys).schema.fields
+    types = [to_arrow_type(f.dataType) for f in fields] + [pa.string()]
+    return x.mapInArrow(walk, StructType([*fields, StructField("hash", StringType())]))
