@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,18 +41,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.transform(F.transform(F.array(pair), sizes), share)[0]
 
 
-def similarity_to(x: Column, query: str) -> Column:
-    """The similarity of each text to one query, whose trigrams are made once."""
-    words = {w for w in re.split(r"[\W_]+", query.lower()) if w}
-    known = sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
-    if not known:
-        return F.lit(0.0)
-    wanted = F.array(*map(F.lit, known))
-    sizes = lambda g: F.struct(F.size(F.array_intersect(g, wanted)).alias("both"), (F.size(g) + len(known)).alias("all"))
-    share = lambda n: n["both"] / (n["all"] - n["both"])
-    return F.transform(F.transform(F.array(trigrams(x)), sizes), share)[0]
-
-
 def contains_all(x: Column, terms: list[str]) -> Column:
     """Every term stands in the text, in any case."""
     out = F.lit(bool(terms))

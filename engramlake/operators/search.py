@@ -70,8 +70,8 @@ def hybrid(
     terms = rewritten_query(query, synonyms)
     seen = filters.matching(pages, contributions, f)
     cut = R.chunks(seen.select("slug", "body", "created_s"), "slug").join(seen.select("slug", "created_s"), "slug")
-    score = F.round(T.similarity_to(F.col("chunk_text"), terms), 6)
-    lex = cut.filter(T.contains_all(F.col("chunk_text"), terms.split())).select("slug", "chunk_index", "created_s", score.alias("score"))
+    lex = R.scored(cut.filter(T.contains_all(F.col("chunk_text"), terms.split())), {"chunk_text": "score"}, terms)
+    lex = lex.select("slug", "chunk_index", "created_s", F.round("score", 6).alias("score"))
     order = (F.desc("score"), F.desc("created_s"), F.asc("slug"), F.asc("chunk_index"))
     a = R.ranks(lex.orderBy(*order).limit(most), *order).select("slug", "rank")
     near = R.nearest(vectors.join(seen.select("doc_id", "slug"), "doc_id"), vector, most, "slug")

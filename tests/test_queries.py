@@ -62,6 +62,15 @@ def test_trigram_similarity(spark):
     assert round(row.s, 6) == round(4 / 11, 6) and row.z == 0
 
 
+def test_similarity_of_a_batch_equals_that_of_rows(spark):
+    texts = ["two words", "", None, "Ünï-code  ÉTÉ 42!", "word", "a", "...", "the and the AND", "x" * 300 + " word"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for q in ("word", "the and été", "", "?"):
+        got = {r.i: r.s for r in R.scored(df, {"t": "s"}, q, 40).collect()}
+        want = {r.i: r.s for r in df.select("i", F.coalesce(T.similarity(F.coalesce("t", F.lit("")), F.lit(q)), F.lit(0.0)).alias("s")).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_chunks_cover_every_word(spark):
     words = [f"w{i}" for i in range(801)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, "")], "doc_id long, body string")
