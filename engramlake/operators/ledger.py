@@ -53,12 +53,21 @@ def primary(contribs: DataFrame) -> DataFrame:
     return contribs.groupBy("page").agg(F.min_by("contribution_id", order).alias("primary_id"))
 
 
-def running_budget(rows: DataFrame, group: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
-    """The prefix of each group that fits a budget, and always its first row."""
-    w = W.partitionBy(*group).orderBy(*order)
-    spent = F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))
-    x = rows.withColumn("spent", spent).withColumn("place", F.row_number().over(w))
-    return x.filter((F.col("spent") <= budget) | (F.col("place") == 1))
+def running_budget(rows: DataFrame, group: list[str], order: list[Column], cost: Column, budget: int, salts: int = 64) -> DataFrame:
+    """The prefix of each group that fits a budget, and always its first row. Costs are not negative; a null one is nothing.
+
+    A group is first cut in `salts` parts, of which each keeps its rows up to the one that alone goes beyond the budget: of a large
+    group, only about so many budgets of rows meet, and their running sums are those of all rows as far as the budget goes.
+    """
+    names = rows.columns
+
+    def running(x: DataFrame, keys: list) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(*order)
+        return x.withColumn("spent", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
+
+    part = running(rows, [*group, F.pmod(F.xxhash64(*names), F.lit(salts))])
+    part = part.filter(F.coalesce(F.col("spent") - F.coalesce(cost, F.lit(0)), F.lit(0)) <= budget).select(*names)
+    return running(part, group).filter((F.col("spent") <= budget) | (F.col("place") == 1))
 
 
 def titles(pages: DataFrame) -> DataFrame:

@@ -206,3 +206,15 @@ def test_budget_keeps_a_prefix_and_the_first_row(spark):
     df = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 1), (2, 1, 500)], "g int, o int, c int")
     got = {(r.g, r.o) for r in L.running_budget(df, ["g"], [F.asc("o")], F.col("c"), 100).collect()}
     assert got == {(1, 1), (2, 1)}
+    r = random.Random(4)
+    rows = [(i % 3, i, r.randrange(40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, o int, c int")
+    got = {(x.g, x.o, x.spent, x.place) for x in L.running_budget(df, ["g"], [F.desc("o")], F.col("c"), 500, 7).collect()}
+    want = set()
+    for g in range(3):
+        total = 0
+        for k, (_, o, c) in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: -x[1])):
+            total += c
+            if total <= 500 or not k:
+                want.add((g, o, total, k + 1))
+    assert got == want
