@@ -28,6 +28,8 @@ MAIL_TAILS = (
 #: Words of a playbook, and its conditional branch.
 PLAYBOOK_WORDS = ("排查", "步骤", "grep", "日志", "runbook", "playbook")
 PLAYBOOK_BRANCH = r"如果[\s\S]{0,40}?则"
+#: Labels that say no more of a person than the open id beside them.
+GENERIC_LABELS = ("", "user", "feishu user")
 #: Channel prefixes and the kinds of source they stand for.
 SOURCES = {"mail/": "email", "dm/": "dm", "docs/": "document", "calendar/": "structured"}
 #: The axes of a trait in their order, with their colors.
@@ -92,7 +94,7 @@ def person_slug(name: Column) -> Column:
     oid = F.lower(F.regexp_extract(clean, r"\b(ou_[a-zA-Z0-9]+)\b", 1))
     label = F.regexp_replace(F.regexp_replace(clean, r"(?i)[（(][^）)]*ou_[a-zA-Z0-9]+[^）)]*[）)]", ""), r"(?i)\bou_[a-zA-Z0-9]+\b", "")
     plain = F.trim(F.regexp_replace(F.lower(label), "[^a-z]+", " "))
-    generic = (oid != "") & ~label.rlike("[一-鿿]") & plain.isin("", "user", "feishu user")
+    generic = (oid != "") & ~label.rlike("[一-鿿]") & plain.isin(*GENERIC_LABELS)
     bare = F.regexp_replace(F.regexp_replace(clean, r"[（(][^）)]*[）)]", ""), r"^\s+|\s+$", "")
     kebab = F.regexp_replace(F.regexp_replace(F.lower(bare), "'", "-"), r"\s+", "-")
     slug = F.when(generic, oid).when(bare.rlike("^ou_[a-zA-Z0-9]+$"), F.lower(bare)).when(bare.rlike(r"^[a-zA-Z\s\-']+$") & (kebab != ""), kebab)
