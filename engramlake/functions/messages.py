@@ -32,6 +32,11 @@ PLAYBOOK_BRANCH = r"如果[\s\S]{0,40}?则"
 GENERIC_LABELS = ("", "user", "feishu user")
 #: Channel prefixes and the kinds of source they stand for.
 SOURCES = {"mail/": "email", "dm/": "dm", "docs/": "document", "calendar/": "structured"}
+#: Channel prefixes and the kinds of source that a block's provenance names.
+BLOCK_SOURCES = {
+    "dm/": "dm", "group/": "group", "mail/": "email", "docs/": "document", "doc/": "document", "calendar/": "calendar", "task/": "task",
+    "agent/": "agent_session",
+}
 #: The axes of a trait in their order, with their colors.
 COLORS = {"D": "red", "I": "yellow", "S": "green", "C": "blue"}
 
@@ -108,6 +113,14 @@ def source_type(channel: Column, platform: Column, agents: tuple[str, ...] = ("a
     return kind.when(channel == "tasks", "structured").otherwise("chat")
 
 
+def block_source_type(channel: Column, fallback: Column, platform: Column, agents: tuple[str, ...] = ("agent",)) -> Column:
+    """The type of a block's source: of an agent's platform that, else what was found before, else by the channel, more finely than `source_type`."""
+    kind = F.when(platform.isin(*agents), "agent_session").when(fallback.isNotNull(), fallback)
+    for prefix, name in BLOCK_SOURCES.items():
+        kind = kind.when(channel.startswith(prefix), name)
+    return kind.when(channel == "tasks", "task").otherwise("chat")
+
+
 def is_playbook(x: Column) -> Column:
     """Two or more signs of a procedure."""
     hits = [F.lower(x).contains(w).cast("int") for w in PLAYBOOK_WORDS] + [x.rlike(PLAYBOOK_BRANCH).cast("int")]

@@ -197,3 +197,34 @@ def accepted(rates: DataFrame, drop: float = 0.8) -> DataFrame:
     was, now = of("baseline", "noise"), of("holdout", "noise")
     x = rates.agg(F.when(was == 0, 0.0).otherwise((was - now) / was).alias("fell"), (of("holdout", "miss") <= of("baseline", "miss")).alias("miss_kept"))
     return x.select(F.round("fell", 6).alias("noise_drop"), "miss_kept", ((F.col("fell") >= drop) & F.col("miss_kept")).alias("passed"))
+
+
+def upserted_entries(old: DataFrame, new: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Timeline entries (slug, date, summary, detail, source) after an upsert by slug, date and summary, and the new ones whose page is not there.
+
+    A new detail and source replace the old ones, unless they are null.
+    """
+    known = new.join(pages.select("slug"), "slug", "left_semi")
+    keys = ["slug", "date", "summary"]
+    x = old.alias("a").join(known.alias("b"), keys, "full")
+    out = x.select(*keys, *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("detail", "source")])
+    return out, new.join(pages.select("slug"), "slug", "left_anti")
+
+
+def imported_links(files: DataFrame, links: DataFrame, link_type: str) -> DataFrame:
+    """slug, target: the links that a vault's pages (slug, named: array, body) name in their head or body and that the store does not have yet.
+
+    Only links of the vault's own type count as had; those that others made are left alone.
+    """
+    inner = F.regexp_extract_all("body", F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), 1)
+    every = F.array_union(F.coalesce("named", F.array().cast("array<string>")), F.transform(F.coalesce(inner, F.array().cast("array<string>")), lambda t: F.trim(t)))
+    x = files.select("slug", F.explode(every).alias("target")).filter("target <> ''")
+    have = links.filter(F.col("link_type") == link_type).select(F.col("src").alias("slug"), F.col("dst").alias("target"))
+    return x.join(have, ["slug", "target"], "left_anti")
+
+
+def stamped_expiry(payloads: DataFrame, ledger: DataFrame, states: list[str], at_s: int, ttl_s: int) -> DataFrame:
+    """Payloads (id, revision, expires_s) with an expiry from now on where they have none and a revision of theirs is in one of the states (ledger: revision, state)."""
+    done = ledger.filter(F.col("state").isin(*states)).select("revision", F.lit(True).alias("_done")).distinct()
+    x = payloads.join(done, "revision", "left")
+    return x.withColumn("expires_s", F.coalesce("expires_s", F.when(F.col("_done"), F.lit(at_s + ttl_s)))).drop("_done")

@@ -278,3 +278,99 @@ def eval_acceptance(spark, d):
     good, kept = F.col("quality") == 1, F.col("toxic") == 0
     x = V.table(spark, d, "labels").groupBy(F.when(F.col("doc_id") % 5 == 0, "holdout").otherwise("baseline").alias("kind"))
     return C.accepted(x.agg((n(good & ~kept) / F.greatest(n(good), F.lit(1.0))).alias("miss"), (n(~good & kept) / F.greatest(n(kept), F.lit(1.0))).alias("noise")))
+
+
+# handles, ladders, entries, vault links, stamps
+
+
+_PEOPLE = """n AS (SELECT 'model/' || c_custkey AS slug, CASE c_custkey % 8 WHEN 0 THEN c_name WHEN 1 THEN 'Ann Li ' || chr((65 + c_custkey % 26)::INTEGER) WHEN 2 THEN 'user ou_a' || c_custkey WHEN 3 THEN '王' WHEN 4 THEN 'Bo Ek' WHEN 5 THEN 'bo  ek' WHEN 6 THEN 'Cy' ELSE 'Dee Dee' END AS name FROM customer),
+h AS (SELECT name, min('handle/' || c_custkey) AS h FROM (SELECT c_name AS name, c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY name),
+c AS (SELECT 'model/' || s_suppkey AS ext, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'cached/' || s_suppkey END AS disp, 'hint ' || s_suppkey AS hint FROM supplier WHERE s_suppkey % 5 = 0
+ UNION ALL SELECT 'x/1', 'person/cy-one', 'Cy' UNION ALL SELECT 'x/2', 'person/bo-ek', 'Bo Ek'),
+l AS (SELECT * FROM c WHERE disp <> ''), s AS (SELECT ext AS slug, min(disp) AS s FROM l GROUP BY ext), k AS (SELECT hint AS name, min(disp) AS k FROM l GROUP BY hint), o AS (SELECT disp AS own, min(hint) AS lo, max(hint) AS hi FROM l GROUP BY disp),
+p AS (SELECT slug, name, CASE WHEN regexp_matches(name, '^user ou_[a-zA-Z0-9]+$') THEN 'person/' || lower(split_part(name, ' ', 2)) WHEN regexp_matches(name, '^[a-zA-Z\\s\\-\\x27]+$') THEN 'person/' || regexp_replace(replace(lower(trim(name)), chr(39), '-'), '\\s+', '-', 'g') END AS own FROM n),
+j AS (SELECT p.*, h, s.s, k.k, lo, hi FROM p LEFT JOIN h USING (name) LEFT JOIN s USING (slug) LEFT JOIN k USING (name) LEFT JOIN o USING (own)),
+z AS (SELECT *, CASE WHEN h IS NOT NULL THEN 'handle' WHEN s IS NOT NULL THEN 'slug' WHEN k IS NOT NULL THEN 'name' WHEN own IS NULL THEN 'kept' WHEN lo IS NOT NULL AND (lo <> name OR hi <> name) AND NOT starts_with(own, 'person/ou_') THEN 'collision' ELSE 'canonical' END AS step FROM j)"""
+
+
+@query(f"WITH {_PEOPLE} SELECT slug, name, coalesce(h, s, k, CASE WHEN step = 'canonical' THEN own END, slug) AS canonical, step FROM z")
+def identity_ladder(spark, d):
+    from engramlake.operators import identity as I
+
+    k = F.col("c_custkey")
+    c = V.table(spark, d, "customer")
+    ann = F.concat(F.lit("Ann Li "), F.char((k % 26 + 65).cast("long")))
+    name = F.when(k % 8 == 0, F.col("c_name")).when(k % 8 == 1, ann).when(k % 8 == 2, _id("user ou_a", "c_custkey")).when(k % 8 == 3, "王").when(k % 8 == 4, "Bo Ek").when(k % 8 == 5, "bo  ek").when(k % 8 == 6, "Cy").otherwise("Dee Dee")
+    handles = c.filter(k % 3 == 0).select(F.col("c_name").alias("value"), _id("handle/", "c_custkey").alias("slug"))
+    j = F.col("s_suppkey")
+    cache = V.table(spark, d, "supplier").filter(j % 5 == 0).select(_id("model/", "s_suppkey").alias("external_id"), F.when(j % 4 != 0, _id("cached/", "s_suppkey")).alias("display_name"), _id("hint ", "s_suppkey").alias("slug_hint"))
+    more = spark.createDataFrame([("x/1", "person/cy-one", "Cy"), ("x/2", "person/bo-ek", "Bo Ek")], cache.schema)
+    return I.ladder(c.select(_id("model/", "c_custkey").alias("slug"), name.alias("name")), handles, cache.unionByName(more))
+
+
+@query("SELECT 'name' AS kind, c_name AS value, 'p/' || c_custkey AS slug FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def handles_left(spark, d):
+    from engramlake.operators import identity as I
+
+    c = V.table(spark, d, "customer")
+    handles = c.select(F.lit("name").alias("kind"), F.col("c_name").alias("value"), _id("p/", "c_custkey").alias("slug"))
+    gone = c.join(V.table(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "left_semi").select(F.lit("name").alias("kind"), F.col("c_name").alias("value"))
+    return I.without_handles(handles, gone)
+
+
+_ENTRIES = """o AS (SELECT 'customer/' || o_custkey AS slug, o_orderkey::VARCHAR AS date, o_orderstatus AS summary, 'old ' || o_orderkey AS detail, 'crm' AS source FROM orders WHERE o_orderkey % 3 <> 0),
+n AS (SELECT CASE WHEN o_orderkey % 10 = 7 THEN 'nobody/' || o_custkey ELSE 'customer/' || o_custkey END AS slug, o_orderkey::VARCHAR AS date, o_orderstatus AS summary, CASE WHEN o_orderkey % 4 <> 0 THEN 'new ' || o_orderkey END AS detail, CASE WHEN o_orderkey % 5 = 0 THEN 'mail' END AS source FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 10 = 7),
+k AS (SELECT n.* FROM n WHERE slug IN (SELECT 'customer/' || c_custkey FROM customer))"""
+
+
+@query(f"WITH {_ENTRIES} SELECT slug, date, summary, coalesce(k.detail, o.detail) AS detail, coalesce(k.source, o.source) AS source FROM o FULL JOIN k USING (slug, date, summary)")
+def timeline_upsert(spark, d):
+    return _entries(spark, d)[0]
+
+
+@query(f"WITH {_ENTRIES} SELECT slug, date FROM n WHERE slug NOT IN (SELECT 'customer/' || c_custkey FROM customer)")
+def timeline_orphans(spark, d):
+    return _entries(spark, d)[1].select("slug", "date")
+
+
+def _entries(spark, d):
+    k = F.col("o_orderkey")
+    o = V.table(spark, d, "orders")
+    row = lambda slug, detail, source: [slug.alias("slug"), k.cast("string").alias("date"), F.col("o_orderstatus").alias("summary"), detail.alias("detail"), source.alias("source")]
+    own = _id("customer/", "o_custkey")
+    old = o.filter(k % 3 != 0).select(*row(own, _id("old ", "o_orderkey"), F.lit("crm")))
+    new = o.filter((k % 2 == 0) | (k % 10 == 7)).select(*row(F.when(k % 10 == 7, _id("nobody/", "o_custkey")).otherwise(own), F.when(k % 4 != 0, _id("new ", "o_orderkey")), F.when(k % 5 == 0, "mail")))
+    return C.upserted_entries(old, new, V.table(spark, d, "customer").select(_id("customer/", "c_custkey").alias("slug")))
+
+
+@query(rf"""WITH {_PAGES}, f AS (SELECT slug, doc_id, list_distinct(list_concat(CASE WHEN doc_id % 2 = 0 THEN [type, channel] ELSE [] END, list_transform(regexp_extract_all('see [[' || coalesce(tier, '') || '|here]] [[ ' || type || ' ]] [[]] ' || coalesce(body, ''), '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1), lambda t: trim(t)))) AS l FROM pages_v),
+x AS (SELECT slug, unnest(l) AS target FROM f) SELECT slug, target FROM x WHERE target <> '' AND NOT EXISTS (SELECT 1 FROM pages_v h WHERE h.doc_id % 3 = 0 AND h.slug = x.slug AND h.tier = x.target)""")
+def vault_links(spark, d):
+    p = V.pages(spark, d)
+    body = F.concat(F.lit("see [["), F.coalesce("tier", F.lit("")), F.lit("|here]] [[ "), "type", F.lit(" ]] [[]] "), F.coalesce("body", F.lit("")))
+    files = p.select("slug", F.when(F.col("doc_id") % 2 == 0, F.array("type", "channel")).alias("named"), body.alias("body"))
+    have = p.filter("doc_id % 3 = 0").select(F.col("slug").alias("src"), F.col("tier").alias("dst"), F.lit("vault").alias("link_type"))
+    other = p.select(F.col("slug").alias("src"), F.col("type").alias("dst"), F.lit("mentions").alias("link_type"))
+    return C.imported_links(files, have.unionByName(other), "vault")
+
+
+@query("""WITH p AS (SELECT event_id AS id, 'r' || user_id AS revision, CASE WHEN event_id % 6 = 0 THEN event_id END AS expires_s FROM events), s AS (SELECT DISTINCT 'r' || c_custkey AS revision FROM customer WHERE c_custkey % 3 IN (0, 2))
+SELECT id, coalesce(expires_s, CASE WHEN s.revision IS NOT NULL THEN 1706745600 + 2592000 END) AS expires_s FROM p LEFT JOIN s USING (revision)""")
+def ttl_stamp(spark, d):
+    i, k = F.col("event_id"), F.col("c_custkey")
+    p = V.table(spark, d, "events").select(i.alias("id"), _id("r", "user_id").alias("revision"), F.when(i % 6 == 0, i).alias("expires_s"))
+    ledger = V.table(spark, d, "customer").select(_id("r", "c_custkey").alias("revision"), F.element_at(F.array(F.lit("done"), F.lit("retrying"), F.lit("dead_letter")), (k % 3 + 1).cast("int")).alias("state"))
+    return C.stamped_expiry(p, ledger, ["done", "dead_letter"], AS_OF_S, 2592000).select("id", "expires_s")
+
+
+@query("""WITH c AS (SELECT event_id, ['dm/','group/','mail/','docs/','doc/','calendar/','task/','agent/','tasks','x/'][event_id % 10 + 1] AS p, CASE WHEN user_id % 7 = 0 THEN 'agent' ELSE 'chat' END AS platform, CASE WHEN event_id % 13 = 0 THEN 'document' END AS fallback FROM events)
+SELECT event_id, CASE WHEN platform = 'agent' THEN 'agent_session' WHEN fallback IS NOT NULL THEN fallback WHEN p = 'dm/' THEN 'dm' WHEN p = 'group/' THEN 'group' WHEN p = 'mail/' THEN 'email' WHEN p IN ('docs/', 'doc/') THEN 'document' WHEN p = 'calendar/' THEN 'calendar'
+ WHEN p IN ('task/', 'tasks') THEN 'task' WHEN p = 'agent/' THEN 'agent_session' ELSE 'chat' END AS source_type FROM c""")
+def block_source_type(spark, d):
+    from engramlake.functions import messages as M
+
+    i = F.col("event_id")
+    names = F.array(*map(F.lit, ("dm/", "group/", "mail/", "docs/", "doc/", "calendar/", "task/", "agent/", "tasks", "x/")))
+    channel = F.element_at(names, (i % 10 + 1).cast("int"))
+    channel = F.when(channel == "tasks", channel).otherwise(F.concat(channel, "event_type"))
+    return V.table(spark, d, "events").select("event_id", M.block_source_type(channel, F.when(i % 13 == 0, "document"), F.when(F.col("user_id") % 7 == 0, "agent").otherwise("chat")).alias("source_type"))
