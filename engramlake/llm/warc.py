@@ -110,10 +110,10 @@ def write(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **col
         kind = kind + F.when(size > most, 1).otherwise(0)
     payload = F.coalesce(F.col(columns.get("payload_col", "html")), F.lit(""))
     means = dict(pages.select(payload.alias("payload")).groupBy(kind.alias("kind")).agg(F.avg(size)).collect())  # a row for each class
-    for k, mean in sorted(means.items()) or [(0, 0)]:
+    for n, (k, mean) in enumerate(sorted(means.items()) or [(0, 0)]):
         heaviest = SIZES[k] / 8 if k < len(SIZES) else archive_bytes
         per_file = 3 * max(1, int(archive_bytes / max(mean + 1500, heaviest)))
-        out = records(captures.filter(kind == k)).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        out = records(captures.filter(kind == k)).write.mode("append" if n else "errorifexists").option("lineSep", END).option("compression", "gzip")
         out.option("maxRecordsPerFile", per_file).text(path)
 
 
