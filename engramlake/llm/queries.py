@@ -200,3 +200,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = durable(warc.read(spark, path, payloads=False).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "warc-records")
     captures = warc.assemble(found).withColumnRenamed("capture_id", "page_id")
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query()
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, _remainder(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+
+
+@_query()
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import repair
+
+    return repair.report(table(spark, sf_dir, "conversations"))
