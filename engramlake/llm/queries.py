@@ -202,7 +202,47 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@_query()
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, bit by bit: -1 stands for a shift."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: list_concat([unicode(c)::BIGINT], list_transform(range(8), lambda k: -1::BIGINT))))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: {step}), 4294967295)"
+
+
+_FIELDS = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR"]
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}))::VARCHAR || ':' || {c} END" for c in [*_FIELDS, text]) + ")"
+
+
+#: Trees as (tree, level, i, node); a leaf's path as the other nodes of its run, level by level.
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d),
+t AS (SELECT s, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY s) AS n FROM l
+      UNION ALL
+      SELECT s, level + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), any_value((n + 2) // 3) FROM t WHERE n > 1 GROUP BY s, level, i // 3),
+u AS (SELECT 0 AS level, s AS i, node, count(*) OVER () AS n FROM t WHERE n = 1
+      UNION ALL
+      SELECT level + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), any_value((n + 2) // 3) FROM u WHERE n > 1 GROUP BY level, i // 3),
+a AS (SELECT s, level, i // 3 AS run, list(i ORDER BY i) AS seats, list(node ORDER BY i) AS nodes FROM t WHERE n > 1 GROUP BY s, level, i // 3),
+b AS (SELECT level, i // 3 AS run, list(i ORDER BY i) AS seats, list(node ORDER BY i) AS nodes FROM u WHERE n > 1 GROUP BY level, i // 3),
+p AS (SELECT l.s, l.i, 0 AS part, a.level, a.seats, a.nodes, (l.i // (3 ** a.level)::BIGINT)::BIGINT AS k FROM l JOIN a ON a.s = l.s AND a.run = l.i // (3 ** (a.level + 1))::BIGINT
+      UNION ALL
+      SELECT l.s, l.i, 1, b.level, b.seats, b.nodes, (l.s // (3 ** b.level)::BIGINT)::BIGINT FROM l JOIN b ON b.run = l.s // (3 ** (b.level + 1))::BIGINT),
+q AS (SELECT s, i, part, level, coalesce(array_to_string(nodes[:list_position(seats, k) - 1], ''), '') AS x, coalesce(array_to_string(nodes[list_position(seats, k) + 1:], ''), '') AS y FROM p),
+w AS (SELECT s, i, list({{'x': x, 'y': y}} ORDER BY part, level) AS path FROM q GROUP BY s, i),
+r AS (SELECT l.doc_id, l.leaf, l.now, l.s, coalesce(path, []) AS path FROM l LEFT JOIN w USING (s, i)),
+f AS (SELECT *, list_reduce(list_prepend({{'x': now, 'y': ''}}, path), lambda c, e: {{'x': sha256(e.x || c.x || e.y), 'y': ''}}).x AS folded_root,
+             sha256(coalesce(array_to_string(list_transform(path, lambda e: e.x || e.y), ''), '')) AS proof_sha256 FROM r)
+SELECT f.doc_id, f.leaf, t.node AS subroot, u.node AS root, f.proof_sha256, f.folded_root, f.folded_root = u.node AS verified
+FROM f JOIN t ON t.s = f.s AND t.n = 1, u WHERE u.n = 1
+"""
+
+
+@_query(_MERKLE_SQL)
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engramlake.llm import merkle
 
@@ -210,8 +250,84 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(docs, _remainder(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
 
 
-@_query()
+#: e: the edits of a turn from state i to state j, with the insertions that may follow; states are 0 (nothing), 1 (s), 2 (u), 3 (a).
+_REPAIR_SQL = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS lot FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN lot = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE lot <> 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+r AS (SELECT c, conv_id, turn, i, role, text, role[:1] AS initial, bare = '' AS blank, bare <> '' AND nth > 1 AS again,
+             bare <> '' AND nth = 1 AND bare[-1:] NOT IN ('.', '!', '?') AS cut FROM o),
+n AS (SELECT c, any_value(conv_id) AS conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated FROM r GROUP BY c),
+x AS (SELECT c, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT c, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM r) GROUP BY c),
+step(initial, i, j) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+ins(i, j, cost, audit) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+e AS (SELECT t.initial, t.i, ins.j, t.cost + ins.cost AS cost, t.edit || ins.audit AS audit, t.edit <> 'D' AS stays
+      FROM (SELECT initial, i, j, 0 AS cost, 'K' AS edit FROM step UNION ALL SELECT NULL, i, j, 3, 'R' FROM step WHERE initial <> 's'
+            UNION ALL SELECT NULL, k, k, 4, 'D' FROM range(4) g(k)) t JOIN ins ON ins.i = t.j),
+w AS (SELECT c, 0::BIGINT AS i, ins.j AS state, {{'cost': ins.cost::BIGINT, 'audit': ins.audit}} AS way FROM n, ins WHERE ins.i = 0
+      UNION ALL
+      SELECT w.c, w.i + 1, e.j, min({{'cost': w.way.cost + e.cost + CASE WHEN e.stays AND r.cut THEN 3 ELSE 0 END, 'audit': w.way.audit || e.audit}})
+      FROM w JOIN r ON r.c = w.c AND r.i = w.i + 1 JOIN e ON e.i = w.state AND (e.initial IS NULL OR e.initial = r.initial) AND NOT (e.stays AND (r.blank OR r.again))
+      GROUP BY w.c, w.i, e.j),
+best AS (SELECT n.c, min(way) AS way FROM w JOIN n ON n.c = w.c AND n.n = w.i WHERE state IN (0, 3) GROUP BY n.c),
+p AS (SELECT c, unnest(list_prepend(regexp_extract(way.audit, '^I*'), regexp_extract_all(way.audit, '[KRD]I*'))) AS edits,
+             generate_subscripts(list_prepend('', regexp_extract_all(way.audit, '[KRD]I*')), 1) - 1 AS i FROM best),
+q AS (SELECT c, i, unnest(string_split(edits, '')) AS edit, generate_subscripts(string_split(edits, ''), 1) AS k FROM p WHERE edits <> ''),
+s AS (SELECT q.c, q.edit, r.role, CASE WHEN q.edit <> 'I' THEN r.text ELSE '' END AS text, row_number() OVER (PARTITION BY q.c ORDER BY q.i, q.k) AS seat,
+             max(CASE WHEN q.edit = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.c) AS opened
+      FROM q LEFT JOIN r ON r.c = q.c AND r.i = q.i WHERE q.edit <> 'D'),
+h AS (SELECT c, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (seat - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY seat)) AS repaired_sha256 FROM s GROUP BY c),
+g AS (SELECT n.conv_id, n.gaps, n.blank, n.duplicate, n.truncated, x.illegal, best.way.cost AS cost, best.way.audit AS audit, h.repaired_sha256
+      FROM n JOIN x USING (c) JOIN best USING (c) LEFT JOIN h USING (c))
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@_query(_REPAIR_SQL)
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engramlake.llm import repair
 
     return repair.report(table(spark, sf_dir, "conversations"))
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    from engramlake.llm import licenses as lic
+
+    known = [(label, True, text) for label, text in lic.PHRASES] + [(label, False, text) for label, text in lic.NOTICES]
+    values = ",\n    ".join(f"({k}, '{label}', {exact}, '{text.lower()}')" for k, (label, exact, text) in enumerate(known))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+known(notice, label, exact, text) AS (VALUES
+    {values}),
+k AS (SELECT notice, label, exact, len(w) AS words, t, w[t + 1:t + {lic.K}] AS g FROM (SELECT *, unnest(range(0, len(w) - {lic.K - 1})) AS t FROM (SELECT *, regexp_extract_all(text, '{_WORD}') AS w FROM known))),
+g AS (SELECT r, p, w[p + 1:p + {lic.K}] AS g FROM (SELECT r, w, unnest(range(0, len(w) - {lic.K - 1})) AS p FROM d WHERE len(w) >= {lic.K})),
+h AS (SELECT r, notice, label, exact, words, t, p, p - t AS diagonal FROM g JOIN k USING (g)),
+v AS (SELECT r, notice, label, exact, words, diagonal, count(*) AS votes, min(p) AS lo, max(p) + {lic.K} AS hi, list(t) AS ts FROM h GROUP BY ALL),
+i AS (SELECT *, sum(CASE WHEN NOT exact AND diagonal - before <= {lic.SLACK} THEN 0 ELSE 1 END) OVER (PARTITION BY r, notice ORDER BY diagonal) AS island
+      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, notice ORDER BY diagonal) AS before FROM v)),
+m AS (SELECT r, notice, label, exact, words, island, min(lo) AS lo, max(hi) AS hi, max(CASE WHEN exact AND votes = words - {lic.K - 1} THEN 1 ELSE 0 END) = 1 AS base,
+             len(list_distinct(flatten(list_transform(flatten(list(ts)), lambda t: range(t, t + {lic.K}))))) AS covered FROM i GROUP BY r, notice, label, exact, words, island),
+s AS (SELECT *, CASE WHEN hi - lo > words * {lic.STRETCH} THEN 0.0::DOUBLE ELSE covered::DOUBLE / words END AS cover FROM m),
+f AS (SELECT *, base OR NOT exact AND cover >= {lic.COVER} AS found FROM s),
+a AS (SELECT r, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(cover) AS score FROM f GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+@_query(_license_sql())
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engramlake.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))

@@ -58,11 +58,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.lengths())
 
 
-def flat(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (one more than texts) of a string column; nulls are empty."""
+def flat(texts: pa.Array, lower: bool = True, ascii_lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (one more than texts) of a string column; nulls are empty. ascii_lower: only A-Z are lower-cased."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.utf8_lower(texts) if lower else texts
+    texts = pc.ascii_lower(texts) if ascii_lower else pc.utf8_lower(texts) if lower else texts
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), at
@@ -80,10 +80,10 @@ def _cut(data: np.ndarray, lo: int, hi: int, end: int) -> int:
     return hi
 
 
-def _window(data: np.ndarray, at: np.ndarray, lo: int, hi: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+def _window(data: np.ndarray, at: np.ndarray, lo: int, hi: int, prefixes: tuple[int, ...], plain: bool) -> tuple[np.ndarray, ...]:
     part = data[lo:hi]
     word = _IS_WORD[part]
-    dash = np.flatnonzero(part == 0xE2)
+    dash = np.flatnonzero(part == 0xE2) if not plain else np.zeros(0, np.int64)
     dash = dash[dash + 2 < len(part)]
     dash = dash[(part[dash + 1] == 0x80) | (part[dash + 1] == 0x81)]
     for k in range(3):
@@ -114,13 +114,16 @@ def _window(data: np.ndarray, at: np.ndarray, lo: int, hi: int, prefixes: tuple[
     return mix(np.add.reduceat(value, first)), start + lo, end + lo, heads
 
 
-def words(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
-    """The words of every text of a column, with hashes of their prefixes of the given lengths in bytes."""
-    data, at = flat(texts)
+def words(texts: pa.Array, prefixes: tuple[int, ...] = (), plain: bool = False) -> Words:
+    """The words of every text of a column, with hashes of their prefixes of the given lengths in bytes.
+
+    plain: only A-Z are lower-cased, and every character beyond ASCII belongs to a word.
+    """
+    data, at = flat(texts, ascii_lower=plain)
     lo, end, parts = int(at[0]), int(at[-1]), []
     while lo < end:
         hi = _cut(data, lo, lo + WINDOW, end)
-        parts.append(_window(data, at, lo, hi, prefixes))
+        parts.append(_window(data, at, lo, hi, prefixes, plain))
         lo = hi
     none = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((len(prefixes), 0), np.uint64))]
     h, s, e, heads = (np.concatenate(x, axis=-1) for x in zip(*(parts or none)))
