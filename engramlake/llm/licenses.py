@@ -7,9 +7,10 @@ A text's words are runs of ASCII letters and digits and of characters beyond ASC
 2. A hit of text place p and notice place t votes for the diagonal p - t, which is where the notice would begin. An exact notice stands in the text at each diagonal that
    all its places vote for.
 3. Other notices may have been edited: words put in or left out move the rest of a notice to a neighbouring diagonal. Diagonals of one notice that are at most `SLACK` apart are merged.
-4. A merged span is verified: the words of the notice that its hits cover are `COVER` of the notice or more, and the span in the text is at most `STRETCH` times as long as the notice.
+4. A merged span is verified: its cover, the words of the notice that its hits cover in parts of the notice or of the span, whichever is longer, is `COVER` or more. Of verified spans that
+   overlap in the text, those of the greatest cover stay, so that a license is not named for the wording that it shares with another.
 
-The score is the largest part of a notice that a merged span or an exact place covers (0 to 1), of all spans that are not too long, so texts with half of a notice rank before texts without one.
+The score is the greatest cover of any span or exact notice (0 to 1), verified or not, so texts with half of a notice rank before texts without one.
 Labels are those of exact places and of verified spans.
 
 Defined results: a null or empty text has no words, no labels and score 0; each repeated row has a result of its own; of labels that two notices give, one is named; an
@@ -31,7 +32,7 @@ from engramlake.llm import tokens as tk
 
 K = 3
 SLACK = 3
-COVER, STRETCH = 0.8, 1.5
+COVER = 0.8
 #: Hashes in a row that leaves the pass over the texts.
 WINDOW = 1 << 13
 #: Places of notices up to which they are broadcast; the join deals both sides by hash beyond it.
@@ -140,7 +141,7 @@ def _covered(ts: Column) -> Column:
 
 
 def spans(voted: DataFrame) -> DataFrame:
-    """Merged spans: row, notice, label, exact, lo and hi (words of the text, hi beyond the last), cover (part of the notice), found (verified), bases (exact places), and each text's own row."""
+    """Merged spans: row, notice, label, lo and hi (words of the text, hi beyond the last), cover, base (an exact notice stands there), found (its label counts), and each text's own row."""
     order = W.partitionBy("row", "notice").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order)
     whole = F.size("ts") == F.col("words") - K + 1
@@ -151,9 +152,13 @@ def spans(voted: DataFrame) -> DataFrame:
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("words").alias("words"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("ts"), F.max("base").alias("base"),
     )
-    long = F.col("hi") - F.col("lo") > F.col("words") * STRETCH
-    cover = F.when(F.col("notice").isNull() | long, 0.0).otherwise(_covered(F.col("ts")) / F.col("words"))
-    return out.select("row", "notice", "doc_id", "n_words", "label", "exact", "lo", "hi", "base", cover.alias("cover"), (F.col("base") | (~F.col("exact") & (cover >= COVER))).alias("found"))
+    cover = F.when(F.col("notice").isNull(), 0.0).otherwise(_covered(F.col("ts")) / F.greatest("words", F.col("hi") - F.col("lo")))
+    out = out.withColumn("cover", cover).withColumn("sure", F.col("notice").isNotNull() & ~F.col("exact") & (F.col("cover") >= COVER))
+    place = W.partitionBy("row", "sure").orderBy("lo", "hi", "notice")
+    apart = F.col("lo") >= F.coalesce(F.max("hi").over(place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn("knot", F.sum(F.when(apart, 1).otherwise(0)).over(place))
+    best = F.max("cover").over(W.partitionBy("row", "sure", "knot"))
+    return out.select("row", "notice", "doc_id", "n_words", "label", "lo", "hi", "cover", "base", (F.col("base") | (F.col("sure") & (F.col("cover") == best))).alias("found"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

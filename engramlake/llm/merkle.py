@@ -34,7 +34,6 @@ from engramlake.llm.ordering import in_order, positions, whole_runs
 FAN = 3
 #: Levels of an aligned block.
 HEIGHT = 5
-BLOCK = FAN**HEIGHT
 
 _PATH = "array<struct<before:string,after:string>>"
 
@@ -111,44 +110,40 @@ def traverse(leaves: list[str], height: int) -> Iterator[list[tuple[str, str]]]:
                 runs[k], ahead[k] = ahead[k].nodes(), Treehash(k)
 
 
-def _height(n: int) -> int:
-    """Levels inside the blocks of a tree of n nodes."""
-    return HEIGHT if n > BLOCK else levels(n)
+class _Blocks:
+    """Aligned blocks of `height` levels (fewer in a tree that has no more) in a stream of nodes."""
 
+    def __init__(self, height: int):
+        self.height, self.size = height, FAN**height
 
-def _begins(rows: pa.Table) -> np.ndarray:
-    return rows.column("pos").to_numpy() % BLOCK == 0
+    def begins(self, rows: pa.Table) -> np.ndarray:
+        return rows.column("pos").to_numpy() % self.size == 0
 
+    def each(self, rows: pa.Table, at: np.ndarray) -> Iterator[tuple[list[str], int]]:
+        """Each block's leaves and height."""
+        nodes, n = rows.column("node").to_pylist(), rows.column("n").to_numpy()
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield nodes[lo:hi], self.height if n[lo] > self.size else levels(int(n[lo]))
 
-def _blocks(rows: pa.Table, at: np.ndarray) -> Iterator[tuple[int, list[str], int]]:
-    """Each block's first row, leaves and height."""
-    nodes, n = rows.column("node").to_pylist(), rows.column("n")
-    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-        yield lo, nodes[lo:hi], _height(n[lo].as_py())
+    def roots(self, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in whole_runs(stream, self.begins):
+            tops = [top(nodes, height) for nodes, height in self.each(rows, at)]
+            first = rows.take(at[:-1])
+            up = lambda c: np.asarray(first.column(c).to_numpy())
+            place, n = pa.array(up("pos") // self.size), pa.array(-(-up("n") // self.size))
+            yield pa.RecordBatch.from_arrays([first.column("tree").combine_chunks(), place, n, pa.array(tops, pa.string())], ["tree", "pos", "n", "node"])
 
-
-def _roots(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, at in whole_runs(stream, _begins):
-        tops = [top(nodes, height) for _, nodes, height in _blocks(rows, at)]
-        first = rows.take(at[:-1])
-        up = lambda c: np.asarray(first.column(c).to_numpy())
-        yield pa.RecordBatch.from_arrays(
-            [first.column("tree").combine_chunks(), pa.array(up("pos") // BLOCK), pa.array(-(-up("n") // BLOCK)), pa.array(tops, pa.string())], ["tree", "pos", "n", "node"]
-        )
-
-
-def _paths(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, at in whole_runs(stream, _begins):
-        ends, before, after = [0], [], []
-        for _, nodes, height in _blocks(rows, at):
-            for path in traverse(nodes, height):
-                before += [b for b, _ in path]
-                after += [a for _, a in path]
-                ends.append(len(before))
-        pairs = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(after, pa.string())], ["before", "after"])
-        own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-        for batch in rows.append_column("own", own).to_batches():
-            yield batch
+    def paths(self, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, at in whole_runs(stream, self.begins):
+            ends, before, after = [0], [], []
+            for nodes, height in self.each(rows, at):
+                for path in traverse(nodes, height):
+                    before += [b for b, _ in path]
+                    after += [a for _, a in path]
+                    ends.append(len(before))
+            pairs = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(after, pa.string())], ["before", "after"])
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield from rows.append_column("own", own).to_batches()
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -156,30 +151,30 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("tree", "block").sortWithinPartitions("tree", "pos")
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
+def climb(nodes: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     """From nodes (tree, pos, n, node, any more) the rounds of blocks' roots, up to the round in which each tree has one."""
-    kind = nodes.schema["tree"].dataType.simpleString()
+    blocks, kind = _Blocks(height), nodes.schema["tree"].dataType.simpleString()
     rounds, most = [nodes], None
     while most is None or most > 1:
-        now = rounds[-1].select("tree", "pos", "n", "node").withColumn("block", F.floor(F.col("pos") / BLOCK))
-        up = _dealt(now).mapInArrow(_roots, f"tree {kind}, pos long, n long, node string")
+        now = rounds[-1].select("tree", "pos", "n", "node").withColumn("block", F.floor(F.col("pos") / blocks.size))
+        up = _dealt(now).mapInArrow(blocks.roots, f"tree {kind}, pos long, n long, node string")
         up, (most,) = observed(up, "merkle-roots", F.coalesce(F.max("n"), F.lit(0)))
         rounds.append(up)
     return rounds
 
 
-def descend(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(rounds: list[DataFrame], above: DataFrame, height: int = HEIGHT) -> DataFrame:
     """The first round's rows with path and roots. above: path and roots of each tree's own root, by tree."""
-    kept = [f.name for f in rounds[0].schema]
+    blocks, kept = _Blocks(height), [f.name for f in rounds[0].schema]
     on = lambda rows, more, *keys: rows.join(more, [rows[a].eqNullSafe(more[b]) for a, b in keys]).drop(*[more[b] for _, b in keys])
     tops = rounds[-1].select(F.col("tree"), F.col("pos"), F.col("node").alias("root"))
     up = above.select(F.col("tree").alias("of"), "path", "roots")
     up = on(tops, up, ("tree", "of")).select("tree", "pos", "path", F.concat(F.array("root"), "roots").alias("roots"))
     for depth, nodes in enumerate(reversed(rounds[:-1])):
-        now = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK))
+        now = nodes.withColumn("block", F.floor(F.col("pos") / blocks.size))
         met = on(now, up.select(F.col("tree").alias("of"), F.col("pos").alias("at"), "path", "roots"), ("tree", "of"), ("block", "at"))
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema)
-        out = _dealt(met).mapInArrow(_paths, f"{kind}, own {_PATH}")
+        out = _dealt(met).mapInArrow(blocks.paths, f"{kind}, own {_PATH}")
         last = depth == len(rounds) - 2
         out = out.select(*(kept if last else ["tree", "pos"]), F.concat("own", "path").alias("path"), "roots")
         up = out if last else durable(out, "merkle-paths")
@@ -203,18 +198,18 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda s: F.concat(s["before"], s["after"])), "")
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, height: int = HEIGHT) -> DataFrame:
     """From rows (id, tree, node, any more) the same rows with path and roots (the group's root, the root of all)."""
     ordered = in_order(rows, "merkle-leaves", "tree", "id", "node")
-    rounds = climb(positions(ordered, "tree"))
+    rounds = climb(positions(ordered, "tree"), height)
     groups = in_order(rounds[-1].select(F.lit(0).alias("all"), F.col("tree").alias("of"), "node"), "merkle-groups", "all", "of")
-    over = climb(positions(groups.withColumnRenamed("all", "tree"), "tree"))
+    over = climb(positions(groups.withColumnRenamed("all", "tree"), "tree"), height)
     root = over[-1].select("tree", F.array().cast(_PATH).alias("path"), F.array().cast("array<string>").alias("roots"))
-    above = descend(over, root).select(F.col("of").alias("tree"), "path", "roots")
-    return descend(rounds, above)
+    above = descend(over, root, height).select(F.col("of").alias("tree"), "path", "roots")
+    return descend(rounds, above, height)
 
 
-def audit(docs: DataFrame, tampered: Column, text: Column) -> DataFrame:
+def audit(docs: DataFrame, tampered: Column, text: Column, height: int = HEIGHT) -> DataFrame:
     """Documents' manifest with a check of every row: doc_id, leaf, subroot, root, proof_sha256, and folded_root from the row as it is now.
 
     tampered: rows whose text is `text` now.
@@ -222,7 +217,7 @@ def audit(docs: DataFrame, tampered: Column, text: Column) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     now = F.when(F.coalesce(tampered, F.lit(False)), leaves(docs, columns, text)).otherwise(leaves(docs, columns))
     made = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("tree"), leaves(docs, columns).alias("node"), now.alias("now"))
-    out = manifest(durable(made, "merkle-rows"))
+    out = manifest(durable(made, "merkle-rows"), height)
     folded = fold(F.col("now"), F.col("path"))
     return out.select(
         F.col("id").alias("doc_id"), F.col("node").alias("leaf"), F.col("roots")[0].alias("subroot"), F.col("roots")[1].alias("root"),

@@ -317,8 +317,10 @@ i AS (SELECT *, sum(CASE WHEN NOT exact AND diagonal - before <= {lic.SLACK} THE
       FROM (SELECT *, lag(diagonal) OVER (PARTITION BY r, notice ORDER BY diagonal) AS before FROM v)),
 m AS (SELECT r, notice, label, exact, words, island, min(lo) AS lo, max(hi) AS hi, max(CASE WHEN exact AND votes = words - {lic.K - 1} THEN 1 ELSE 0 END) = 1 AS base,
              len(list_distinct(flatten(list_transform(flatten(list(ts)), lambda t: range(t, t + {lic.K}))))) AS covered FROM i GROUP BY r, notice, label, exact, words, island),
-s AS (SELECT *, CASE WHEN hi - lo > words * {lic.STRETCH} THEN 0.0::DOUBLE ELSE covered::DOUBLE / words END AS cover FROM m),
-f AS (SELECT *, base OR NOT exact AND cover >= {lic.COVER} AS found FROM s),
+s AS (SELECT *, covered::DOUBLE / greatest(words, hi - lo) AS cover, NOT exact AND covered::DOUBLE / greatest(words, hi - lo) >= {lic.COVER} AS sure FROM m),
+o AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY r, sure ORDER BY lo, hi, notice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM s),
+n AS (SELECT *, sum(CASE WHEN lo >= upto THEN 1 ELSE 0 END) OVER (PARTITION BY r, sure ORDER BY lo, hi, notice) AS knot FROM o),
+f AS (SELECT *, base OR sure AND cover = max(cover) OVER (PARTITION BY r, sure, knot) AS found FROM n),
 a AS (SELECT r, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(cover) AS score FROM f GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
