@@ -62,10 +62,14 @@ def flat(texts: pa.Array, lower: bool = True, ascii_lower: bool = False) -> tupl
     """Bytes and offsets (one more than texts) of a string column; nulls are empty. ascii_lower: only A-Z are lower-cased."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.ascii_lower(texts) if ascii_lower else pc.utf8_lower(texts) if lower else texts
+    texts = pc.utf8_lower(texts) if lower and not ascii_lower else texts
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), at
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    if ascii_lower:
+        data, at = data[at[0] : at[-1]].copy(), at - at[0]
+        data[(data >= 65) & (data <= 90)] += 32
+    return data, at
 
 
 def _cut(data: np.ndarray, lo: int, hi: int, end: int) -> int:

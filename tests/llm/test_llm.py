@@ -55,6 +55,15 @@ def test_words_split_at_separators_and_hash_alike():
     assert w.prefix.shape == (1, 5)
 
 
+def test_plain_words_of_slices_keep_what_is_beyond_ascii():
+    texts = pa.array(["x" * 1000, "One, TWÖ three…four", "one"])
+    for k in range(3):
+        w = tokens.words(texts.slice(k), plain=True)
+        assert w.lengths().tolist() == [1, 3, 1][k:]
+    w = tokens.words(texts.slice(1), plain=True)
+    assert w.hash[0] == w.hash[3] and w.hash[1] != tokens.words(pa.array(["twö"]), plain=True).hash[0]
+
+
 # 1 decontamination
 
 
