@@ -54,7 +54,7 @@ _CHUNKS = r"""chunk_v AS (SELECT doc_id, i::INTEGER AS chunk_index, array_to_str
 
 
 def _all() -> None:
-    from engramlake.plans import feeds, ingest, knowledge, memory, records, reports, upkeep  # noqa: F401  (they enter their queries)
+    from engramlake.plans import feeds, ingest, knowledge, memory, records, reports, store, upkeep  # noqa: F401  (they enter their queries)
 
 
 def queries() -> dict[str, registry.Query]:

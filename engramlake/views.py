@@ -159,3 +159,44 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"), F.lit(None).cast("string").alias("thread"), F.when(i % 16 != 1, text(F.lit("tok"), F.floor(i / 8))).alias("doc_token"),
     )
     return talk.unionByName(files)
+
+
+#: Kinds of signals, in the order in which ids take them.
+KINDS = ("entity", "decision", "task", "discovery", "knowledge", "preference", "reference", "timeline", "link")
+
+
+def typed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions as signals of all kinds, many of them on one page, some of them on pages that are not there."""
+    i = F.col("contribution_id")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (i % 9 + 1).cast("int"))
+    facets = {
+        "entity": F.when(i % 4 == 0, "project").otherwise("person"), "task": F.when(i % 2 == 0, "done").otherwise("open"), "discovery": F.when(i % 2 == 0, "risk").otherwise("insight"),
+        "knowledge": text("topic", i % 3), "preference": F.when(i % 2 == 0, "style").otherwise("tool"), "reference": text("https://x.example/", i % 40), "link": F.when(i % 2 == 0, "part_of").otherwise("owns"),
+    }
+    facet = F.lit(None).cast("string")
+    for k, v in facets.items():
+        facet = F.when(kind == k, v).otherwise(facet)
+    plan = F.when(i % 10 == 3, text("计划", i % 4)).when(i % 10 == 5, F.lit("计划")).otherwise(text("Plan A", i % 40))
+    ends = F.array(text("people/p", i % 23), text("people/p", i * 7 % 31), text("decisions/plan-a", i % 40))
+    return contributions(spark, sf_dir).select(
+        i.cast("long").alias("seq"), kind.alias("kind"), F.when(kind == "entity", text("people/p", i % 23)).alias("slug"),
+        F.when(kind == "entity", text("Name ", i % 23)).when(kind == "timeline", text("Entry ", i % 40)).when(kind != "link", plan).alias("title"),
+        F.when(i % 4 != 1, text("because ", i)).alias("detail"), facet.alias("facet"), F.when(i % 3 == 0, "speculative").otherwise("direct").alias("confidence"),
+        F.when(kind == "link", F.slice(ends, 1, 2)).when(i % 6 != 5, ends).alias("entities"),
+        F.when(i % 5 != 0, F.array(text("A", i % 3), text("B", i % 4))).alias("aliases"), F.when(i % 3 == 0, F.array(F.lit("x"), F.lit("y"))).alias("alternatives"),
+        F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd").alias("date"), F.when(i % 8 != 0, F.col("authority")).alias("platform"), text("h", F.floor(i / 300)).alias("source_hash"),
+    )
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that the store has before `typed_signals` come: of every seventh signal, its own or an older one, some edited by users."""
+    from engramlake.operators.store import slugs
+
+    x = typed_signals(spark, sf_dir).filter("seq % 7 = 0")
+    x = x.withColumn("page", slugs(x)).filter("page IS NOT NULL")
+    one = x.groupBy("page").agg(F.min_by(F.struct("seq", "source_hash"), "seq").alias("s")).select("page", "s.*")
+    return one.select(
+        F.col("page").alias("slug"), F.when(F.col("seq") % 2 == 0, F.col("source_hash")).otherwise("old").alias("source_hash"), (F.col("seq") % 14 == 0).alias("edited"),
+        F.array(F.lit("Old"), F.lit("A1")).alias("aliases"), F.when(F.col("seq") % 3 == 0, "before").alias("first_seen"),
+    )
