@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -93,3 +95,18 @@ def digested(rows: DataFrame, keys: list[str], order: list[Column], text: str, s
     fields = x.select(*keys).schema.fields
     types = [to_arrow_type(f.dataType) for f in fields] + [pa.string()]
     return x.mapInArrow(walk, StructType([*fields, StructField("hash", StringType())]))
+
+
+def positions(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """The rows with pos, from 0 inside their group in the order given (nulls first).
+
+    Rows are sorted over range partitions, so a group of any size is spread; only its number of rows in each partition is gathered.
+    """
+    each = settled(rows).withColumn("_at", F.monotonically_increasing_id())
+    each = each.repartitionByRange(group, *order, "_at").sortWithinPartitions(group, *order, "_at").withColumn("_at", F.monotonically_increasing_id())
+    each = settled(each.withColumn("_part", F.shiftright("_at", 33)))
+    held = each.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_in")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(W.partitionBy("_group").orderBy("_in")) - F.col("_rows") - F.col("_first")
+    held = held.withColumn("_from", before).drop("_first", "_rows")
+    met = each.join(held, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in")))
+    return met.withColumn("pos", F.col("_at") + F.col("_from")).drop("_at", "_part", "_group", "_in", "_from")
