@@ -98,10 +98,10 @@ def topic_slugs(spark, d):
 
 
 @query(rf"""WITH {_PAGES}, t AS (SELECT slug, CASE WHEN doc_id % 10 = 0 THEN 'мир ' || '!' ELSE left(title, 30) END AS t FROM pages_v), k AS (SELECT slug, t, regexp_replace(regexp_replace(lower(t), '[^a-z0-9一-鿿㐀-䶿]+', '-', 'g'), '^-+|-+$', '', 'g') AS k FROM t)
-SELECT slug, CASE WHEN k <> '' THEN left(k, 80) ELSE lpad(lower(hex(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(t, ''), lambda c: ord(c)::HUGEINT)), lambda a, c: (a * 31 + c) % 4294967296)::BIGINT)), 12, '0') END AS topic FROM k WHERE t <> ''""".replace("lower(hex(", "lower(printf('%x', ").replace(")::BIGINT)), 12", ")::BIGINT)), 12"))
+SELECT slug, CASE WHEN k <> '' THEN left(k, 80) ELSE lpad(lower(hex(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(t, ''), lambda c: ord(c)::HUGEINT)), lambda a, c: (a * 31 + c) % 4294967296)::BIGINT)), 12, '0') END AS topic FROM k""".replace("lower(hex(", "lower(printf('%x', ").replace(")::BIGINT)), 12", ")::BIGINT)), 12"))
 def knowledge_slugs(spark, d):
     t = F.when(F.col("doc_id") % 10 == 0, "мир !").otherwise(F.substring("title", 1, 30))
-    return V.pages(spark, d).withColumn("t", t).filter("t <> ''").select("slug", S.knowledge_slug(F.col("t")).alias("topic"))
+    return V.pages(spark, d).withColumn("t", t).select("slug", S.knowledge_slug(F.col("t")).alias("topic"))
 
 
 @query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '2024-02-03' WHEN 1 THEN '2024-02-30' WHEN 2 THEN '2024-02-03T04:05:06Z' WHEN 3 THEN 'soon' WHEN 4 THEN '2024-13-01T00:00:00Z' END AS t FROM events)
@@ -114,14 +114,14 @@ def coerced_times(spark, d):
     return x.select("event_id", S.iso_time(F.col("t")).alias("at"), S.bad_time(F.col("t")).alias("bad"))
 
 
-@query("""WITH r AS (SELECT doc_id, to_json(struct_pack(topic := source, n := doc_id, tags := CASE WHEN doc_id % 2 = 0 THEN ['}', lang] ELSE [']'] END)) AS j FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+@query("""WITH r AS (SELECT doc_id, to_json(struct_pack(topic := source, n := doc_id, tags := CASE WHEN doc_id % 2 = 0 THEN ['}', lang] ELSE [']'] END)) AS j FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE json_extract_string(j, '$.topic') END AS topic, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE json_extract_string(j, '$.tags[0]') END AS tag FROM r""")
 def salvage_json(spark, d):
     i = F.col("doc_id")
     tags = F.when(i % 2 == 0, F.array(F.lit("}"), F.col("lang"))).otherwise(F.array(F.lit("]")))
     j = F.to_json(F.struct(F.col("source").alias("topic"), i.alias("n"), tags.alias("tags")))
     raw = F.when(i % 4 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(i % 4 == 1, F.concat(F.lit("Here it is: "), j, F.lit(" {done}"))).when(i % 4 == 2, j).otherwise(F.concat(F.lit("cut "), F.substring(j, 1, 12)))
-    x = S.salvaged(V.table(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", raw.alias("raw")), "raw")
+    x = S.salvaged(V.table(spark, d, "documents").select("doc_id", raw.alias("raw")), "raw")
     return x.select("doc_id", F.get_json_object("json", "$.topic").alias("topic"), F.get_json_object("json", "$.tags[0]").alias("tag"))
 
 

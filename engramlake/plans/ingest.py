@@ -28,7 +28,7 @@ def _at():
 
 def _lines(spark, d, record) -> DataFrame:
     """Conversations as lines of transcripts, each eleventh cut off."""
-    c = V.table(spark, d, "conversations").filter("text IS NOT NULL")
+    c = V.table(spark, d, "conversations")
     text = F.to_json(record)
     cut = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.substring(text, 1, 10)).otherwise(text)
     return c.select(_file().alias("file"), F.col("turn").alias("line"), cut.alias("text"))
@@ -38,7 +38,7 @@ _WHOLE = "text IS NOT NULL AND (conv_id + turn) % 11 <> 0"
 _MESSAGE = f"{_SQL_FILE} AS file, turn AS line, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS contact, CASE role WHEN 'user' THEN 'sent' ELSE 'received' END AS direction"
 
 
-@query(f"""SELECT {_SQL_FILE} AS file, turn AS line, 'invalid' AS reason FROM conversations WHERE text IS NOT NULL AND (conv_id + turn) % 11 = 0""")
+@query(f"""SELECT {_SQL_FILE} AS file, turn AS line, 'invalid' AS reason FROM conversations WHERE (conv_id + turn) % 11 = 0""")
 def scan_transcripts(spark, d):
     return transcripts.bad_lines(_lines(spark, d, F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"))))
 
@@ -78,7 +78,7 @@ def session_revisions(spark, d):
 @query(f"""SELECT 'conv-' || conv_id AS session, turn || '.' || (k + 1) AS piece, substr(text, (k * 400 + 1)::BIGINT, 400) AS content
 FROM (SELECT *, unnest(range(0, ceil(length(text) / 400.0)::BIGINT)) AS k FROM conversations WHERE length(text) > 400)""")
 def segment_pieces(spark, d):
-    c = V.table(spark, d, "conversations").filter("text IS NOT NULL")
+    c = V.table(spark, d, "conversations")
     x = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").alias("msg"), F.col("text").alias("content"))
     return transcripts.oversized(x.withColumn("tokens", F.length("content") / 4), 100)
 
@@ -288,8 +288,8 @@ def handle_norm(spark, d):
     return V.table(spark, d, "customer").select("c_custkey", M.handle(kind, raw).alias("handle"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '1[3-9]\d{9}')) AS n, length(regexp_extract(text, '(?s)^(.*?)1[3-9]\d{9}', 1))::INTEGER AS first_at FROM documents""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '1[3-9]\d{9}')) AS n, CASE WHEN regexp_matches(text, '1[3-9]\d{9}') THEN length(regexp_extract(text, '(?s)^(.*?)1[3-9]\d{9}', 1))::INTEGER END AS first_at FROM documents""")
 def redaction_map(spark, d):
-    x = V.table(spark, d, "documents").filter(F.col("text").rlike(r"1[3-9]\d{9}"))
+    x = V.table(spark, d, "documents")
     m = M.redactions(F.col("text"), "phone", r"1[3-9]\d{9}")
-    return x.select("doc_id", m.alias("m")).select("doc_id", F.size("m").cast("long").alias("n"), F.col("m")[0]["position"].alias("first_at"))
+    return x.select("doc_id", m.alias("m")).select("doc_id", F.size("m").cast("long").alias("n"), F.get("m", F.lit(0))["position"].alias("first_at"))

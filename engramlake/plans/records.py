@@ -259,14 +259,12 @@ def timeline_lists(spark, d):
     return V.timeline(spark, d).groupBy("slug").agg(F.array_join(rows["line"], "\n").alias("entries"))
 
 
-@query(f"""WITH {_PAGES}, k AS (SELECT type, {"CASE WHEN k <> '' THEN k ELSE left(sha256(title), 12) END"} AS topic FROM (SELECT type, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS k FROM pages_v)),
-n AS (SELECT type, CASE WHEN length(topic) >= 3 THEN topic END AS topic FROM k) SELECT type, topic, count(*) AS n FROM n WHERE topic IS NOT NULL GROUP BY type, topic HAVING count(*) > 1""")
+@query(f"""WITH {_PAGES}, k AS (SELECT type, {"CASE WHEN length(k) >= 3 THEN k WHEN k = '' THEN left(sha256(title), 12) ELSE k || '-' || left(sha256(title), 12) END"} AS topic FROM (SELECT type, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS k FROM pages_v)),
+n AS (SELECT type, topic FROM k) SELECT type, topic, count(*) AS n FROM n GROUP BY type, topic HAVING count(*) > 1""")
 def payload_topics(spark, d):
     from engramlake.operators import rules
 
-    p = V.pages(spark, d).withColumn("kebab", F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
-    x = p.filter((F.length("kebab") >= 3) | (F.col("kebab") == "")).withColumn("topic", T.slugify(F.col("title")))
-    return rules.repeated(x, ["type", "topic"])
+    return rules.repeated(V.pages(spark, d).withColumn("topic", T.slugify(F.col("title"))), ["type", "topic"])
 
 
 @query("""WITH r AS (SELECT doc_id % 5 = 0 AS held, quality, toxic FROM labels), x AS (SELECT CASE WHEN held THEN 'holdout' ELSE 'baseline' END AS kind, count(*) FILTER (quality = 1 AND toxic <> 0) / greatest(count(*) FILTER (quality = 1), 1)::DOUBLE AS miss,
