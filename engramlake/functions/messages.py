@@ -93,7 +93,7 @@ def entity_hints(x: Column, shown: int = 5) -> Column:
 def person_slug(name: Column) -> Column:
     """The slug of a person's name: an open id where the label says nothing else, else kebab of a Latin name; null for other scripts.
 
-    Names in CJK characters need a table of readings, which is not part of this library: they give null.
+    Names in CJK characters need a table of readings (`operators.readings`): they give null.
     """
     clean = F.regexp_replace(name, r"^\s+|\s+$", "")
     oid = F.lower(F.regexp_extract(clean, r"\b(ou_[a-zA-Z0-9]+)\b", 1))

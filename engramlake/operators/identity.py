@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import messages as M
+from engramlake.operators.readings import person_slugs
 
 
 def rewritten(rows: DataFrame, key: str, column: str, moves: DataFrame) -> DataFrame:
@@ -68,18 +69,19 @@ def named_in(names: DataFrame, pages: DataFrame) -> DataFrame:
     return by_slug.unionByName(by_title).filter(F.col("slug") != F.col("own")).select("id", "slug").distinct()
 
 
-def ladder(names: DataFrame, handles: DataFrame, cache: DataFrame) -> DataFrame:
+def ladder(names: DataFrame, handles: DataFrame, cache: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """slug and step of each person named (slug: as proposed, name), by the first rung that knows them.
 
     handle: the name is a handle (value, slug); slug and name: the cache (external_id, display_name: the slug, slug_hint: the name) has the proposed slug,
-    or the name; canonical: the slug that the name makes, unless another name has it (collision: the proposal stays) or it makes none (kept).
+    or the name; canonical: the slug that the name makes (through the readings, if it has CJK characters), unless another name has it (collision: the proposal stays) or it makes none (kept).
     """
     h = handles.groupBy(F.col("value").alias("name")).agg(F.min("slug").alias("_h"))
     live = cache.filter("display_name <> ''")
     by_slug = live.groupBy(F.col("external_id").alias("slug")).agg(F.min("display_name").alias("_s"))
     by_name = live.groupBy(F.col("slug_hint").alias("name")).agg(F.min("display_name").alias("_n"))
     owners = live.groupBy(F.col("display_name").alias("_own")).agg(F.min("slug_hint").alias("_lo"), F.max("slug_hint").alias("_hi"))
-    x = names.join(h, "name", "left").join(by_slug, "slug", "left").join(by_name, "name", "left").withColumn("_own", M.person_slug(F.col("name"))).join(owners, "_own", "left")
+    own = person_slugs(names, readings).withColumnRenamed("slug", "_own")
+    x = names.join(h, "name", "left").join(by_slug, "slug", "left").join(by_name, "name", "left").join(own, "name", "left").join(owners, "_own", "left")
     taken = F.col("_lo").isNotNull() & ((F.col("_lo") != F.col("name")) | (F.col("_hi") != F.col("name"))) & ~F.coalesce(F.col("_own").startswith("person/ou_"), F.lit(False))
     step = (
         F.when(F.col("_h").isNotNull(), "handle").when(F.col("_s").isNotNull(), "slug").when(F.col("_n").isNotNull(), "name")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engramlake.functions import messages as M
+from engramlake.operators.readings import person_slugs
 
 #: Days after which a hot page expires by type, and the types that are never compressed.
 HALFLIFE = {"decision": 365, "task": 30, "knowledge": 180, "preference": 90, "reference": 365}
@@ -101,18 +102,20 @@ def near_titles(pages: DataFrame) -> DataFrame:
     return pair.filter(F.levenshtein("t_a", "t_b") <= most).select("type", "title_a", "title_b", "head_a", "head_b")
 
 
-def merge_suggestions(pages: DataFrame, person: str = "person") -> DataFrame:
+def merge_suggestions(pages: DataFrame, person: str = "person", readings: DataFrame | None = None) -> DataFrame:
     """type, from, into, reason: pages that may be one. The first reason that a pair has counts, and `into` is its lesser slug.
 
     same_name: a page with the head of its title; levenshtein: the heads of near titles; pinyin: persons with the least slug whose name has
-    the same canonical slug.
+    the same canonical slug, which names in CJK characters have through the readings (text, reading).
     """
     named = pages.filter("title <> ''")
     least = lambda x, y: (F.greatest(x, y).alias("from"), F.least(x, y).alias("into"))
     heads = titles(named).filter("pages > 1").select("type", "title", "head")
     same = named.join(heads, ["type", "title"]).filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(0).alias("r"))
     near = near_titles(named).select("type", *least(F.col("head_a"), F.col("head_b")), F.lit(1).alias("r"))
-    people = named.filter(F.col("type") == person).withColumn("name", M.person_slug(F.col("title"))).filter("name IS NOT NULL")
+    people = named.filter(F.col("type") == person)
+    slugs = person_slugs(people.select(F.col("title").alias("name")), readings).select(F.col("name").alias("title"), F.col("slug").alias("name"))
+    people = people.join(slugs, "title").filter("name IS NOT NULL")
     firsts = people.groupBy("name").agg(F.min("slug").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     alike = people.join(firsts, "name").filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(2).alias("r"))
     every = same.unionByName(near).unionByName(alike).groupBy("type", "from", "into").agg(F.min("r").alias("r"))

@@ -293,3 +293,39 @@ def plan_actions(spark, d):
     ok = M.admissibility(F.col("signal_type"), F.col("authority")) == "canonical"
     x = V.contributions(spark, d).select("contribution_id", rules.planned_action(ok, decided, F.col("page"), pool).alias("p"))
     return x.select("contribution_id", "p.*")
+
+
+_READ = """rd(text, reading) AS (VALUES ('王', 'wang'), ('建', 'jian'), ('都', 'dou'), ('李', 'li'), ('明', 'ming'), ('单', 'dan'), ('单于', 'chan yu'), ('于', 'yu'), ('欧阳', 'ou yang'), ('重庆', 'chong qing'), ('重', 'zhong')),
+nm AS (SELECT c_custkey, ['王建都', ' 李明 (x)', '单于明', '单明', '欧阳 A' || c_custkey, '欧明', '重庆明', '重', '王 B李', c_name][c_custkey % 10 + 1] AS name FROM customer),
+bn AS (SELECT DISTINCT name, trim(regexp_replace(trim(name), '[（(][^）)]*[）)]', '', 'g')) AS t FROM nm),
+hit AS (SELECT name, i, max(length(text)) AS n FROM (SELECT name, t, unnest(range(1, length(t) + 1)) AS i FROM bn) JOIN rd ON starts_with(substr(t, i), text) GROUP BY name, i),
+fold AS (SELECT name, t, 1::BIGINT AS at_, ''::VARCHAR AS said, false AS bad FROM bn UNION ALL
+  SELECT f.name, f.t, f.at_ + coalesce(h.n, 1), f.said || CASE WHEN h.n IS NOT NULL THEN ' ' || (SELECT reading FROM rd WHERE rd.text = substr(f.t, f.at_, h.n)) WHEN substr(f.t, f.at_, 1) = ' ' THEN '' ELSE ' ' || lower(substr(f.t, f.at_, 1)) END,
+    f.bad OR (h.n IS NULL AND regexp_matches(substr(f.t, f.at_, 1), '[一-鿿]')) FROM fold f LEFT JOIN hit h ON h.name = f.name AND h.i = f.at_ WHERE f.at_ <= length(f.t)),
+sl AS (SELECT name, CASE WHEN bad THEN NULL WHEN NOT regexp_matches(t, '[一-鿿]') THEN NULL ELSE 'person/' || regexp_replace(trim(said), ' ', '-') END AS s0 FROM fold WHERE at_ > length(t)),
+slugs AS (SELECT name, split_part(s0, '-', 1) || CASE WHEN contains(s0, '-') THEN '-' || replace(split_part(s0, '-', 2), ' ', '') ELSE '' END AS slug FROM sl)"""
+
+
+def _cjk_names(spark, d):
+    k = F.col("c_custkey")
+    names = F.array(*map(F.lit, ("王建都", " 李明 (x)", "单于明", "单明")), F.concat(F.lit("欧阳 A"), k.cast("string")), *map(F.lit, ("欧明", "重庆明", "重", "王 B李")), F.col("c_name"))
+    return V.table(spark, d, "customer").select(k, F.element_at(names, (k % 10 + 1).cast("int")).alias("name"))
+
+
+@query(f"WITH RECURSIVE {_READ} SELECT c_custkey, name, slug FROM nm LEFT JOIN slugs USING (name)")
+def person_readings(spark, d):
+    from engramlake.operators import readings as N
+
+    x = _cjk_names(spark, d)
+    return x.join(N.person_slugs(x, V.readings(spark, d)), "name", "left").select("c_custkey", "name", "slug")
+
+
+@query(f"""WITH RECURSIVE {_READ}, o AS (SELECT 'm/' || c_custkey AS slug, name, slugs.slug AS own FROM nm LEFT JOIN slugs USING (name))
+SELECT slug, name, CASE WHEN own IS NULL OR own = 'person/li-ming' THEN slug ELSE own END AS canonical, CASE WHEN own IS NULL THEN 'kept' WHEN own = 'person/li-ming' THEN 'collision' ELSE 'canonical' END AS step FROM o""")
+def identity_readings(spark, d):
+    from engramlake.operators import identity as I
+
+    names = _cjk_names(spark, d).select(F.concat(F.lit("m/"), F.col("c_custkey").cast("string")).alias("slug"), "name")
+    handles = spark.createDataFrame([], "value string, slug string")
+    cache = spark.createDataFrame([("x/1", "person/li-ming", "Li Ming")], "external_id string, display_name string, slug_hint string")
+    return I.ladder(names, handles, cache, V.readings(spark, d))

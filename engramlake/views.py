@@ -161,6 +161,12 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk.unionByName(files)
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table of readings, whose entries stand in for those of a whole one; one is not read alone as it is in a pair."""
+    said = [("王", "wang"), ("建", "jian"), ("都", "du"), ("都", "dou"), ("李", "li"), ("明", "ming"), ("单", "dan"), ("单于", "chan yu"), ("于", "yu"), ("欧阳", "ou yang"), ("重庆", "chong qing"), ("重", "zhong")]
+    return spark.createDataFrame(said, "text string, reading string")
+
+
 #: Kinds of signals, in the order in which ids take them.
 KINDS = ("entity", "decision", "task", "discovery", "knowledge", "preference", "reference", "timeline", "link")
 

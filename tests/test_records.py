@@ -85,3 +85,20 @@ def test_names_become_slugs(spark):
     names = {"Alice Smith": "person/alice-smith", "user (ou_AB1)": "person/ou_ab1", "ou_X9": "person/ou_x9", "O'Neil": "person/o-neil", "王建": None, "(x)": None, "Ann (ou_1)": "person/ann", "Анна": None}
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r.n: r.s for r in df.select("n", M.person_slug(F.col("n")).alias("s")).collect()} == names
+
+
+def test_names_are_read_by_the_longest_entry(spark):
+    from engramlake.operators import ledger as L
+    from engramlake.operators import readings as N
+
+    table = spark.createDataFrame([("王", "wang"), ("建", "jian"), ("单", "shan"), ("单", "dan"), ("单于", "chan yu"), ("于", "yu"), ("夏侯惇", "xia hou dun"), ("", "x")], "text string, reading string")
+    want = {
+        "王建": "person/wang-jian", " 王 建 (x)": "person/wang-jian", "单于王": "person/chan-yuwang", "单王": "person/dan-wang", "于": "person/yu", "夏侯惇": "person/xia-houdun", "王B": "person/wang-b",
+        "夏": None, "王未": None, "Ann Li": "person/ann-li", "ou_A1": "person/ou_a1", "用户 ou_x": None, "": None, "мир": None, None: None,
+    }
+    names = spark.createDataFrame([(n,) for n in want] * 2, "name string")
+    assert {r.name: r.slug for r in N.person_slugs(names, table).collect()} == {n: s for n, s in want.items() if n is not None}
+    assert {r.name: r.slug for r in N.person_slugs(names).collect()}["王建"] is None
+    pages = spark.createDataFrame([("p/2", "person", "王建"), ("p/1", "person", "王 建"), ("p/3", "person", "王未"), ("p/4", "person", "Wang-jian")], "slug string, type string, title string")
+    assert {tuple(r) for r in L.merge_suggestions(pages, readings=table).collect()} >= {("person", "p/2", "p/1", "pinyin"), ("person", "p/4", "p/1", "pinyin")}
+    assert N.person_slugs(names.limit(0), table).count() == 0
