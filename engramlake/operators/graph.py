@@ -30,7 +30,6 @@ def traverse(edges: DataFrame, start: str, depth: int = 5, direction: str = "out
     ahead = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"))
     steps = {"out": ahead, "in": back, "both": ahead.unionByName(back)}[direction]
-    steps = settled(steps) if min(depth, 10) > 1 else steps
     seen = spark.createDataFrame([(start, 0)], "slug string, depth int")
     front, n = seen, 1
     for d in range(1, min(depth, 10) + 1):

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.operators.steps import settled
+
 #: The sortings of pages.
 SORTS = ("updated_at", "created_at", "title", "backlinks", "signal_time")
 
@@ -26,12 +28,12 @@ def provenance(parts: list[DataFrame], channel: str | None = None, since: str |
 def collected(spark: SparkSession, readers: Mapping[str, Callable[[], DataFrame]], columns: str) -> tuple[DataFrame, DataFrame]:
     """The messages of all sources that can be read, with their source, and the state of each source: source, ok, reason, messages, cursor_s.
 
-    A source that fails takes no other with it, and its cursor stays where it was (null here).
+    Each source is read and settled by itself, so one that fails, when it is planned or when it is read, takes no other with it, and its cursor stays where it was (null here).
     """
     good, bad = [], []
     for name, read in readers.items():
         try:
-            good.append(read().select("at_s", "channel", "contact", "content").withColumn("source", F.lit(name)))
+            good.append(settled(read().select("at_s", "channel", "contact", "content").withColumn("source", F.lit(name))))
         except Exception as e:  # noqa: BLE001  (a reader may fail in any way)
             bad.append((name, False, type(e).__name__))
     every = reduce(DataFrame.unionByName, good) if good else spark.createDataFrame([], columns)

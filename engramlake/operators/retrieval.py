@@ -89,11 +89,29 @@ def search_chunks(cut: DataFrame, query: str, limit: int = 20, key: str = "doc_i
     return top.select(key, "chunk_index", "score", T.snippet(F.col("chunk_text"), terms[0]).alias("snippet"))
 
 
+def find_chunks(pages: DataFrame, query: str, limit: int = 20, key: str = "doc_id", body: str = "body") -> DataFrame:
+    """As `search_chunks` over the chunks of pages, of which only those that have every term are cut."""
+    return search_chunks(chunks(pages.filter(T.contains_all(F.col(body), query.split())), key, body), query, limit, key)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k vectors of the largest cosine similarity (exact; each task keeps its own k)."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    score = F.round(T.cosine(F.col(vector), q), 6)
-    return vectors.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    """The k vectors of the largest cosine similarity (exact; each task keeps its own k). A null vector, or one of another length than the query's, is an error of the data and left out; one of length 0 has none."""
+    q = np.asarray(query, dtype=np.float64)
+    norm = float(np.sqrt(q @ q))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            lists = batch.column(vector)
+            sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(sizes == len(q)))
+            m = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, len(q))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = (m @ q) / (np.sqrt(np.einsum("ij,ij->i", m, m)) * norm)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(score, mask=~np.isfinite(score))], [key, "score"])
+
+    rows = vectors.select(key, vector)
+    found = rows.mapInArrow(run, StructType([rows.schema[key], StructField("score", DoubleType())]))
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), key).limit(k)
 
 
 def fuse(legs: list[DataFrame], pool: str = "max", k: int = RRF) -> DataFrame:

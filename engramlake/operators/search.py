@@ -12,6 +12,7 @@ from engramlake.operators import filters
 from engramlake.operators import graph as G
 from engramlake.operators import retrieval as R
 from engramlake.operators.filters import MemoryFilter
+from engramlake.operators.steps import settled
 
 #: Words that a query is better without.
 STOPWORDS = (
@@ -69,14 +70,16 @@ def hybrid(
     most = filters.candidates(limit)
     terms = rewritten_query(query, synonyms)
     seen = filters.matching(pages, contributions, f)
-    cut = R.chunks(seen.select("slug", "body", "created_s"), "slug").join(seen.select("slug", "created_s"), "slug")
-    lex = R.scored(cut.filter(T.contains_all(F.col("chunk_text"), terms.split())), {"chunk_text": "score"}, terms)
+    # a chunk has all terms only if its page does: terms hold no blanks, and a chunk's words are the page's
+    some = seen.filter(T.contains_all(F.col("body"), terms.split())).select("slug", F.struct("created_s", "slug").alias("of"), "body")
+    cut = R.chunks(some, "of").filter(T.contains_all(F.col("chunk_text"), terms.split())).select("of.slug", "of.created_s", "chunk_index", "chunk_text")
+    lex = R.scored(cut, {"chunk_text": "score"}, terms)
     lex = lex.select("slug", "chunk_index", "created_s", F.round("score", 6).alias("score"))
     order = (F.desc("score"), F.desc("created_s"), F.asc("slug"), F.asc("chunk_index"))
     a = R.ranks(lex.orderBy(*order).limit(most), *order).select("slug", "rank")
     near = R.nearest(vectors.join(seen.select("doc_id", "slug"), "doc_id"), vector, most, "slug")
     b = R.ranks(near, F.desc("score"), F.asc("slug")).select("slug", "rank")
-    fused = R.fuse([a, b], pool)
+    fused = settled(R.fuse([a, b], pool))
     tier = F.lit(1.0)
     for name, weight in TIER_WEIGHTS.items():
         tier = F.when(F.col("tier") == name, weight).otherwise(tier)

@@ -329,3 +329,15 @@ def identity_readings(spark, d):
     handles = spark.createDataFrame([], "value string, slug string")
     cache = spark.createDataFrame([("x/1", "person/li-ming", "Li Ming")], "external_id string, display_name string, slug_hint string")
     return I.ladder(names, handles, cache, V.readings(spark, d))
+
+
+@query(f"WITH {_PAGES}, s AS (SELECT slug, type, created_s, round(greatest({_similarity('title', chr(39) + 'heit ung' + chr(39))}, {_similarity('body', chr(39) + 'heit ung' + chr(39))}), 6) AS score FROM pages_v"
+       " WHERE contains(lower(title), 'heit') AND contains(lower(title), 'ung') OR contains(lower(body), 'heit') AND contains(lower(body), 'ung')) SELECT slug, type, score FROM s ORDER BY score DESC, created_s DESC, slug LIMIT 20")
+def search_indexed(spark, d):
+    from engramlake.operators import postings as X
+    from engramlake.operators import retrieval as R
+    from engramlake.operators.steps import shared_path
+
+    pages, path = V.pages(spark, d), shared_path(spark, "postings")
+    X.build(pages, path)
+    return R.search_pages(X.having(pages, path, ["heit", "ung"]), "heit ung")

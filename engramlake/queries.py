@@ -73,7 +73,7 @@ def oracle_sql() -> dict[str, str]:
 @_query(f"WITH {_CHUNKS}, s AS (SELECT doc_id, chunk_index, chunk_text, round({_similarity('chunk_text', chr(39) + 'the and' + chr(39))}, 6) AS score FROM chunk_v WHERE contains(lower(chunk_text), 'the') AND contains(lower(chunk_text), 'and'))"
         " SELECT doc_id, chunk_index, score FROM s ORDER BY score DESC, doc_id, chunk_index LIMIT 20")
 def search_chunks(spark, d):
-    return R.search_chunks(R.chunks(V.pages(spark, d)), "the and").drop("snippet")
+    return R.find_chunks(V.pages(spark, d), "the and").drop("snippet")
 
 
 @_query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, chunk_text, token_count FROM chunk_v")
