@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 1. Size: the words of every document. The documents of a source are dealt to chunks of about `chunk_docs` by a hash;
-   the words of a chunk form one stream, in the order of doc_id.
+   the words of a chunk form one stream, in the order of doc_id. Equal rows in a pile of more than that are numbered (`unpiled`), and the hash takes the number in.
 2. Targets: the sources, in code-point order with null last, take the weights in turn and share
    `share` of all words; a target stops at `cap` times its source's size, and the excess is
    shared again by weight until none is above (the level of that filling is found in closed form).
@@ -37,13 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import durable, fresh, let, words_of
+from engramlake.llm.common import durable, fresh, let, observed, words_of
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, SEED, ROUNDS, BINS = 64, 4096, 128, 20240201, 10, 1024
 #: Rows of one window of a running sum, slots that a task makes, and blocks of a stretch by which a block's chunk is looked up.
 RUN, TASK_SLOTS, STRETCH = 4096, 1 << 18, 1024
-#: Sources up to which their ranges of slots (a few numbers each) are broadcast; beyond, they are a shuffled join.
+#: Sources up to which their ranges of slots, and piles of equal rows up to which their keys (a few numbers each) are broadcast; beyond, they are a shuffled join.
 MOST_SOURCES = 100_000
 
 
@@ -95,12 +95,35 @@ def running(df: DataFrame, keys: list[str], order: str, value: str, name: str) -
     return df.withColumn(name, F.col(name) + F.col(base)).drop(part, base)
 
 
+def piles(docs: DataFrame, chunk_docs: int = CHUNK_DOCS) -> tuple[DataFrame, int]:
+    """Groups of equal rows (of, id, mark, many: source, doc_id, salt and their number) of more than a chunk's documents, and how many groups there are: at most one for that many documents."""
+    same = docs.filter(F.col("size") > 0).groupBy(F.col("source").alias("of"), F.col("doc_id").alias("id"), F.col("salt").alias("mark"))
+    out, (n,) = observed(same.agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > chunk_docs), "mix-piles", F.count(F.lit(1)))
+    return out, n
+
+
+def unpiled(docs: DataFrame, heaps: DataFrame | None, few: bool = True) -> DataFrame:
+    """Documents with `copy`, the number of a row in its pile (0 where there is none), so that a hash that takes it in tells the rows of a pile apart.
+
+    Equal rows are alike, so a pile is numbered by making it anew: one of its rows, as often as it was there, in stretches that are dealt to the tasks. A few piles are broadcast.
+    """
+    if heaps is None:
+        return docs.withColumn("copy", F.lit(0).cast("long"))
+    names = docs.columns
+    met = docs.join(F.broadcast(heaps) if few else heaps, F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("salt") == F.col("mark")), "left")
+    light = met.filter("many IS NULL").select(*names, F.lit(0).cast("long").alias("copy"))
+    one = met.filter("many IS NOT NULL").groupBy("source", "doc_id", "salt").agg(F.first("many").alias("many"), *[F.first(c).alias(c) for c in names if c not in ("source", "doc_id", "salt")])
+    lot = one.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / RUN)))).repartition("source", "doc_id", "salt", "lot")
+    last = F.least(F.col("many"), (F.col("lot") + 1) * RUN) - 1
+    return light.unionByName(lot.withColumn("copy", F.explode(F.sequence(F.col("lot") * RUN, last))).select(*names, "copy"))
+
+
 def chunked(docs: DataFrame, sources: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
-    """The documents with words, with sid and chunk instead of their source."""
+    """The documents with words, with sid and chunk instead of their source; `copy` tells equal rows apart."""
     chunks = F.greatest(F.lit(1), F.ceil(F.col("docs") / chunk_docs)).alias("chunks")
     dim = sources.select("sid", F.col("source").alias("of"), chunks)
     d = docs.filter(F.col("size") > 0).join(dim, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
-    return d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "salt"), F.col("chunks"))).drop("chunks")
+    return d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "salt", "copy"), F.col("chunks"))).drop("chunks", "copy")
 
 
 def directory(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -252,14 +275,17 @@ def _mixed(docs: DataFrame, weights, share: float, cap: float, block_words: int,
     """The sizes, the sources, the documents with words in their chunks, and the mixed corpus."""
     base = durable(sized(docs), "mix-sizes")
     sources = durable(targets(base, weights, share, cap), "mix-sources")
-    placed = chunked(base, sources)
+    heaps, n = piles(base)
+    heaps = heaps if n else None
+    alone = lambda x: unpiled(x, heaps, n <= MOST_SOURCES)
+    placed = chunked(alone(base), sources)
     chunks = durable(directory(placed, block_words), "mix-chunks")
     counts = durable(slot_counts(sources, chunks), "mix-counts")
-    total, n = counts.agg(F.max("all"), F.count(F.lit(1))).first()
+    total, many = counts.agg(F.max("all"), F.count(F.lit(1))).first()
     total = total or 0
-    drawn = durable(draws(counts, total, n <= MOST_SOURCES, shard_slots), "mix-draws")
+    drawn = durable(draws(counts, total, many <= MOST_SOURCES, shard_slots), "mix-draws")
     taken = durable(in_chunks(slot_blocks(counts, slots(counts, drawn, total)), chunks), "mix-slots")
-    out = assembled(chunked(sized(docs, "text"), sources), taken, block_words).join(sources.select("sid", "source"), "sid")
+    out = assembled(chunked(alone(sized(docs, "text")), sources), taken, block_words).join(sources.select("sid", "source"), "sid")
     return base, sources, placed, out.select("shard", "slot", "sid", "source", "chunk", "block", "text", "spans")
 
 

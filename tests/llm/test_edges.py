@@ -105,7 +105,7 @@ def test_slots_are_dealt_once_and_blocks_evenly(spark, monkeypatch):
     d = docs(spark, rows).withColumn("sid", F.lit("x")).withColumn("chunk", F.lit(None).cast("int")).withColumn("size", F.lit(0))
     base = mixing.sized(d)
     sources = mixing.targets(base)
-    placed = mixing.chunked(base, sources, 7)
+    placed = mixing.chunked(mixing.unpiled(base, None), sources, 7)
     chunks = mixing.directory(placed, 16)
     counts = mixing.slot_counts(sources, chunks)
     total = counts.first()["all"]
@@ -241,3 +241,25 @@ def test_warc_ids_repeat_and_tables_join_either_way(spark, tmp_path, monkeypatch
         })
     warc.write(p.limit(0), str(tmp_path / "none"))
     assert warc.assemble(warc.read(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_piles_of_equal_rows_lie_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 100)
+    same = " ".join(words(1, 21))
+    rows = [(1, same, "a")] * 1500 + [(None, same, None)] * 400 + [(k, " ".join(words(k, 5 + k % 40)), "ab"[k % 2]) for k in range(150)] + [(2, None, "a")] * 200
+    d = docs(spark, rows).repartition(5)
+    base = mixing.sized(d)
+    heaps, n = mixing.piles(base, 100)
+    assert n == 2 and {(r.of, r.id): r.many for r in heaps.collect()} == {("a", 1): 1500, (None, None): 400}
+    sources = mixing.targets(base)
+    for few in (True, False):
+        placed = mixing.chunked(mixing.unpiled(mixing.sized(d, "text"), heaps, few), sources)
+        assert placed.count() == len(rows) - 200 and placed.filter(F.col("text").isNull()).count() == 0
+        most = placed.filter("doc_id = 1 AND size = 21").groupBy("sid", "chunk").count().agg(F.max("count"), F.count("count")).first()
+        assert most[1] >= 10 and most[0] < 300
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    got = mixing.mix(d).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    for s in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 64 * 20 and all(r.taken <= 2 * r.size for r in mine)
