@@ -12,11 +12,13 @@ classes are the connected components of that relation.
    then one drawn by a hash), and the members that are not in the hub's class yet are compared with it. A bucket of g near copies
    costs g - 1 comparisons. After a round the classes are the components of the links so far, and a bucket whose members are of one
    class is done.
-4. In what is left, every two members of a bucket that are of different classes are compared, unless it is certain that they are
+4. In what is left, every two members of a bucket of at most `LARGE` members that are of different classes are compared, unless it is certain that they are
    not near: by their sizes, or by their maps. A node's map has a bit for each hash value (of 16 for a shingle, or so) that one of its shingles
    has. A bit of one node that the other lacks is a shingle that the other lacks, so the maps bound the overlap from above, and no link is
    lost to them. A pair is weighed in the first of the buckets that it shares. Of unlike members, only pairs that may be near
-   leave the join.
+   leave the join. Members of larger buckets meet by their rarest shingles instead (`_rare_pairs`): of two near multisets, the larger one's first n - ceil(t n) + 1 elements, the rarest
+   first, and the smaller one's first n - ceil(2 t n / (1 + t)) + 1 share one, whatever the order. So pages that share a template, however many, meet only where the template is
+   nearly all that they have, and then they are near. How rare a shingle is, is counted in `SLOTS` hash slots; any order loses nothing.
 5. Connected components, by star steps; the class id is the least doc_id in it.
 
 Comparisons are exact: the texts of the pair's nodes are read again, and their shingle multisets
@@ -48,6 +50,9 @@ SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 7, 1
 #: the overlap less tightly, so that more pairs are compared; they lose none.
 MAP_BITS, MOST_BITS = 16, 1 << 15
 
+#: Members of a bucket up to which they are compared with one another; and slots in which shingles are counted (4 bytes each, sent to the tasks).
+LARGE, SLOTS = 64, 1 << 20
+
 _FEATURES = "doc_id long, text_key long, node binary, n long, bands array<long>"
 _SETS = "node binary, n long, bands array<long>, map array<long>, grams binary, counts binary"
 
@@ -191,6 +196,67 @@ def _unlike_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> Data
     return side("a").join(side("b"), "band").filter(met & here & _possible(threshold)).select("a", "b")
 
 
+def _elements(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of a batch's multisets (a shingle's second, third ... occurrence is an element of its own), the row of each, and each row's number of elements."""
+    flat = lambda c, t: [np.frombuffer(x.as_buffer(), dtype=t) for x in batch.column(c)]
+    grams, counts = flat("grams", "u8"), flat("counts", "i8")
+    gram, count = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros(0, np.int64), *counts])
+    owner = np.repeat(np.arange(batch.num_rows), [len(g) for g in grams])
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    element = np.repeat(gram, count)
+    more = nth > 0
+    element[more] = tk.mix(element[more] ^ tk.mix(nth[more].astype(np.uint64)))
+    of = np.repeat(owner, count)
+    return element, of, np.bincount(of, minlength=batch.num_rows).astype(np.int64)
+
+
+def _slot_counts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for batch in tk.batches(stream, "grams"):
+        total += np.bincount((_elements(batch)[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "many"])
+
+
+def _prefixes(many: np.ndarray, threshold: float):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.batches(stream, "grams"):
+            element, of, n = _elements(batch)
+            order = np.lexsort((element, many[(element % np.uint64(SLOTS)).astype(np.int64)], of))
+            element, of = element[order], of[order]
+            at = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+            # the small term keeps a product that is whole from being rounded up
+            length = lambda share: (n - np.ceil(share * n - 1e-9).astype(np.int64) + 1)[of]
+            kept = at < length(threshold)
+            short = (at < length(2 * threshold / (1 + threshold)))[kept]
+            rows = pa.array(of[kept])
+            columns = [batch.column(c).take(rows) for c in ("node", "root", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(element[kept].view(np.int64)), pa.array(at[kept]), pa.array(short)], ["node", "root", "n", "element", "at", "short"])
+
+    return run
+
+
+def _rare_pairs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the nodes of different classes that share an element of their prefixes, and whose sizes and places of it allow the similarity."""
+    own = members.select("node", "root").distinct()
+    mine = durable(sets.select("node", "n", "grams", "counts").join(own, "node"), "nd-crowded")
+    counted = mine.select("grams", "counts").mapInArrow(_slot_counts, "slot long, many long").groupBy("slot").agg(F.sum("many").alias("many"))
+    found = counted.toArrow()  # one row for each of SLOTS at most
+    many = np.zeros(SLOTS, np.int32)
+    many[found.column("slot").to_numpy()] = np.minimum(found.column("many").to_numpy(), np.iinfo(np.int32).max)
+    heads = mine.mapInArrow(_prefixes(many, threshold), "node binary, root binary, n long, element long, at long, short boolean")
+    # elements of one class make no pairs
+    busy = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("short").alias("any")).filter("lo <> hi AND any").select("element")
+    heads = durable(heads.join(busy, "element"), "nd-heads-of-sets")
+    classes_ = heads.select("element", "root").distinct()
+    unlike = classes_.select("element", F.col("root").alias("ra")).join(classes_.select("element", F.col("root").alias("rb")), "element").filter("ra <> rb")
+    side = lambda x, s: x.select("element", F.col("root").alias(f"r{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"at{s}"))
+    met = unlike.join(side(heads, "a"), ["element", "ra"]).join(side(heads.filter("short"), "b"), ["element", "rb"])
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    fits = (F.col("nb") <= F.col("na")) & _fits("na", "nb", threshold) & (most * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
+    return met.filter(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(node, root) after more links, given that before them (None: there were none); only classes, not their nodes, are linked anew."""
     if roots is None:
@@ -204,6 +270,15 @@ def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return durable(old.unionByName(new), "nd-classes")
 
 
+def _left_pairs(here: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): what is to be compared of the members of buckets that the hubs have left."""
+    crowds, (n,) = observed(here.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LARGE).select("band"), "nd-crowds", F.count(F.lit(1)))
+    if not n:
+        return _unlike_pairs(here, sets, threshold)
+    small, crowded = here.join(crowds, "band", "left_anti"), here.join(crowds, "band", "left_semi")
+    return _unlike_pairs(small, sets, threshold).unionByName(_rare_pairs(crowded, sets, threshold))
+
+
 def roots(nodes: DataFrame, sets_of, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame | None:
     """(node, root) of the nodes (node, copies, bands) that are near another one: components of all near pairs. None: there are none."""
     each = nodes.select("node", "copies", F.explode("bands").alias("band"))
@@ -217,7 +292,7 @@ def roots(nodes: DataFrame, sets_of, threshold: float = THRESHOLD, rounds: int =
         here, (n,) = observed(_unsettled(members, found), "nd-buckets", F.count(F.lit(1)))
         if not n:
             break
-        pairs = _hub_pairs(here, k == 0, k) if k < rounds else _unlike_pairs(here, sets, threshold)
+        pairs = _hub_pairs(here, k == 0, k) if k < rounds else _left_pairs(here, sets, threshold)
         near = similarities(pairs, sets).filter(F.col("sim") >= threshold).select("a", "b")
         near, (n,) = observed(near, "nd-links", F.count(F.lit(1)))
         found = _joined(near, found) if n else found

@@ -263,3 +263,39 @@ def test_piles_of_equal_rows_lie_in_many_chunks(spark, monkeypatch):
     for s in {r.source_size for r in got}:
         mine = [r for r in got if r.source_size == s]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 64 * 20 and all(r.taken <= 2 * r.size for r in mine)
+
+
+def test_crowded_buckets_are_settled_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a template, and near copies among them: classes are those of brute force, and few pairs are compared."""
+    monkeypatch.setattr(neardup, "LARGE", 4)
+    r = random.Random(9)
+    template = [f"t{k}" for k in range(60)]
+    texts = []
+    for k in range(120):
+        w = template + [f"u{k}x{j}" for j in range(r.randrange(20, 40))]
+        texts.append(w)
+        if k % 6 == 0:
+            texts.append(w[:-1] + ["edit"])
+    texts += [["a"] * 30 + [f"v{k}x{j}" for j in range(4)] for k in range(8)]
+    grams = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in texts]
+    sim = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sim(grams[i], grams[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    met = []
+    kept = neardup._rare_pairs
+    monkeypatch.setattr(neardup, "_rare_pairs", lambda *a: (met.append(kept(*a)), met[-1])[1])
+    d = docs(spark, [(k, " ".join(w), "a") for k, w in enumerate(texts)])
+    # bands of one row, so that the template alone puts texts into a bucket
+    got = {x.doc_id: x.class_id for x in neardup.classes(d, bands=16, rows=1).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+    assert met and met[0].count() <= 4 * len(texts)
