@@ -32,5 +32,11 @@ def weekly(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Run a stream over what is there now, exactly once, into Parquet."""
-    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    """Run a stream over what is there now, exactly once, into Parquet. Its state is in RocksDB, which timers and lists need; the session's setting stays as it was."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        conf.set(key, before) if before else conf.unset(key)

@@ -33,3 +33,13 @@ def test_closed_sessions_equal_the_batch(spark, tmp_path):
     batch = at.groupBy(F.session_window("at", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("messages"))
     batch = batch.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "messages")
     assert got.count() >= 0.9 * batch.count() and got.join(batch, got.columns, "left_anti").count() == 0
+
+
+def test_blocks_of_a_stream_equal_those_of_the_table_late_messages_included(spark):
+    from engramlake import queries as own
+
+    found = own.queries()
+    got = found["stream_blocks"](spark, "/root/testdata/sf0.001")
+    want = found["blocks_full"](spark, "/root/testdata/sf0.001").select(*got.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
