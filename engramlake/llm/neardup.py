@@ -50,8 +50,9 @@ SHINGLE, THRESHOLD, BANDS, ROWS, ROUNDS = 5, 0.8, 32, 7, 1
 #: the overlap less tightly, so that more pairs are compared; they lose none.
 MAP_BITS, MOST_BITS = 16, 1 << 15
 
-#: Members of a bucket up to which they are compared with one another; and slots in which shingles are counted (4 bytes each, sent to the tasks).
-LARGE, SLOTS = 64, 1 << 20
+#: Members of a bucket up to which they are compared with one another, which writes nothing but may take their number squared, halved (33 million comparisons of maps); beyond it, a fifth of each
+#: member's shingles is written and joined. Both find the same. And slots in which shingles are counted (4 bytes each, sent to the tasks).
+LARGE, SLOTS = 8192, 1 << 20
 
 _FEATURES = "doc_id long, text_key long, node binary, n long, bands array<long>"
 _SETS = "node binary, n long, bands array<long>, map array<long>, grams binary, counts binary"
