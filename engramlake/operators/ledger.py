@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import messages as M
 from engramlake.operators.readings import person_slugs
+from engramlake.operators.steps import positions
 
 #: Days after which a hot page expires by type, and the types that are never compressed.
 HALFLIFE = {"decision": 365, "task": 30, "knowledge": 180, "preference": 90, "reference": 365}
+#: Pages that one warm page takes in.
+MEMBERS = 200
 COLD_DAYS = {"task": 365, "preference": 365, "knowledge": 730}
 
 
@@ -123,17 +126,27 @@ def merge_suggestions(pages: DataFrame, person: str = "person", readings: DataFr
     return every.select("type", "from", "into", reason.alias("reason"))
 
 
-def hot_to_warm(pages: DataFrame, mentions: DataFrame, as_of_s: int) -> DataFrame:
-    """The warm pages that take the place of expired hot ones: entity, type, members, content, created_s.
+def warm_members(pages: DataFrame, mentions: DataFrame, as_of_s: int, most: int = MEMBERS) -> DataFrame:
+    """Expired hot pages and the warm page (entity, type, part) that takes the place of each, to which it points from then on.
 
     Pages (slug, type, title, body, tier, created_s, edited) whose type may be compressed and that nobody edited are grouped by their primary
-    mention (mentions: slug, to; the least `to`, or none) and type. Other expired pages only change their tier (`only_tier`).
+    mention (mentions: slug, to; the least `to`, or none) and type, and a group is cut into parts of `most` pages in the order of their times. Only slugs and times are ranked, over
+    range partitions, so a group of any size, such as that of the pages without a mention, is spread. Other expired pages only change their tier (`only_tier`).
     """
     primary = mentions.groupBy("slug").agg(F.min("to").alias("entity"))
     x = expired(pages, as_of_s).filter(F.col("type").isin(*COLD_DAYS) & ~F.coalesce(F.col("edited"), F.lit(False))).join(primary, "slug", "left")
+    group = F.struct(F.coalesce("entity", F.lit("__none__")).alias("entity"), "type").alias("group")
+    ranked = positions(x.select(group, "created_s", "slug"), "group", "created_s", "slug")
+    return ranked.select("slug", "group.*", F.floor(F.col("pos") / most).alias("part"))
+
+
+def hot_to_warm(pages: DataFrame, mentions: DataFrame, as_of_s: int, most: int = MEMBERS) -> DataFrame:
+    """The warm pages that take the place of expired hot ones: entity, type, part, members, content, created_s; one holds `most` pages at most (`warm_members`)."""
+    of = warm_members(pages, mentions, as_of_s, most)
+    x = pages.select("slug", "title", "body", "created_s").join(of, "slug")
     text = F.concat(F.lit("### "), "title", F.lit("\n\n"), "body")
     rows = F.array_sort(F.collect_list(F.struct("created_s", "slug", text.alias("text"))))
-    return x.groupBy(F.coalesce("entity", F.lit("__none__")).alias("entity"), "type").agg(
+    return x.groupBy("entity", "type", "part").agg(
         F.count(F.lit(1)).alias("members"), F.array_join(rows["text"], "\n\n").alias("content"), F.min("created_s").alias("created_s")
     )
 

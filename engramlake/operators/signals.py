@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Message numbers by which claims and messages meet.
+STRETCH = 64
+
+
 def checked(rows: DataFrame, schema: str, raw: str = "raw") -> DataFrame:
     """Rows with their JSON parsed as `signal`, and why one is refused: invalid, no topic, or an end before its start."""
     x = rows.withColumn("signal", F.from_json(raw, schema))
@@ -30,8 +34,13 @@ def provenance(messages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def evidence(claims: DataFrame, messages: DataFrame) -> DataFrame:
-    """Claims (id, session, first, last, quote) with whether their messages exist and one has the quote (messages: session, msg, content)."""
-    x = claims.join(messages, "session", "left").filter(F.col("msg").between(F.col("first"), F.col("last")))
+    """Claims (id, session, first, last, quote) with whether their messages exist and one has the quote (messages: session, msg, content).
+
+    They meet by session and by stretches of `STRETCH` message numbers, so a claim meets only messages about its own.
+    """
+    at = lambda c: F.floor(F.col(c) / STRETCH)
+    near = claims.withColumn("stretch", F.explode(F.sequence(at("first"), F.greatest(at("first"), at("last")))))
+    x = near.join(messages.withColumn("stretch", at("msg")), ["session", "stretch"]).filter(F.col("msg").between(F.col("first"), F.col("last")))
     found = x.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("content").contains(F.col("quote"))).alias("quoted"))
     y = claims.join(found, "id", "left")
     whole = F.coalesce(F.col("n") == F.col("last") - F.col("first") + 1, F.lit(False))

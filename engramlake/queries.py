@@ -442,11 +442,18 @@ _HOT = f"""hot AS (SELECT *, doc_id % 11 = 0 AS edited, CASE WHEN doc_id % 13 <>
  WHERE tier = 'hot' AND created_s + 86400 * CASE type WHEN 'decision' THEN 365 WHEN 'task' THEN 30 WHEN 'knowledge' THEN 180 WHEN 'preference' THEN 90 ELSE 365 END <= {AS_OF_S + 86400 * 100})"""
 
 
-@_query(f"""WITH {_PAGES}, {_HOT} SELECT coalesce(entity, '__none__') AS entity, type, count(*) AS members, sha256(string_agg('### ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY created_s, slug)) AS content, min(created_s) AS created_s
-FROM hot WHERE type IN ('task', 'preference', 'knowledge') AND NOT edited GROUP BY entity, type""")
+@_query(f"""WITH {_PAGES}, {_HOT} SELECT entity, type, part, count(*) AS members, sha256(string_agg('### ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY created_s, slug)) AS content, min(created_s) AS created_s
+FROM (SELECT *, coalesce(entity, '__none__') AS entity_, (row_number() OVER (PARTITION BY coalesce(entity, '__none__'), type ORDER BY created_s, slug) - 1) // 5 AS part FROM hot WHERE type IN ('task', 'preference', 'knowledge') AND NOT edited) h(doc_id, slug, type, title, body, created_s, tier, platform, channel, edited, entity0, entity, part) GROUP BY entity, type, part""")
 def hot_warm_groups(spark, d):
     p, m = _hot(spark, d)
-    return L.hot_to_warm(p, m, AS_OF_S + 86400 * 100).withColumn("content", F.sha2("content", 256))
+    return L.hot_to_warm(p, m, AS_OF_S + 86400 * 100, 5).withColumn("content", F.sha2("content", 256))
+
+
+@_query(f"""WITH {_PAGES}, {_HOT} SELECT slug, coalesce(entity, '__none__') AS entity, type, (row_number() OVER (PARTITION BY coalesce(entity, '__none__'), type ORDER BY created_s, slug) - 1) // 5 AS part
+FROM hot WHERE type IN ('task', 'preference', 'knowledge') AND NOT edited""")
+def warm_members(spark, d):
+    p, m = _hot(spark, d)
+    return L.warm_members(p, m, AS_OF_S + 86400 * 100, 5)
 
 
 def _hot(spark, d):
