@@ -105,13 +105,14 @@ def entity_link(spark, d):
 # applying signals
 
 
-@query(f"""WITH s AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'a small red ring' ELSE 'blue widgets' END AS what FROM nation), x AS (SELECT id, 'part/' || p_partkey AS slug, round({_similarity('what', 'p_name')}, 6) AS score FROM s, part),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, slug) AS place FROM x WHERE score > 0) SELECT id, slug, score, place::INTEGER AS place FROM r WHERE place <= 5""")
+@query(f"""WITH {_PAGES}, {_CONTRIB}, s AS (SELECT contribution_id AS id, left(title, 24) AS what FROM contrib_v JOIN pages_v ON doc_id = contribution_id), w AS (SELECT DISTINCT what FROM s), t AS (SELECT slug, left(title, 40) AS title FROM pages_v), u AS (SELECT DISTINCT title FROM t),
+x AS (SELECT what, title, round({_similarity('what', 'title')}, 6) AS score FROM w, u), r AS (SELECT id, slug, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, slug) AS place FROM s JOIN x USING (what) JOIN t USING (title) WHERE score > 0)
+SELECT id, slug, score, place::INTEGER AS place FROM r WHERE place <= 5""")
 def candidates(spark, d):
-    what = F.when(F.col("n_nationkey") % 2 == 0, "a small red ring").otherwise("blue widgets").alias("what")
-    signals = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), what)
-    pool = V.table(spark, d, "part").select(F.concat(F.lit("part/"), _s("p_partkey")).alias("slug"), F.col("p_name").alias("title"))
-    return P.candidates(signals, pool)
+    p = V.pages(spark, d)
+    said = p.select(F.col("doc_id").alias("id"), F.substring("title", 1, 24).alias("what"))
+    signals = V.contributions(spark, d).select(F.col("contribution_id").alias("id")).join(said, "id")
+    return P.candidates(signals, p.select("slug", F.substring("title", 1, 40).alias("title")))
 
 
 @query(f"""WITH {_CONTRIB} SELECT contribution_id, CASE WHEN authority = 'user_confirmed' OR signal_type NOT IN ('decision', 'preference') THEN 'canonical' ELSE 'session_log_only' END AS place FROM contrib_v""")
