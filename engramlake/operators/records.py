@@ -230,3 +230,10 @@ def stamped_expiry(payloads: DataFrame, ledger: DataFrame, states: list[str], at
     done = ledger.filter(F.col("state").isin(*states)).select("revision", F.lit(True).alias("_done")).distinct()
     x = payloads.join(done, "revision", "left")
     return x.withColumn("expires_s", F.coalesce("expires_s", F.when(F.col("_done"), F.lit(at_s + ttl_s)))).drop("_done")
+
+
+def upserted_tags(old: DataFrame, new: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags (slug, tag) with new ones put in, each once, and the new ones whose page is not there. Null tags are left out."""
+    each = new.select("slug", "tag").filter("tag IS NOT NULL").distinct()
+    known = pages.select("slug")
+    return old.select("slug", "tag").unionByName(each.join(known, "slug", "left_semi")).distinct(), each.join(known, "slug", "left_anti")

@@ -54,7 +54,7 @@ _CHUNKS = r"""chunk_v AS (SELECT doc_id, i::INTEGER AS chunk_index, array_to_str
 
 
 def _all() -> None:
-    from engramlake.plans import distill, feeds, ingest, knowledge, memory, merging, records, reports, store, streams, upkeep  # noqa: F401  (they enter their queries)
+    from engramlake.plans import distill, documents, feeds, ingest, knowledge, memory, merging, records, reports, store, streams, upkeep  # noqa: F401  (they enter their queries)
 
 
 def queries() -> dict[str, registry.Query]:
