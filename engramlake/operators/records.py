@@ -237,3 +237,11 @@ def upserted_tags(old: DataFrame, new: DataFrame, pages: DataFrame) -> tuple[Dat
     each = new.select("slug", "tag").filter("tag IS NOT NULL").distinct()
     known = pages.select("slug")
     return old.select("slug", "tag").unionByName(each.join(known, "slug", "left_semi")).distinct(), each.join(known, "slug", "left_anti")
+
+
+def listed_sessions(sessions: DataFrame, source: str | None = None, state: str | None = None, limit: int = 50) -> DataFrame:
+    """Sessions (session, source, state, newest_s, tries) of a source, in a state, or all; the newest first, ties by session. Only a top-k leaves each task."""
+    for column, value in (("source", source), ("state", state)):
+        if value is not None:
+            sessions = sessions.filter(F.col(column) == value)
+    return sessions.orderBy(F.desc("newest_s"), "session").limit(limit)

@@ -372,3 +372,33 @@ def block_source_type(spark, d):
     channel = F.element_at(names, (i % 10 + 1).cast("int"))
     channel = F.when(channel == "tasks", channel).otherwise(F.concat(channel, "event_type"))
     return V.table(spark, d, "events").select("event_id", M.block_source_type(channel, F.when(i % 13 == 0, "document"), F.when(F.col("user_id") % 7 == 0, "agent").otherwise("chat")).alias("source_type"))
+
+
+# sortings and lists
+
+
+@query(f"WITH {_PAGES} SELECT slug, created_s + doc_id * 7919 % 100000 AS key FROM pages_v ORDER BY key DESC, slug LIMIT 20")
+def page_sort_updated(spark, d):
+    p = V.pages(spark, d).withColumn("updated_s", F.col("created_s") + F.col("doc_id") * 7919 % 100000)
+    return C.sorted_pages(p, "updated_at").select("slug", "key")
+
+
+_SESSIONS = """s AS (SELECT 'conv-' || conv_id AS session, 'a' || conv_id % 3 AS source, CASE WHEN count(*) % 3 = 0 THEN 'failed' WHEN count(*) % 3 = 1 THEN 'distilled' ELSE 'pending' END AS state,
+  1704067200 + conv_id * 3600 + max(turn) * 60 AS newest_s, count(*) FILTER (role = 'assistant') % 4 AS tries FROM conversations GROUP BY conv_id)"""
+
+
+def _sessions(spark, d):
+    k, n = F.col("conv_id"), F.count(F.lit(1))
+    state = F.when(n % 3 == 0, "failed").when(n % 3 == 1, "distilled").otherwise("pending")
+    x = V.table(spark, d, "conversations").groupBy("conv_id").agg(state.alias("state"), F.max("turn").alias("last"), (F.count(F.when(F.col("role") == "assistant", 1)) % 4).alias("tries"))
+    return x.select(_id("conv-", "conv_id").alias("session"), F.concat(F.lit("a"), (k % 3).cast("string")).alias("source"), "state", (1704067200 + k * 3600 + F.col("last") * 60).alias("newest_s"), "tries")
+
+
+@query(f"WITH {_SESSIONS} SELECT * FROM s WHERE source = 'a1' AND state = 'failed' ORDER BY newest_s DESC, session LIMIT 50")
+def sessions_failed(spark, d):
+    return C.listed_sessions(_sessions(spark, d), "a1", "failed")
+
+
+@query(f"WITH {_SESSIONS} SELECT * FROM s ORDER BY newest_s DESC, session LIMIT 50")
+def sessions_newest(spark, d):
+    return C.listed_sessions(_sessions(spark, d))
