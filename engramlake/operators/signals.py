@@ -88,3 +88,9 @@ def profilable(rows: DataFrame, least: int, hashes: DataFrame, deny: list[str],
         x = x.join(allowed.select("key", F.lit(True).alias("_ok")), "key", "left")
         step = step.when(F.col("_ok").isNull(), "not allowed")
     return x.select("key", step.otherwise(F.col("step")).alias("step"))
+
+
+def document_texts(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """The text of each document (keys) from its parts (at_s, seq, content): each stripped, in order, an empty line between them; a null part is empty. A document's text is one row, so its parts are gathered."""
+    parts = F.array_sort(F.collect_list(F.struct("at_s", "seq", F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "").alias("text"))))
+    return messages.groupBy(*keys).agg(F.array_join(parts["text"], "\n\n").alias("text"))

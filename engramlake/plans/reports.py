@@ -150,3 +150,10 @@ def shadow_leak(spark, d):
     p = V.pages(spark, d)
     shadow = p.filter("doc_id % 3 = 0").select("slug", F.lit(1).alias("both"))
     return p.select("slug").join(shadow, "slug", "left").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("both", F.lit(0))).alias("shared"))
+
+
+@query("""WITH x AS (SELECT 'tok' || doc_id // 8 AS doc_token, doc_id, text FROM documents WHERE doc_id % 16 <> 1)
+SELECT doc_token, sha256(string_agg(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), repeat(chr(10), 2) ORDER BY doc_id)) AS hash FROM x GROUP BY doc_token""".replace("\\\\", "\\"))
+def canon_document(spark, d):
+    m = V.stream_messages(spark, d).filter("platform = 'files' AND doc_token IS NOT NULL")
+    return N.document_texts(m, ["doc_token"]).select("doc_token", F.sha2("text", 256).alias("hash"))
