@@ -94,3 +94,22 @@ def document_texts(messages: DataFrame, keys: list[str]) -> DataFrame:
     """The text of each document (keys) from its parts (at_s, seq, content): each stripped, in order, an empty line between them; a null part is empty. A document's text is one row, so its parts are gathered."""
     parts = F.array_sort(F.collect_list(F.struct("at_s", "seq", F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "").alias("text"))))
     return messages.groupBy(*keys).agg(F.array_join(parts["text"], "\n\n").alias("text"))
+
+
+#: The axes of a trait and their levels.
+AXES, LEVELS = ("D", "I", "S", "C"), ("low", "medium", "high")
+
+
+def grounded_traits(profiles: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What stands of the dimensions that a model gave (profiles: key, insufficient, dimensions: axis, level, evidence_refs): key, place, axis, level, evidence_refs, evidence_count.
+
+    A dimension with an unknown axis or level goes, and so do all of a profile that is said to be insufficient; of a dimension's references those stay, in order, that are evidence of its
+    key (evidence: key, slug). References meet evidence as rows, so a person with much evidence is not gathered.
+    """
+    each = profiles.filter(~F.coalesce("insufficient", F.lit(False))).select("key", F.posexplode("dimensions").alias("place", "d")).select("key", "place", "d.*")
+    each = each.filter(F.col("axis").isin(*AXES) & F.col("level").isin(*LEVELS))
+    refs = each.select("key", "place", "axis", "level", F.posexplode_outer("evidence_refs").alias("at", "slug"))
+    known = evidence.select("key", "slug", F.lit(True).alias("_known")).distinct()
+    found = F.when(F.col("_known"), F.struct("at", "slug"))
+    met = refs.join(known, ["key", "slug"], "left").groupBy("key", "place", "axis", "level").agg(F.array_sort(F.collect_list(found)).alias("f"))
+    return met.select("key", "place", "axis", "level", F.col("f.slug").alias("evidence_refs"), F.size("f").alias("evidence_count"))

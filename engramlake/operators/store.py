@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import text as T
 from engramlake.operators import retrieval as R
+from engramlake.operators.steps import settled
 
 #: The folder of each kind's pages, and the days after which one fades (null: never).
 FOLDERS = {"decision": "decisions", "task": "tasks", "discovery": "discoveries", "preference": "preferences", "reference": "references"}
@@ -122,7 +123,7 @@ def store(signals: DataFrame, pages: DataFrame, links: DataFrame, entries: DataF
 
     pages, chunks, tags, links and entries hold the rows that are written (they replace those of their key); outcome has a row for each signal: written, skipped and failed parts.
     """
-    stepped = steps(signals, pages)
+    stepped = settled(steps(signals, pages))
     wrote = stepped.filter("step = 'write'")
     made = written_pages(wrote)
     tags = F.when(F.col("kind").isin(*TAGGED), F.array("kind", "facet")).otherwise(F.array("kind"))

@@ -157,3 +157,20 @@ SELECT doc_token, sha256(string_agg(regexp_replace(coalesce(text, ''), '^\\s+|\\
 def canon_document(spark, d):
     m = V.stream_messages(spark, d).filter("platform = 'files' AND doc_token IS NOT NULL")
     return N.document_texts(m, ["doc_token"]).select("doc_token", F.sha2("text", 256).alias("hash"))
+
+
+@query("""WITH p AS (SELECT 'customer/' || c_custkey AS key, c_custkey % 11 = 0 AS insufficient, unnest(range(0, 3)) AS place, c_custkey FROM customer),
+d AS (SELECT *, ['D', 'I', 'X', 'S', 'C'][(c_custkey + place) % 5 + 1] AS axis, ['low', 'medium', 'high', 'huge'][(c_custkey * 3 + place) % 4 + 1] AS level, CASE WHEN place = 2 THEN [] ELSE [o || place, o || (c_custkey % 97), o || '-1'] END AS refs FROM (SELECT *, 'order/' AS o FROM p)),
+e AS (SELECT 'customer/' || o_custkey AS key, list(DISTINCT 'order/' || o_orderkey % 100) AS slugs FROM orders GROUP BY o_custkey),
+k AS (SELECT d.*, list_filter(refs, lambda r: list_contains(coalesce(slugs, []), r)) AS kept FROM d LEFT JOIN e USING (key))
+SELECT key, place::INTEGER AS place, axis, level, array_to_string(kept, ',') AS refs, len(kept)::INTEGER AS evidence_count FROM k WHERE NOT insufficient AND axis IN ('D', 'I', 'S', 'C') AND level IN ('low', 'medium', 'high')""")
+def profile_grounding(spark, d):
+    k = F.col("c_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    refs = lambda j: F.array() if j == 2 else F.array(text("order/", F.lit(j)), text("order/", k % 97), F.lit("order/-1"))
+    dims = F.array(*[F.struct(pick(("D", "I", "X", "S", "C"), k + j).alias("axis"), pick(("low", "medium", "high", "huge"), k * 3 + j).alias("level"), refs(j).cast("array<string>").alias("evidence_refs")) for j in range(3)])
+    profiles = V.table(spark, d, "customer").select(text("customer/", k).alias("key"), (k % 11 == 0).alias("insufficient"), dims.alias("dimensions"))
+    evidence = V.table(spark, d, "orders").select(text("customer/", F.col("o_custkey")).alias("key"), text("order/", F.col("o_orderkey") % 100).alias("slug"))
+    x = N.grounded_traits(profiles, evidence)
+    return x.select("key", "place", "axis", "level", F.array_join("evidence_refs", ",").alias("refs"), "evidence_count")
