@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engramlake.operators.cuts import cut_long
 from engramlake.operators.steps import cut
 
 GAP_S, TOKENS, MESSAGES = 30 * 60, 4000, 100
@@ -21,12 +22,12 @@ def sessions(messages: DataFrame, keys: list[str], tie: str, gap_s: int = GAP_S)
     )
 
 
-def blocks(messages: DataFrame, gap_s: int = GAP_S, tokens: float = TOKENS, most: int = MESSAGES) -> DataFrame:
+def blocks(messages: DataFrame, gap_s: int = GAP_S, tokens: float = TOKENS, most: int = MESSAGES, long: bool = False) -> DataFrame:
     """Conversation blocks of streams of messages: stream, platform, channel, at_s, seq, msg_id, contact, tokens, thread, doc_token.
 
     A stream is cut where the platform or channel changes, around each mail, calendar entry, task and document part without a token, where a
     document's token changes, and (but in documents) at gaps above `gap_s`: windows find these. What lies between is cut at a change of thread and at the caps of
-    tokens and messages, which reset at each cut: those are walked (`cut`).
+    tokens and messages, which reset at each cut: those are walked (`cut`). long: what lies between is cut by many tasks, to the same blocks (`cuts.cut_long`), in more steps.
     """
     w = W.partitionBy("stream").orderBy("at_s", "seq")
     doc = F.coalesce(F.col("channel").startswith("docs/"), F.lit(False))
@@ -39,7 +40,12 @@ def blocks(messages: DataFrame, gap_s: int = GAP_S, tokens: float = TOKENS, most
     x = x.withColumn("part", F.sum(F.coalesce(joins, F.lit(False)).cast("int") * -1 + 1).over(w))
     thread = F.when(~F.col("doc") & ~F.col("alone"), F.col("thread")).alias("thread")
     x = x.select("stream", "part", "platform", "channel", "at_s", "seq", "msg_id", "contact", "tokens", thread, "doc")
-    each = cut(x, ["stream", "part"], [F.asc("at_s"), F.asc("seq")], "tokens", tokens, most, "thread", "doc")
+    if long:
+        x = x.withColumn("key", F.struct("stream", "part"))
+        loose = cut_long(x.filter(~F.col("doc")), "key", ["at_s", "seq"], "tokens", tokens, most, "thread")
+        each = loose.unionByName(x.filter("doc").withColumn("block", F.lit(0).cast("long")))
+    else:
+        each = cut(x, ["stream", "part"], [F.asc("at_s"), F.asc("seq")], "tokens", tokens, most, "thread", "doc")
     ids = F.array_join(F.array_sort(F.collect_list("msg_id")), "|")
     return each.groupBy("stream", "part", "block").agg(
         F.first("platform").alias("platform"), F.first("channel").alias("channel"), F.count(F.lit(1)).alias("messages"),

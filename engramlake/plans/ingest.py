@@ -86,10 +86,20 @@ def segment_pieces(spark, d):
 @query()
 def segments(spark, d):
     """Sessions packed to 400 tokens; each cut depends on the one before, so SQL has no equal."""
+    return _segments(spark, d, False)
+
+
+@query()
+def segments_long(spark, d):
+    """As `segments`, a test holds them to be equal, but a session of any length is cut by many tasks."""
+    return _segments(spark, d, True)
+
+
+def _segments(spark, d, long):
     c = V.table(spark, d, "conversations")
     tokens = T.token_estimate(F.coalesce("text", F.lit("")))
     x = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session"), F.col("turn").alias("msg"), tokens.alias("tokens"))
-    return transcripts.segments(x, 400.0)
+    return transcripts.segments(x, 400.0, long)
 
 
 _KIND = "['text','post','image','file','interactive','other'][event_id % 6 + 1]"

@@ -112,8 +112,17 @@ def rewrite_queries(spark, d):
 @query()
 def blocks_full(spark, d):
     """Blocks of every stream; each cut depends on the one before, so the test walks the messages instead of SQL."""
-    m = V.stream_messages(spark, d)
-    return A.blocks(m.withColumn("tokens", F.coalesce(F.round(T.token_estimate(F.col("content")), 1), F.lit(0.0))))
+    return A.blocks(_tokens(spark, d))
+
+
+@query()
+def blocks_long(spark, d):
+    """As `blocks_full`, a test holds them to be equal, but what lies between gaps, of any length, is cut by many tasks."""
+    return A.blocks(_tokens(spark, d), long=True)
+
+
+def _tokens(spark, d):
+    return V.stream_messages(spark, d).withColumn("tokens", F.coalesce(F.round(T.token_estimate(F.col("content")), 1), F.lit(0.0)))
 
 
 _NOISY = """noisy AS (SELECT doc_id, ['mail/in', 'docs/x', 'tasks', 'group/a', 'group/b', 'dm/c', 'calendar/y'][doc_id % 7 + 1] AS channel,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engramlake.operators.cuts import cut_long
 from engramlake.operators.steps import cut
 
 #: How texts start that a tool and not the user wrote.
@@ -123,13 +124,14 @@ def revisions(seen: DataFrame, ledger: DataFrame) -> DataFrame:
     return x.select("file", "hash", state.alias("state"))
 
 
-def segments(messages: DataFrame, budget: float) -> DataFrame:
+def segments(messages: DataFrame, budget: float, long: bool = False) -> DataFrame:
     """Sessions packed into segments (from 1) of at most `budget` tokens: session, msg, segment, tokens.
 
     Messages (session, msg, tokens) are walked in order, as each cut depends on the one
-    before; a message above the budget stands alone and is cut by `oversized`.
+    before; a message above the budget stands alone and is cut by `oversized`. long: sessions of any length are cut by many tasks, to the same segments (`cuts.cut_long`), in more steps.
     """
-    x = cut(messages.select("session", "msg", "tokens"), ["session"], [F.asc("msg")], "tokens", budget, name="segment")
+    x = messages.select("session", "msg", "tokens")
+    x = cut_long(x, "session", ["msg"], "tokens", budget, name="segment") if long else cut(x, ["session"], [F.asc("msg")], "tokens", budget, name="segment")
     return x.withColumn("segment", F.col("segment") + 1)
 
 
