@@ -350,3 +350,15 @@ def search_indexed(spark, d):
     pages, path = V.pages(spark, d), shared_path(spark, "postings")
     X.build(pages, path)
     return R.search_pages(X.having(pages, path, ["heit", "ung"]), "heit ung")
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0 LIMIT 1), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q)
+SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 10""")
+def vector_lists(spark, d):
+    """All lists of an inverted file are read, so the result is exact; a test measures the recall of fewer."""
+    from engramlake.operators import vectors as X
+    from engramlake.operators.steps import shared_path
+
+    vectors, path = V.table(spark, d, "embeddings"), shared_path(spark, "vectors")
+    X.build(vectors, path)
+    return X.probed(spark, path, _query_vector(spark, d), probes=X.LISTS)

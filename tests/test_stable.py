@@ -68,3 +68,20 @@ def test_postings_rule_out_pages_and_lose_none(spark, tmp_path):
     assert 0 < left == sum("中文字" in (b or "") for _, _, b in pages)
     postings.build(d.limit(0), str(tmp_path / "y"))
     assert postings.having(d, str(tmp_path / "y"), ["ab"]).count() == len([1 for _, _, b in pages if b and "ab" in b.lower()])
+
+
+def test_probed_lists_find_nine_of_ten_neighbours(spark, tmp_path):
+    from engramlake.operators import retrieval, vectors
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(-1, None), (-2, [1.0]), (-3, [])], "vec_id long, embedding array<float>").select(F.col("vec_id").cast(v.schema["vec_id"].dataType), F.col("embedding").cast(v.schema["embedding"].dataType))
+    path = str(tmp_path / "x")
+    vectors.build(v.unionByName(odd), path, lists=16)
+    assert spark.read.parquet(f"{path}/lists").count() == v.count() + 3
+    queries = [r.embedding for r in v.filter("vec_id % 20 = 0").limit(12).collect()]
+    found = vectors.recall(spark, path, v, queries, probes=10)
+    assert found >= 0.9, found
+    assert vectors.recall(spark, path, v, queries[:3], probes=16) == 1
+    assert [tuple(r) for r in vectors.probed(spark, path, queries[0], 5, 16).collect()] == [tuple(r) for r in retrieval.nearest(v, queries[0], 5).collect()]
+    vectors.build(v.limit(0), str(tmp_path / "y"))
+    assert vectors.probed(spark, str(tmp_path / "y"), queries[0]).count() == 0
