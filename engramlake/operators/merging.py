@@ -14,11 +14,11 @@ from engramlake.operators.steps import settled
 _LIST = "array<string>"
 
 
-def settled_moves(moves: DataFrame, pages: DataFrame, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+def settled_moves(moves: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(was, now) with chains of moves followed to their ends, and the moves that are refused (was, now, reason).
 
     A move of a page into itself, of or into a page that is not there, or in a ring is refused; of several moves of one page the first in order of `now` counts, the others are refused.
-    Each round doubles the length of the chains that are followed.
+    Each round doubles the length of the chains that are followed, so what does not come to its end in the logarithm of the moves is in a ring or leads into one.
     """
     there = pages.select(F.col("slug"))
     x = moves.select("was", "now").distinct()
@@ -29,7 +29,7 @@ def settled_moves(moves: DataFrame, pages: DataFrame, rounds: int = 30) -> tuple
     x = settled(x.select("was", "now", reason.alias("reason")))
     now, bad = x.filter("reason IS NULL").select("was", "now"), x.filter("reason IS NOT NULL")
     one = now
-    for _ in range(rounds):
+    for _ in range(one.count().bit_length() + 1):
         step = now.select(F.col("was").alias("now"), F.col("now").alias("_next"))
         now = settled(now.join(step, "now", "left").select("was", F.coalesce("_next", "now").alias("now"), F.col("_next").isNotNull().alias("_more")))
         more = now.filter("_more AND was <> now")

@@ -28,14 +28,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed where all executors reach them.
+    """The rows, written where all executors reach them and read back.
 
-    Without it, a step's plan holds the plans of all steps before it several times over.
+    Without it, a step's plan holds the plans of all steps before it several times over. A checkpoint would cut the plan too, but it keeps the plan's estimate of its size, which joins
+    multiply from step to step until it has too many digits to handle; a table has the size of its files.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_shared(df.sparkSession))
-    return df.checkpoint()
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(
