@@ -30,9 +30,9 @@ def patterns(blocked: tuple[str, ...] = (), replacement: str = "[REDACTED]") ->
     return [*KINDS, *[("blocked_word", f"(?iu){EDGE}{quoted(w)}{EDGE}", replacement) for w in blocked]]
 
 
-def _total(parts: Column, n: Column) -> Column:
-    """Characters of the first n texts."""
-    return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda t, y: t + F.length(y))
+def _before(parts: Column) -> Column:
+    """The characters of all texts before each, in one walk."""
+    return F.aggregate(parts, F.array(F.lit(0)), lambda t, y: F.concat(t, F.array(F.element_at(t, -1) + F.length(y))))
 
 
 def redacted(text: Column, field: str, blocked: tuple[str, ...] = (), replacement: str = "[REDACTED]") -> Column:
@@ -47,19 +47,22 @@ def redacted(text: Column, field: str, blocked: tuple[str, ...] = (), replacemen
 def _pass(k: int, field: str, kind: str, pattern: str, mark: str) -> Callable[[Column], Column]:
     """The state (text, records) after one more pattern."""
 
+    word = pattern.replace(EDGE, "")
+    # a place without the word is left before its edges are looked at
+    sought = word.replace("(?iu)", "(?iu)(?=") + ")" + pattern if EDGE in pattern else pattern
+
     def record(p: Column) -> Column:
-        before = lambda i: _total(p["rest"], i + 1)
         return F.transform(p["found"], lambda v, i: F.struct(
             F.lit(k).alias("pass"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), v.alias("original"), F.lit(mark).alias("replacement"),
-            (before(i) + _total(p["found"], i)).alias("position"), (before(i) + i * len(mark)).alias("at"),
+            (p["kept"][i + 1] + p["gone"][i]).alias("position"), (p["kept"][i + 1] + i * len(mark)).alias("at"),
         ))
 
     def run(s: Column) -> Column:
-        found = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
-        cut = F.struct(found.alias("found"), F.split(s["text"], pattern, -1).alias("rest"))
-        # a lambda variable keeps the cut from being made for each use
-        new = F.transform(F.array(cut), lambda p: F.struct(F.array_join(p["rest"], mark).alias("text"), F.concat(s["records"], record(p)).cast(_RECORD).alias("records")))[0]
-        return F.when(F.size(found) > 0, new).otherwise(s)
+        cut = F.struct(F.regexp_extract_all(s["text"], F.lit(sought), F.lit(0)).alias("found"), F.split(s["text"], sought, -1).alias("rest"))
+        # lambda variables keep the cut, and the walks over it, from being made for each use
+        sized = lambda p: F.struct(p["found"].alias("found"), p["rest"].alias("rest"), _before(p["rest"]).alias("kept"), _before(p["found"]).alias("gone"))
+        left = lambda p: F.struct(F.array_join(p["rest"], mark).alias("text"), F.concat(s["records"], record(p)).cast(_RECORD).alias("records"))
+        return F.when(s["text"].rlike(word), F.transform(F.transform(F.array(cut), sized), left)[0]).otherwise(s)
 
     return run
 

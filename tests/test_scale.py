@@ -3,9 +3,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
 
+from engramlake.functions import messages, privacy, text
 from engramlake.operators import apply as P
-from engramlake.operators import similar
+from engramlake.operators import rules, similar
 
 
 def grams(x):
@@ -27,3 +29,20 @@ def test_candidates_equal_brute_force(spark, monkeypatch):
         want |= {(i, s, -v, k + 1) for k, (v, s) in enumerate(best)}
     got = P.candidates(spark.createDataFrame(signals, "id int, what string"), spark.createDataFrame(pool, "slug string, title string"))
     assert {tuple(x) for x in got.select("id", "slug", "score", "place").collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_redaction_looks_for_a_word_before_its_edges_and_walks_marks_once(spark):
+    long = "the phone of ſ The other für Für theſe 13812345678 at 1.2.3.4, THE end; " * 300
+    x = spark.createDataFrame([(0, long), (1, None), (2, ""), (3, "no sign")], "id int, text string").coalesce(1)
+    r = x.select("id", "text", privacy.redacted(F.col("text"), "text", ("phone", "the", "für")).alias("r"))
+    assert "slice(" not in _plan(r) and "(?iu)(?=the)" in _plan(r)
+    rows = r.select("id", "text", "r", privacy.restored(F.col("r.text"), F.col("r.records"), 7).alias("back")).collect()
+    assert all(x.back == x.text for x in rows)
+    marks = {x.id: x.r.records for x in rows}
+    assert len(marks[0]) == 300 * 8 and not marks[1] and not marks[2] and not marks[3]
+    words = [x for x in marks[0] if x["pass"] == 5]
+    assert [x.original for x in words[:3]] == ["the", "The", "THE"] and words[0].position == words[0].at == 0
