@@ -41,15 +41,29 @@ BLOCK_SOURCES = {
 COLORS = {"D": "red", "I": "yellow", "S": "green", "C": "blue"}
 
 
-def entities(x: Column) -> Column:
-    """Distinct (type, value) of the quick entities of a text; mail addresses inside URLs do not count."""
-    bare = F.regexp_replace(x, ENTITIES["url"], " ")
+#: What a text must have for an entity of the kind to be in it: far cheaper to look for than the entity.
+_SIGNS = {"url": "://", "email": "@", "handle": "@", "hashtag": "#"}
+_DIGITS = {"phone": r"\d{3}", "ticket_id": r"\d{12}"}
+
+
+def _values(x: Column) -> dict[str, Column]:
+    """The distinct values of each kind of quick entity."""
+    none = F.array().cast("array<string>")
+    bare = F.when(x.contains(_SIGNS["url"]), F.regexp_replace(x, ENTITIES["url"], " ")).otherwise(x)
 
     def found(kind: str, pattern: str) -> Column:
+        may = x.contains(_SIGNS[kind]) if kind in _SIGNS else x.rlike(_DIGITS[kind])
         values = F.array_distinct(F.regexp_extract_all(bare if kind == "email" else x, F.lit(pattern), F.lit(0)))
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+        # a null text has null values
+        return F.when(x.isNull() | may, values).otherwise(none)
 
-    return F.concat(*[found(kind, pattern) for kind, pattern in ENTITIES.items()])
+    return {kind: found(kind, pattern) for kind, pattern in ENTITIES.items()}
+
+
+def entities(x: Column) -> Column:
+    """Distinct (type, value) of the quick entities of a text; mail addresses inside URLs do not count."""
+    typed = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+    return F.concat(*[typed(kind, values) for kind, values in _values(x).items()])
 
 
 def mail_body(x: Column) -> Column:
@@ -80,14 +94,14 @@ def mail_text(contact: Column, at: Column, content: Column, to: Column, cc: Colu
 
 def entity_hints(x: Column, shown: int = 5) -> Column:
     """One line for each kind of quick entity that a text has: its first values, and how many more there are. Empty without any."""
-    e = entities(x)
 
-    def line(kind: str) -> Column:
-        values = F.transform(F.filter(e, lambda v: v["type"] == kind), lambda v: v["value"])
+    def line(kind: str, values: Column) -> Column:
         more = F.when(F.size(values) > shown, F.concat(F.lit(" (+"), (F.size(values) - shown).cast("string"), F.lit(" more)"))).otherwise("")
         return F.when(F.size(values) > 0, F.concat(F.lit(f"- {kind}s: "), F.array_join(F.slice(values, 1, shown), ", "), more))
 
-    return F.array_join(F.array_compact(F.array(*[line(kind) for kind in ENTITIES])), "\n")
+    lines = lambda e: F.array_join(F.array_compact(F.array(*[line(kind, e[kind]) for kind in ENTITIES])), "\n")
+    # a lambda variable keeps the patterns from being sought again for each use of their values
+    return F.transform(F.array(F.struct(*[v.alias(kind) for kind, v in _values(x).items()])), lines)[0]
 
 
 def person_slug(name: Column) -> Column:

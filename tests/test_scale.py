@@ -46,3 +46,11 @@ def test_redaction_looks_for_a_word_before_its_edges_and_walks_marks_once(spark)
     assert len(marks[0]) == 300 * 8 and not marks[1] and not marks[2] and not marks[3]
     words = [x for x in marks[0] if x["pass"] == 5]
     assert [x.original for x in words[:3]] == ["the", "The", "THE"] and words[0].position == words[0].at == 0
+
+
+def test_entity_hints_seek_each_kind_once(spark):
+    x = spark.createDataFrame([("a@b.co+x@d.com https://u.v/q@z.zz #tag @me_2 123456789012 " * 7,), ("none",), (None,)], "t string")
+    got = x.select(messages.entity_hints(F.col("t")).alias("hints"))
+    assert _plan(got).count("regexp_extract_all(") == len(messages.ENTITIES)
+    lines = [r.hints for r in got.collect()]
+    assert lines[0].split("\n")[:4] == ["- urls: https://u.v/q@z.zz", "- emails: a@b.co, +x@d.com", "- handles: @me_2", "- hashtags: #tag"] and lines[1] == ""
