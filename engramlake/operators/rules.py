@@ -78,10 +78,13 @@ def block_score(text: Column, source_type: Column, tags: Column) -> Column:
     """Struct of the combined score of a block's canonical text (weights 1, 1, 1.5, 3, 1), its parts, and its decision."""
     known = F.create_map(*[F.lit(x) for kv in SOURCE_SCORES.items() for x in kv])
     each = F.create_map(*[F.lit(x) for kv in TAG_SCORES.items() for x in kv])
-    parts = F.struct(T.token_estimate(text).alias("tokens"), F.size(M.entities(text)).alias("entities"))
+    parts = F.struct(T.token_estimate(text).alias("tokens"), F.size(M.entities(text)).alias("entities"), T.word_ratio(text).alias("words"))
 
-    def judged(p: Column) -> Column:
-        token, ratio = T.token_score(p["tokens"]), T.ratio_score(T.word_ratio(text))
+    def scored(p: Column) -> Column:
+        return F.struct(p.alias("p"), T.token_score(p["tokens"]).alias("token"), T.ratio_score(p["words"]).alias("ratio"))
+
+    def judged(x: Column) -> Column:
+        p, token, ratio = x["p"], x["token"], x["ratio"]
         source = F.coalesce(F.try_element_at(known, source_type), F.lit(0.5))
         interaction = F.when(F.size(tags) == 0, 0.5).otherwise(
             F.least(F.lit(1.0), F.aggregate(tags, F.lit(0.0), lambda t, x: t + F.coalesce(F.try_element_at(each, x), F.lit(0.0))))
@@ -96,7 +99,8 @@ def block_score(text: Column, source_type: Column, tags: Column) -> Column:
             combined.alias("combined"), decision.alias("decision"), short.alias("short"),
         )
 
-    return F.transform(F.array(parts), judged)[0]
+    # lambda variables keep what is taken from the text from being made for each use
+    return F.transform(F.transform(F.array(parts), scored), judged)[0]
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,3 +54,10 @@ def test_entity_hints_seek_each_kind_once(spark):
     assert _plan(got).count("regexp_extract_all(") == len(messages.ENTITIES)
     lines = [r.hints for r in got.collect()]
     assert lines[0].split("\n")[:4] == ["- urls: https://u.v/q@z.zz", "- emails: a@b.co, +x@d.com", "- handles: @me_2", "- hashtags: #tag"] and lines[1] == ""
+
+
+def test_block_score_takes_the_words_once(spark):
+    x = spark.createDataFrame([("Ein 报告 wort Wort wort 中x",)], "t string")
+    got = x.select(rules.block_score(F.col("t"), F.lit("dm"), F.array(F.lit("dm"))).alias("s"))
+    assert _plan(got).count("array_distinct(") - _plan(got).count("array_distinct(regexp_extract_all(") == 1
+    assert x.select(text.word_ratio(F.col("t")).alias("r")).first().r == 6 / 8
