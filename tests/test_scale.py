@@ -61,3 +61,13 @@ def test_block_score_takes_the_words_once(spark):
     got = x.select(rules.block_score(F.col("t"), F.lit("dm"), F.array(F.lit("dm"))).alias("s"))
     assert _plan(got).count("array_distinct(") - _plan(got).count("array_distinct(regexp_extract_all(") == 1
     assert x.select(text.word_ratio(F.col("t")).alias("r")).first().r == 6 / 8
+
+
+def test_matches_settle_however_long_the_chain(spark):
+    """Outputs of two classes by turns want the rows of one: rounds of proposals moved one place each, and gave up after 200."""
+    out = [("s", i, "ship the release now" if i % 2 else "ship the releases now") for i in range(700)] + [("t", 1000, "else")]
+    gold = [("s", i, "ship the release") for i in range(690)] + [("s", 5000, "ship the releases"), ("u", 6000, "ship the release")]
+    kind = "session string, id int, text string"
+    got = similar.matched(spark.createDataFrame(out, kind), spark.createDataFrame(gold, kind), ["session"], 0.5)
+    want = {(i, i, "matched") for i in range(690)} | {(690, 5000, "matched"), (None, 6000, "missed"), (1000, None, "extra")} | {(i, None, "extra") for i in range(691, 700)}
+    assert {tuple(x) for x in got.select("output_id", "golden_id", "kind").collect()} == want
