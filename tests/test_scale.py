@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import messages, privacy, text
 from engramlake.operators import apply as P
-from engramlake.operators import rules, similar
+from engramlake.operators import postings, rules, similar
 
 
 def grams(x):
@@ -71,3 +71,11 @@ def test_matches_settle_however_long_the_chain(spark):
     got = similar.matched(spark.createDataFrame(out, kind), spark.createDataFrame(gold, kind), ["session"], 0.5)
     want = {(i, i, "matched") for i in range(690)} | {(690, 5000, "matched"), (None, 6000, "missed"), (1000, None, "extra")} | {(i, None, "extra") for i in range(691, 700)}
     assert {tuple(x) for x in got.select("output_id", "golden_id", "kind").collect()} == want
+
+
+def test_index_has_a_page_that_comes_in_two_segments(spark, tmp_path):
+    rows = [("a", "Heit", None), ("b", None, "eine Einheit"), ("c", "hei", "t")]
+    pages = spark.createDataFrame(spark.sparkContext.parallelize(rows * 2, 2), "slug string, title string, body string")
+    postings.build(pages, str(tmp_path / "x"))
+    assert sorted(r.slug for r in postings.candidates(spark, str(tmp_path / "x"), ["heit"]).collect()) == ["a", "b"]
+    assert len(list(tmp_path.glob("x/*.parquet"))) == 2
