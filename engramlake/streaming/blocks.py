@@ -46,8 +46,9 @@ class Blocks(StatefulProcessor):
         for frame in rows:
             new = [tuple(plain(v) for v in r) for r in frame[_NAMES].itertuples(index=False)]
             self.waiting.appendList(new)
-            for at in sorted({r[0] for r in new}):
-                self.handle.registerTimer(int(at) * 1000)
+            # one timer for the first of them: when it expires, it takes all that are ready and sets the next one
+            if new:
+                self.handle.registerTimer(int(min(r[0] for r in new)) * 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -56,7 +57,11 @@ class Blocks(StatefulProcessor):
         ready = sorted((r for r in every if r[0] * 1000 <= now), key=lambda r: r[:2])
         if ready:
             late = [r for r in every if r[0] * 1000 > now]
-            self.waiting.put(late) if late else self.waiting.clear()
+            if late:
+                self.waiting.put(late)
+                self.handle.registerTimer(int(min(r[0] for r in late)) * 1000)
+            else:
+                self.waiting.clear()
         block = json.loads(self.open.get()[0]) if self.open.exists() else None
         done = []
         for r in ready:

@@ -3,11 +3,13 @@
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from engramlake.functions import messages, privacy, text
 from engramlake.operators import apply as P
 from engramlake.operators import postings, rules, similar
+from engramlake.streaming import blocks
 
 
 def grams(x):
@@ -79,3 +81,19 @@ def test_index_has_a_page_that_comes_in_two_segments(spark, tmp_path):
     postings.build(pages, str(tmp_path / "x"))
     assert sorted(r.slug for r in postings.candidates(spark, str(tmp_path / "x"), ["heit"]).collect()) == ["a", "b"]
     assert len(list(tmp_path.glob("x/*.parquet"))) == 2
+
+
+def test_a_stream_of_messages_has_one_timer(monkeypatch):
+    class State:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        getListState = getValueState = lambda self, *_: self
+        appendList = lambda self, rows: self.rows.extend(rows)
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    state, run = State(), blocks.Blocks(60, 100.0, 10, 600)
+    run.init(state)
+    rows = pd.DataFrame([(k, k, f"m{k}", "im", "dm/1", "a", 1.0, None, None) for k in range(50, 0, -1)], columns=blocks._NAMES)
+    list(run.handleInputRows(("s",), iter([rows]), None))
+    assert len(state.rows) == 50 and state.timers == [1000]
