@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import messages as M
 from engramlake.operators.readings import person_slugs
-from engramlake.operators.steps import positions
+from engramlake.operators.steps import positions, settled
 
 #: Days after which a hot page expires by type, and the types that are never compressed.
 HALFLIFE = {"decision": 365, "task": 30, "knowledge": 180, "preference": 90, "reference": 365}
@@ -83,26 +83,31 @@ def near_titles(pages: DataFrame) -> DataFrame:
     """Pairs of unlike titles of a type (4 characters or more) that are alike in any case: an edit distance of at most 1, or 2 from 8 on.
 
     Titles are compared once, however many pages have them; `titles` tells who they are, and each side comes with its head. A title of
-    length n is cut into three parts; a title within two edits has one of them unchanged, at most two places off. Those parts are the join
-    keys; the distance is then verified.
+    length n is cut into three parts; a longer one of length m within two edits has one of them unchanged, `off` places on: the edits before it are |off| at least, those
+    after it |off - (m - n)|, so both come to two at most. Hashes of those parts are the join keys, with numbers for titles; the distance is then verified.
     """
     x = titles(pages.filter(F.length("title") >= 4)).select("type", "title", "head", F.lower("title").alias("t"))
-    x = x.withColumn("n", F.length("t"))
+    x = settled(x.withColumn("n", F.length("t")).withColumn("id", F.monotonically_increasing_id()))
     cut = lambda n, i: F.floor(i * n / 3).cast("int")
     size = cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))
-    own = x.withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
-    own = own.select("type", "n", "i", *[F.col(c).alias(f"{c}_a") for c in ("title", "t", "head")], F.substr("t", cut(F.col("n"), F.col("i")) + 1, size).alias("part"))
-    other = x.withColumnRenamed("n", "m").withColumn("n", F.explode(F.sequence(F.greatest(F.lit(4), F.col("m") - 2), F.col("m") + 2)))
-    other = other.withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
-    other = other.withColumn("off", F.explode(F.array(*map(F.lit, range(-2, 3))))).withColumn("at", F.col("off") + cut(F.col("n"), F.col("i")))
-    other = other.filter((F.col("at") >= 0) & (F.col("at") + size <= F.col("m")))
-    other = other.select("type", "n", "i", *[F.col(c).alias(f"{c}_b") for c in ("title", "t", "head")], F.substr("t", F.col("at") + 1, size).alias("part"))
-    met = own.join(other, ["type", "n", "i", "part"]).filter(F.col("title_a") != F.col("title_b"))
-    first = F.col("title_a") < F.col("title_b")
-    sides = [F.when(first == low, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_{p}") for c in ("title", "t", "head") for p, low in (("a", True), ("b", False))]
-    pair = met.select("type", *sides).dropDuplicates(["type", "title_a", "title_b"])
+    thirds = F.explode(F.array(*map(F.lit, range(3)))).alias("i")
+    key = lambda at: F.xxhash64("type", "n", "i", F.substr("t", at + 1, size)).alias("key")
+    own = x.select("*", thirds).select(key(cut(F.col("n"), F.col("i"))), F.col("id").alias("id_a"))
+    shifts = [(d, off) for d in range(3) for off in range(-2, 3) if abs(off) + abs(off - d) <= 2]
+    other = x.withColumnRenamed("n", "m").select("*", F.inline(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(off).alias("off")) for d, off in shifts])))
+    # a title shorter than four characters is no side, and a part of no characters no key that is missed
+    other = other.withColumn("n", F.col("m") - F.col("d")).filter("n >= 4").select("*", thirds).withColumn("at", F.col("off") + cut(F.col("n"), F.col("i")))
+    other = other.filter((F.col("at") >= 0) & (F.col("at") + size <= F.col("m"))).select(key(F.col("at")), F.col("id").alias("id_b"))
+    met = own.join(other, "key").filter(F.col("id_a") != F.col("id_b"))
+    met = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    side = lambda s: x.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("type", "title", "t", "head")])
+    # a hash may stand for two types or parts
+    pair = met.join(side("a"), "id_a").join(side("b"), "id_b").filter((F.col("type_a") == F.col("type_b")) & (F.col("title_a") != F.col("title_b")))
     most = F.when(F.least(F.length("t_a"), F.length("t_b")) >= 8, 2).otherwise(1)
-    return pair.filter(F.levenshtein("t_a", "t_b") <= most).select("type", "title_a", "title_b", "head_a", "head_b")
+    pair = pair.filter(F.levenshtein("t_a", "t_b") <= most)
+    first = F.col("title_a") < F.col("title_b")
+    sides = [F.when(first == low, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_{p}") for c in ("title", "head") for p, low in (("a", True), ("b", False))]
+    return pair.select(F.col("type_a").alias("type"), *sides).select("type", "title_a", "title_b", "head_a", "head_b")
 
 
 def merge_suggestions(pages: DataFrame, person: str = "person", readings: DataFrame | None = None) -> DataFrame:

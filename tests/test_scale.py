@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import messages, privacy, text
 from engramlake.operators import apply as P
-from engramlake.operators import postings, rules, similar
+from engramlake.operators import ledger, postings, rules, similar
 from engramlake.streaming import blocks
 
 
@@ -97,3 +97,19 @@ def test_a_stream_of_messages_has_one_timer(monkeypatch):
     rows = pd.DataFrame([(k, k, f"m{k}", "im", "dm/1", "a", 1.0, None, None) for k in range(50, 0, -1)], columns=blocks._NAMES)
     list(run.handleInputRows(("s",), iter([rows]), None))
     assert len(state.rows) == 50 and state.timers == [1000]
+
+
+def test_near_titles_meet_by_numbers(spark):
+    r = random.Random(3)
+    titles = {"".join(r.choice("abAß") for _ in range(r.randrange(3, 12))) for _ in range(250)}
+    for t in list(titles)[:60]:
+        at = r.randrange(len(t))
+        titles |= {t[:at] + t[at + 1 :] + r.choice("ab"), t[:at] + "x" + t[at:] + "y", "y" + t[:at] + t[at + 1 :]}
+    x = spark.createDataFrame([(f"s{i}", "ab"[i % 2], t) for i, t in enumerate(sorted(titles))], "slug string, type string, title string")
+    got = ledger.near_titles(x)
+    assert "part#" not in _plan(got)
+    n = F.least(F.length(F.lower("p.title")), F.length(F.lower("q.title")))
+    both = x.alias("p").join(x.alias("q"), F.expr("p.type = q.type AND p.title < q.title AND length(p.title) >= 4 AND length(q.title) >= 4"))
+    want = both.filter(F.levenshtein(F.lower("p.title"), F.lower("q.title")) <= F.when(n >= 8, 2).otherwise(1)).select("p.type", "p.title", "q.title", "p.slug", "q.slug")
+    rows = sorted(map(tuple, want.collect()))
+    assert len(rows) > 50 and sorted(map(tuple, got.select("type", "title_a", "title_b", "head_a", "head_b").collect())) == rows
