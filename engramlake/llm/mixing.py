@@ -53,7 +53,7 @@ def sized(docs: DataFrame, *also: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+        F.size(words_of(text)).cast("long").alias("size"),
         F.xxhash64(text).alias("salt"),
         *also,
     )

@@ -4,6 +4,7 @@ import random
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from engramlake.functions import messages, privacy, text
@@ -113,3 +114,12 @@ def test_near_titles_meet_by_numbers(spark):
     want = both.filter(F.levenshtein(F.lower("p.title"), F.lower("q.title")) <= F.when(n >= 8, 2).otherwise(1)).select("p.type", "p.title", "q.title", "p.slug", "q.slug")
     rows = sorted(map(tuple, want.collect()))
     assert len(rows) > 50 and sorted(map(tuple, got.select("type", "title_a", "title_b", "head_a", "head_b").collect())) == rows
+
+
+def test_sizes_are_those_of_the_contract_without_a_match_for_each_word(spark):
+    mixing = pytest.importorskip("engramlake.llm.mixing")
+    texts = [None, "", " \t\n\x0b\f\r", "one", "  two  words\n", "a\x1cb c\xa0d", "\r\nx\x0by\fz ", "\x00 \x85  "]
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = mixing.sized(x)
+    assert "regexp" not in _plan(got).lower()
+    assert [r["size"] for r in got.orderBy("doc_id").collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
