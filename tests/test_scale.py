@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,28 @@ def test_candidates_equal_brute_force(spark, monkeypatch):
     assert {tuple(x) for x in got.select("id", "slug", "score", "place").collect()} == want
 
 
+
+def test_candidates_use_whole_texts_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_GRAMS", 300, raising=False)
+    same = " ".join(f"w{i}" for i in range(200))
+    pool = [(f"p{i}", f"{same} tail{i} {'x' * i}") for i in range(30)]
+    got = P.candidates(spark.createDataFrame([(1, pool[17][1]), (2, "tail4")], "id int, what string"), spark.createDataFrame(pool, "slug string, title string")).collect()
+    assert {r.slug: r.score for r in got if r.id == 1 and r.place == 1} == {"p17": 1.0} and len(got) == 10
+    tail = grams("tail4")
+    best = max((round(len(tail & grams(t)) / len(tail | grams(t)), 6), s) for s, t in pool)
+    assert [(r.score, r.slug) for r in got if r.id == 2 and r.place == 1] == [best]
+    # what a block costs grows with the block, not with the trigrams of all texts that are sought
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(0, 4000, 600)) for _ in range(3000)]
+    lists = lambda x: (np.concatenate(x), np.array([len(v) for v in x]))
+    sought, some = similar._Sought([f"s{i}" for i in range(len(rows))], *lists(rows), 5), rows[:40]
+    tracemalloc.start()
+    sought.meet(pa.array([f"s{i}" for i in range(len(some))]), *lists(some))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[0] for x in sought.names[:40]] == [f"s{i}" for i in range(40)] and peak < 20e6
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
