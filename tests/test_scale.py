@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,32 @@ def test_matches_settle_however_long_the_chain(spark):
     assert {tuple(x) for x in got.select("output_id", "golden_id", "kind").collect()} == want
 
 
+def test_pairs_that_are_not_similar_take_no_disk(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("bcdfgklmnp") for _ in range(3)) for _ in range(60)]
+    rows = [(i, " ".join(r.sample(words, 6))) for i in range(1500)]
+    out, gold = (spark.createDataFrame([("s", *x) for x in some], "session string, id int, text string") for some in (rows, rows[:500]))
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: sum(f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*"))
+    before = held()
+    got = similar.matched(out, gold, ["session"], 0.25).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"matched": 500, "extra": 1000}
+    # about 350,000 of 750,000 pairs share a word
+    assert held() - before < 4e6
+
+
+def test_similar_texts_come_in_blocks_of_parts(spark, monkeypatch):
+    for name, value in (("SHARE", 16), ("LEAST_SHARE", 8), ("BLOCK", 7), ("AT_ONCE", 5)):
+        monkeypatch.setattr(similar, name, value)
+    r = random.Random(6)
+    texts = sorted({" ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(1, 4))) for _ in range(150)}) + ["!!", "??"]
+    a, b = [(k, i, t) for k in "xy" for i, t in enumerate(texts) if r.random() < 0.6], [(k, i, t) for k in "yz" for i, t in enumerate(texts) if r.random() < 0.6]
+    got = similar.similar(spark.createDataFrame(a, "key string, a int, text string"), spark.createDataFrame(b, "key string, b long, text string"), 0.4)
+    score = lambda s, t: s == t or len(grams(s) & grams(t)) >= 0.4 * max(1, len(grams(s) | grams(t)))
+    rows = [(x.key, x.a, y) for x in got.collect() for y in x.b]
+    assert sorted(rows) == sorted((k, i, j) for k, i, s in a for q, j, t in b if k == q and score(s, t)) and len(rows) > 200
+
+
 def test_index_has_a_page_that_comes_in_two_segments(spark, tmp_path):
     rows = [("a", "Heit", None), ("b", None, "eine Einheit"), ("c", "hei", "t")]
     pages = spark.createDataFrame(spark.sparkContext.parallelize(rows * 2, 2), "slug string, title string, body string")
