@@ -85,6 +85,8 @@ def near_titles(pages: DataFrame) -> DataFrame:
     Titles are compared once, however many pages have them; `titles` tells who they are, and each side comes with its head. A title of
     length n is cut into three parts; a longer one of length m within two edits has one of them unchanged, `off` places on: the edits before it are |off| at least, those
     after it |off - (m - n)|, so both come to two at most. Hashes of those parts are the join keys, with numbers for titles; the distance is then verified.
+
+    Every join is merged, so none is held by the driver: Spark takes the size of the titles' compressed table for the size of the 27 keys and more that a title has.
     """
     x = titles(pages.filter(F.length("title") >= 4)).select("type", "title", "head", F.lower("title").alias("t"))
     x = settled(x.withColumn("n", F.length("t")).withColumn("id", F.monotonically_increasing_id()))
@@ -98,11 +100,11 @@ def near_titles(pages: DataFrame) -> DataFrame:
     # a title shorter than four characters is no side, and a part of no characters no key that is missed
     other = other.withColumn("n", F.col("m") - F.col("d")).filter("n >= 4").select("*", thirds).withColumn("at", F.col("off") + cut(F.col("n"), F.col("i")))
     other = other.filter((F.col("at") >= 0) & (F.col("at") + size <= F.col("m"))).select(key(F.col("at")), F.col("id").alias("id_b"))
-    met = own.join(other, "key").filter(F.col("id_a") != F.col("id_b"))
+    met = own.join(other.hint("merge"), "key").filter(F.col("id_a") != F.col("id_b"))
     met = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
     side = lambda s: x.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("type", "title", "t", "head")])
     # a hash may stand for two types or parts
-    pair = met.join(side("a"), "id_a").join(side("b"), "id_b").filter((F.col("type_a") == F.col("type_b")) & (F.col("title_a") != F.col("title_b")))
+    pair = met.join(side("a").hint("merge"), "id_a").join(side("b").hint("merge"), "id_b").filter((F.col("type_a") == F.col("type_b")) & (F.col("title_a") != F.col("title_b")))
     most = F.when(F.least(F.length("t_a"), F.length("t_b")) >= 8, 2).otherwise(1)
     pair = pair.filter(F.levenshtein("t_a", "t_b") <= most)
     first = F.col("title_a") < F.col("title_b")

@@ -168,6 +168,14 @@ def test_near_titles_meet_by_numbers(spark):
     assert len(rows) > 50 and sorted(map(tuple, got.select("type", "title_a", "title_b", "head_a", "head_b").collect())) == rows
 
 
+def test_titles_are_not_held_by_the_driver(spark):
+    """The table of titles looks small when it is compressed, and what is made of it was broadcast."""
+    pages = [(f"p/{i:03}", "person" if i % 2 else "tool", f"Ann Li {i % 100:03}") for i in range(300)]
+    pages = spark.createDataFrame(pages, "slug string, type string, title string")
+    got = ledger.near_titles(pages)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 300
+
+
 def test_sizes_are_those_of_the_contract_without_a_match_for_each_word(spark):
     mixing = pytest.importorskip("engramlake.llm.mixing")
     texts = [None, "", " \t\n\x0b\f\r", "one", "  two  words\n", "a\x1cb c\xa0d", "\r\nx\x0by\fz ", "\x00 \x85  "]
