@@ -121,13 +121,13 @@ def merge_suggestions(pages: DataFrame, person: str = "person", readings: DataFr
     named = pages.filter("title <> ''")
     least = lambda x, y: (F.greatest(x, y).alias("from"), F.least(x, y).alias("into"))
     heads = titles(named).filter("pages > 1").select("type", "title", "head")
-    same = named.join(heads, ["type", "title"]).filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(0).alias("r"))
+    same = named.join(heads.hint("merge"), ["type", "title"]).filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(0).alias("r"))
     near = near_titles(named).select("type", *least(F.col("head_a"), F.col("head_b")), F.lit(1).alias("r"))
     people = named.filter(F.col("type") == person)
     slugs = person_slugs(people.select(F.col("title").alias("name")), readings).select(F.col("name").alias("title"), F.col("slug").alias("name"))
-    people = people.join(slugs, "title").filter("name IS NOT NULL")
+    people = people.join(slugs.hint("merge"), "title").filter("name IS NOT NULL")
     firsts = people.groupBy("name").agg(F.min("slug").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    alike = people.join(firsts, "name").filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(2).alias("r"))
+    alike = people.join(firsts.hint("merge"), "name").filter(F.col("slug") != F.col("head")).select("type", *least(F.col("slug"), F.col("head")), F.lit(2).alias("r"))
     every = same.unionByName(near).unionByName(alike).groupBy("type", "from", "into").agg(F.min("r").alias("r"))
     reason = F.element_at(F.array(*map(F.lit, ("same_name", "levenshtein", "pinyin"))), F.col("r") + 1)
     return every.select("type", "from", "into", reason.alias("reason"))

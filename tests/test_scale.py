@@ -174,6 +174,9 @@ def test_titles_are_not_held_by_the_driver(spark):
     pages = spark.createDataFrame(pages, "slug string, type string, title string")
     got = ledger.near_titles(pages)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 300
+    got = ledger.merge_suggestions(pages)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.reason: r["count"] for r in got.groupBy("reason").count().collect()}["same_name"] == 200
 
 
 def test_sizes_are_those_of_the_contract_without_a_match_for_each_word(spark):
