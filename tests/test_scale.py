@@ -60,6 +60,33 @@ def test_candidates_use_whole_texts_in_bounded_memory(spark, monkeypatch):
     assert [x[0] for x in sought.names[:40]] == [f"s{i}" for i in range(40)] and peak < 20e6
 
 
+def test_best_so_far_spares_most_pairs(monkeypatch):
+    for name, value in (("LAYER", 256), ("LIST_GRAMS", 500), ("SPARED", 40)):
+        monkeypatch.setattr(similar, name, value, raising=False)
+    r = np.random.default_rng(8)
+    draw = lambda: np.unique((400 * r.random(r.integers(2, 40)) ** 2).astype(np.int64))
+    rows = [draw() for _ in range(2000)]
+    rows += [np.unique(np.append(rows[i][1:], 500 + i % 7)) for i in range(500)]
+    sides = [rows[i] for i in range(0, 2500, 25)] + [np.array([999])]
+    lists = lambda x: (np.concatenate(x), np.array([len(v) for v in x]))
+    sought, counted, every = similar._Sought([f"s{i}" for i in range(len(sides))], *lists(sides), 3), [], similar._Counted.shared
+
+    def shared(self, code, owner, others):
+        counted.append(others * len(self.sizes))
+        return every(self, code, owner, others)
+
+    monkeypatch.setattr(similar._Counted, "shared", shared)
+    for at in range(0, len(rows), 500):
+        sought.meet(pa.array([f"{i:04}" for i in range(at, at + 500)]), *lists(rows[at : at + 500]))
+    for i, x in enumerate(sides):
+        both = np.array([len(np.intersect1d(x, y)) for y in rows])
+        size = np.array([len(x) + len(y) for y in rows]) - both
+        score = (2 * similar.UNIT * both + size) // (2 * size)
+        want = [j for j in np.argsort(-score, kind="stable")[:3].tolist() if score[j]]
+        assert sought.best[i].tolist() == [*score[want].tolist(), 0, 0, 0][:3] and sought.names[i, : len(want)].tolist() == [f"{j:04}" for j in want]
+    assert sum(counted) <= 500 * len(sides)
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
